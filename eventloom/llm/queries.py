@@ -5,8 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, substring_dedup, url_filter
-from .common import table
+from . import language_id, packing, simhash, substring_dedup, url_filter
+from .common import bucket_of, table
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(bucket_of("doc_id", 5) == 0, F.lit(False)))
+    prototypes = language_id.train(docs.where("not held_out and lang is not null"))
+    return language_id.predict(docs.select("doc_id", "held_out", "text"), prototypes, keep_text=False)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 #: allow or block, host, path: the rules of op3
@@ -35,6 +51,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_packing": op2_packing,
     "op3_url_filter": op3_url_filter,
     "op10_substring_dedup": op10_substring_dedup,
     "op8_simhash": op8_simhash,
