@@ -97,7 +97,7 @@ class Encoder:
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         if len(self.parts) > CACHE_WORDS:
             self.parts = {"": b""}
         split = {}
@@ -106,7 +106,7 @@ class Encoder:
             m = CORE.fullmatch(text)
             plain = m and "Σ" not in text and m[1].lower().isalpha() and unicodedata.is_normalized("NFC", m[1])
             split[w] = (m[1].lower(), m[2]) if plain else (text, "")
-        new = list({p for pair in split.values() for p in pair} - self.parts.keys())
+        new = [p for p in {p for pair in split.values() for p in pair} if p not in self.parts]
         for part, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
             self.parts[part] = np.array(got.ids, "<u4").tobytes()
         for w, (a, b) in split.items():
@@ -118,7 +118,7 @@ class Encoder:
             words = text.split()
             if len(self.words) > CACHE_WORDS:
                 self.words.clear()
-            if missing := set(words) - self.words.keys():
+            if missing := [w for w in set(words) if w not in self.words]:
                 self._learn(missing)
             yield b"".join(map(self.words.__getitem__, words))
 

@@ -133,7 +133,8 @@ class FingerprintIndex:
             rows = rows.unionByName(self._history(self.runs, RUN_SCHEMA).withColumn("old", F.lit(True)))
         # counts are aggregated before the shuffle, and the join may split a fingerprint that very many rows share
         shared = rows.groupBy("h").agg(F.count("*").alias("n"), F.bool_or(~F.col("old")).alias("new")).where("n > 1 and new")
-        met = self._keep(rows.join(shared.select("h"), "h", "left_semi").drop("h"), "met")
+        shared = self._keep(shared.select("h"), "shared")  # written, as Spark splits only joins that read two shuffles
+        met = self._keep(rows.join(shared, "h", "left_semi").drop("h"), "met")
         # 3. the words of what was met
         places = met.groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("pos"), F.first("old").alias("old"))
         words = self._keep(places.join(archive.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id"), "words")
@@ -141,10 +142,11 @@ class FingerprintIndex:
         hits = words.mapInArrow(self._windows(), "a long, b long, doc_id long, start int, tag long, old boolean")
         hits = self._keep(hits, "hits")
         first = hits.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").drop("n")
+        first = self._keep(first, "first")
         again = hits.where("not old").join(first, ["a", "b"]).where(F.struct("doc_id", "start") != F.col("first"))
         starts = again.groupBy("doc_id", "tag").agg(F.collect_set("start").alias("starts"))
         cut = self._keep(words.where("not old").join(starts, ["doc_id", "tag"]).select("doc_id", "tag", "text", "starts").mapInArrow(self._cut(), "doc_id long, tag long, n_removed long, kept_sha256 string, removed array<int>").distinct(), "cut")
-        for done in (words, hits, met):
+        for done in (words, hits, met, shared, first):
             discard(done)
         # 5. every row of the batch
         copy = (F.col("first_id") < F.col("doc_id")) & (F.col("n_words") >= window)
