@@ -7,11 +7,11 @@ open window. Groups of about 16 million ids are packed at a time, which bounds m
 
 from __future__ import annotations
 
-import re
 import sys
 import types
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,8 +22,14 @@ from pyspark.sql import functions as F
 
 from .common import raw, slices
 
-WINDOW, END_ID, GROUP_IDS, CACHE_WORDS = 2048, 1, 1 << 24, 400_000
-CORE = re.compile(r"([^\W\d_]+)([.,;:!?*$%&#]*)")
+WINDOW, END_ID, GROUP_IDS, CACHE_WORDS = 2048, 1, 1 << 24, 600_000
+MARKS = b".,;:!?*$%&#"
+
+
+def _plain(core: bytes) -> bool:
+    """Letters only, with nothing whose normal form or lower case depends on its neighbours."""
+    text = core.decode("utf-8", "replace")
+    return text.isalpha() and "Σ" not in text and text.lower().isalpha() and unicodedata.is_normalized("NFC", text)
 
 
 class OpenWindows:
@@ -95,22 +101,23 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.parts: dict[bytes, bytes] = {b"": b""}
 
     def _learn(self, words: list[bytes]) -> None:
         if len(self.parts) > CACHE_WORDS:
-            self.parts = {"": b""}
-        split = {}
+            self.parts = {b"": b""}
+        parts, split = self.parts, []
         for w in words:
-            text = w.decode("utf-8", "replace")
-            m = CORE.fullmatch(text)
-            plain = m and "Σ" not in text and m[1].lower().isalpha() and unicodedata.is_normalized("NFC", m[1])
-            split[w] = (m[1].lower(), m[2]) if plain else (text, "")
-        new = [p for p in {p for pair in split.values() for p in pair} if p not in self.parts]
-        for part, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.parts[part] = np.array(got.ids, "<u4").tobytes()
-        for w, (a, b) in split.items():
-            self.words[w] = self.parts[a] + self.parts[b]
+            core = w.rstrip(MARKS)
+            if core.isalpha() or core and _plain(core):
+                split.append((w, core.lower() if core.isascii() else core.decode().lower().encode(), w[len(core) :]))
+            else:
+                split.append((w, w, b""))
+        new = list({p for _, a, b in split for p in (a, b) if p not in parts})
+        for part, got in zip(new, self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in new], add_special_tokens=False), strict=True):
+            parts[part] = array("I", got.ids).tobytes()
+        for w, a, b in split:
+            self.words[w] = parts[a] + parts[b]
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, simhash, substring_dedup, url_filter
+from . import decontaminate, language_id, packing, simhash, substring_dedup, url_filter
 from .common import bucket_of, table
 
 
@@ -45,6 +45,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -55,6 +59,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_url_filter": op3_url_filter,
     "op10_substring_dedup": op10_substring_dedup,
+    "op5_decontamination": op5_decontamination,
     "op8_simhash": op8_simhash,
 }
 ORACLE_SQL = {
