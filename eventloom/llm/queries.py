@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, packing, simhash, substring_dedup, url_filter
+from . import decontaminate, language_id, packing, simhash, substring_dedup, toxicity, url_filter
 from .common import bucket_of, table
 
 
@@ -45,6 +45,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(bucket_of("doc_id", 4) == 2, F.lit(False)))
+    labels = table(spark, sf_dir, "labels").where(F.coalesce(bucket_of("doc_id", 4) != 2, F.lit(False)))
+    model = toxicity.train(docs, labels)
+    return toxicity.score(docs, model, ["doc_id", "held_out"]).drop("passages")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,6 +66,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_url_filter": op3_url_filter,
     "op10_substring_dedup": op10_substring_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_decontamination": op5_decontamination,
     "op8_simhash": op8_simhash,
 }
