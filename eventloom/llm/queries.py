@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, packing, simhash, substring_dedup, toxicity, url_filter
+from . import ann, decontaminate, language_id, packing, simhash, substring_dedup, toxicity, url_filter
 from .common import bucket_of, table
 
 
@@ -56,6 +56,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -68,6 +72,7 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_decontamination": op5_decontamination,
+    "op6_nearest": op6_nearest,
     "op8_simhash": op8_simhash,
 }
 ORACLE_SQL = {
