@@ -198,3 +198,8 @@ def _finder(matcher: Matcher):
             yield pa.record_batch({n: pa.array(c, pa.int64()) for n, c in zip(names, cols, strict=True)})
 
     return run
+
+
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs without those that hold a match; rows whose doc_id is null can't be told apart and stay."""
+    return docs.join(matches(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)

@@ -117,21 +117,22 @@ def train(labelled: DataFrame, dims: int = DIMS) -> dict[str, np.ndarray]:
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dims: int = DIMS, keep_text: bool = True) -> DataFrame:
-    """docs with lang_pred and score added (columns of these names are replaced); the text stays behind on request.
+    """docs with lang_pred, score and letters (trigrams counted) added, in place of columns of these names; the text stays behind on request.
 
     score is the cosine, cut at 0. A null text, or one without a letter, is "und" with score 0, as is every text when
     nothing was learned. Of equal cosines the first language by name wins.
     """
     names = list(prototypes)
     unit = np.array([p / max(np.linalg.norm(p), 1e-12) for p in prototypes.values()]).reshape(len(names), dims)
-    rows = docs.drop("lang_pred", "score")
+    rows = docs.drop("lang_pred", "score", "letters")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letter, vectors = _tools(dims)
         for batch in slices(batches, 256):
-            found, scores = [], []
+            found, scores, sizes = [], [], []
             for text in texts(batch, "text"):
                 codes, n = trigrams(text, letter)
+                sizes.append(int(n.sum()))
                 if not len(codes) or not names:
                     found.append(UNKNOWN), scores.append(0.0)
                     continue
@@ -140,7 +141,12 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dims: int = DIMS
                 best = int(cosines.argmax())
                 found.append(names[best]), scores.append(float(min(1.0, max(0.0, cosines[best]))))
             out = {c: batch.column(k) for k, c in enumerate(batch.schema.names) if keep_text or c != "text"}
-            yield pa.record_batch(out | {"lang_pred": pa.array(found, pa.string()), "score": pa.array(scores, pa.float64())})
+            yield pa.record_batch(out | {"lang_pred": pa.array(found, pa.string()), "score": pa.array(scores, pa.float64()), "letters": pa.array(sizes, pa.int64())})
 
     kept = [f for f in rows.schema.fields if keep_text or f.name != "text"]
-    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("letters", T.LongType())]))
+
+
+def rejected(dims: int = DIMS, letters: int = 50):
+    """Condition on predict()'s columns: no letter at all, or enough of them and still no nearer to any language than noise is."""
+    return (F.col("lang_pred") == UNKNOWN) | ((F.col("letters") >= letters) & (F.col("score") < 4 / dims**0.5))

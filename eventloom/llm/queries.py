@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, language_id, packing, simhash, substring_dedup, toxicity, url_filter
+from . import ann, decontaminate, html_extract, language_id, packing, simhash, substring_dedup, token_count, toxicity, url_filter
 from .common import bucket_of, table
 
 
@@ -18,7 +18,7 @@ def tokenizer_path(name: str) -> str:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(bucket_of("doc_id", 5) == 0, F.lit(False)))
     prototypes = language_id.train(docs.where("not held_out and lang is not null"))
-    return language_id.predict(docs.select("doc_id", "held_out", "text"), prototypes, keep_text=False)
+    return language_id.predict(docs.select("doc_id", "held_out", "text"), prototypes, keep_text=False).drop("letters")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.rule_table(spark, URL_RULES)).drop("url")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -60,6 +64,10 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ["doc_id"])
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -73,7 +81,9 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_decontamination": op5_decontamination,
     "op6_nearest": op6_nearest,
+    "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
+    "op9_html_extraction": op9_html_extraction,
 }
 ORACLE_SQL = {
     "op3_url_filter": r"""

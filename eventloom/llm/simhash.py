@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, materialise, raw
@@ -138,7 +138,7 @@ def links(classes: DataFrame, bits: int = 3) -> DataFrame:
     """classes (node, fp), fp distinct → (src, dst) edges whose components are those of all pairs within bits."""
     if not 0 <= bits <= 3:
         raise ValueError("the anchors cover at most 3 bits")
-    rows = classes.select(F.explode(_anchor_keys(F.col("fp"))).alias("a"), "node", "fp").select("a.key", "node", "fp", "a.home")
+    rows = classes.repartition("fp").select(F.explode(_anchor_keys(F.col("fp"))).alias("a"), "node", "fp").select("a.key", "node", "fp", "a.home")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(bits), "src long, dst long")
 
 
@@ -155,5 +155,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def representatives(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
+    """One document of each class stays, the one with the smallest doc_id; of rows that share that id, one. Rows without an id stay."""
+    found = near_duplicates(docs.select("doc_id", "text"), shingle=shingle, bits=bits)
+    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi")
+    kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -17,10 +17,12 @@ words, tells rows of one doc_id with other words apart.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -228,3 +230,42 @@ def dedup(docs: DataFrame, window: int = 20, gram: int = 8, batches: int = 2) ->
         one = index.add(part, archive, append=high is not None)
         out, low = one if out is None else out.unionByName(one), high
     return out
+
+
+def strip(docs: DataFrame, window: int = 20, gram: int = 8, batches: int = 2) -> DataFrame:
+    """docs with the repeated passages cut out of text, and n_chars, if there, set anew; what is left keeps its white space.
+
+    Documents that lose all their words go; others, those without words included, stay.
+    """
+    cuts = dedup(docs.select("doc_id", "text"), window, gram, batches).where("n_removed > 0 and doc_id is not null")
+    cuts = cuts.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("tag", "removed"))).alias("_cuts"))
+    rows = docs.join(cuts, "doc_id", "left").select(*docs.columns, "_cuts")
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, keep = [], []
+            cuts = batch.column(batch.schema.get_field_index("_cuts"))
+            for k, text in enumerate(raw(batch, "text")):
+                ranges = None
+                if cuts[k].is_valid:
+                    words = text.split()
+                    ranges = dict(cuts[k].as_py()).get(_tag(hashlib.sha256(b" ".join(words)).digest()))
+                if ranges:
+                    spans = [m.span() for m in re.finditer(rb"[^ \t-\r]+", text)]
+                    parts, at = [], 0
+                    for a, b in zip(ranges[::2], ranges[1::2], strict=True):
+                        parts.append(text[at : spans[a][0]])
+                        at = spans[b][0] if b < len(spans) else len(text)
+                    text = b"".join([*parts, text[at:]]).strip()
+                keep.append(not ranges or bool(text))
+                out.append(text.decode("utf-8", "replace"))
+            cols = {c: batch.column(batch.schema.get_field_index(c)) for c in columns}
+            changed = pa.array(out, pa.string())
+            cols["text"] = pa.compute.if_else(cuts.is_valid(), changed, cols["text"].cast(pa.string()))
+            if "n_chars" in cols:
+                sizes = pa.array([len(t) for t in out], pa.int64()).cast(cols["n_chars"].type)
+                cols["n_chars"] = pa.compute.if_else(cuts.is_valid(), sizes, cols["n_chars"])
+            yield pa.record_batch(cols).filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, docs.schema)
