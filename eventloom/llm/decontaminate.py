@@ -6,8 +6,9 @@ and on the word: at each step it writes the word it stands on, then stays or mov
 written almost alike, so a few sampled steps agree with high probability. Each of several walks is sampled several
 times; a window becomes a candidate of an item when one sample agrees. Windows are sized by classes of item lengths.
 
-Two conditions that every match meets are tested on all positions before the walks: k edits destroy at most 2k of an
-item's word pairs, so a match of n words holds n - 1 - 2k pairs that occur in items. They drop no match.
+Conditions that every match meets are tested on all positions before the walks: k edits destroy at most gk of an item's
+runs of g words, so a match of an item of n words holds n - g + 1 - gk runs that occur in items of its class (g = 2 and 3). They drop
+no match.
 
 A match is a stretch of a document whose word edit distance from the item is at most a fifth of the item's words.
 Items of under 5 words are too short for that and are left out. Items are taken in blocks of bounded size, each against
@@ -29,7 +30,7 @@ from .common import raw, slices
 
 EDITS, MIN_WORDS, WALKS, SAMPLES, SAMPLED, BLOCK_ITEMS = 0.2, 5, 4, 8, 4, 20_000
 WORD = re.compile(r"[^\W_]+")
-PAIR_BITS = 22
+GRAMS = (2, 3)
 
 
 def item_words(text: str) -> list[str]:
@@ -65,19 +66,25 @@ class Matcher:
         self.items = [(i, w) for i, w in ((i, item_words(t)) for i, t in items) if len(w) >= MIN_WORDS]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in self.items for w in ws}), 1)}
         self.ids = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in self.items]
-        self.pairs = np.zeros(1 << PAIR_BITS, bool)
-        for ids in self.ids:
-            self.pairs[self._pair(ids)] = True
-        self.classes: list[tuple[int, int, int, int]] = []  # item words from, to; pairs needed; steps of a walk
+        self.classes: list[tuple[int, int, int]] = []  # item words from, to; steps of a walk
         lengths = sorted({len(w) for w in self.ids})
         while lengths:
             low = lengths[0]
             of = [n for n in lengths if n <= max(low + 1, low * 5 // 4)]
+            # very many classes share the last one, which may then need more starts, but loses none
+            of = lengths if len(self.classes) == 31 else of
             lengths = lengths[len(of) :]
-            self.classes.append((low, of[-1], min(n - 1 - 2 * allowed(n) for n in of), 2 * low))
+            self.classes.append((low, of[-1], 2 * low))
+        self.shift = 64 - min(26, max(18, 5 + sum(map(len, self.ids)).bit_length()))
+        self.runs = {g: np.zeros(1 << 64 - self.shift, np.uint32) for g in GRAMS}
+        self.needed = {g: [min(n - g + 1 - g * allowed(n) for n in {len(w) for w in self.ids} if low <= n <= high) for low, high, _ in self.classes] for g in GRAMS}
+        for ids in self.ids:
+            c = next(c for c, (low, high, _) in enumerate(self.classes) if low <= len(ids) <= high)
+            for g in GRAMS:
+                self.runs[g][self._runs(ids, g)] |= np.uint32(1 << c)
         self.bits = np.random.default_rng(20).integers(0, 2, (WALKS, 2 * max((len(w) for w in self.ids), default=1), len(self.vocabulary) + 1), np.uint8)
         self.tables: list[dict[tuple[int, int, int], list[int]]] = []
-        for low, high, _, steps in self.classes:
+        for low, high, steps in self.classes:
             table: dict[tuple[int, int, int], list[int]] = defaultdict(list)
             for k, ids in enumerate(self.ids):
                 if low <= len(ids) <= high:
@@ -85,11 +92,27 @@ class Matcher:
                         table[walk, sample, int(keys[0])].append(k)
             self.tables.append(dict(table))
 
-    @staticmethod
-    def _pair(ids: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            code = ids[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ ids[1:].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-            return (code * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+    def _runs(self, ids: np.ndarray, g: int) -> np.ndarray:
+        """Slot of the run of g words at each position."""
+        n = max(0, len(ids) - g + 1)
+        code, words = np.zeros(n, np.uint64), ids.astype(np.uint64)
+        for k in range(g):
+            code = (code ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            code ^= code >> np.uint64(32)
+        return (code * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(self.shift)).astype(np.int64)
+
+    def _starts(self, masks: dict[int, np.ndarray], c: int, n: int) -> np.ndarray:
+        """Positions whose window holds enough runs of items of class c."""
+        high = self.classes[c][1]
+        span, fine = high + allowed(high), np.ones(n, bool)
+        for g, mask in masks.items():
+            if (needed := self.needed[g][c]) > 0:
+                seen = np.concatenate(([0], np.cumsum(mask >> np.uint32(c) & np.uint32(1), dtype=np.int64)))
+                if seen[-1] < needed:
+                    return np.zeros(0, np.int64)
+                at = np.minimum(np.arange(n), len(seen) - 1)
+                fine &= seen[np.minimum(at + span - g + 1, len(seen) - 1)] - seen[at] >= needed
+        return np.flatnonzero(fine)
 
     def _keys(self, ids: np.ndarray, starts: np.ndarray, steps: int) -> Iterator[tuple[int, int, np.ndarray]]:
         """(walk, sample, key of each start): the words written at the sampled steps of the walk."""
@@ -110,17 +133,15 @@ class Matcher:
 
     def find(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item, distance, start, end) of the best match of each item in one document."""
-        if len(ids) < 2 or not self.classes:
+        if not self.classes:
             return []
-        seen = np.concatenate(([0], np.cumsum(self.pairs[self._pair(ids)] & (ids[:-1] > 0) & (ids[1:] > 0))))
-        if seen[-1] < min(c[2] for c in self.classes):
+        masks = {g: self.runs[g][self._runs(ids, g)] for g in GRAMS}
+        if any(min(self.needed[g]) > 0 and np.count_nonzero(m) < min(self.needed[g]) for g, m in masks.items()):
             return []
         best: dict[int, tuple[int, int, int]] = {}
         padded = np.concatenate((ids, np.zeros(4 * self.classes[-1][1], np.int64)))
-        for (low, high, needed, steps), table in zip(self.classes, self.tables, strict=True):
-            span = min(high + allowed(high), len(seen))
-            ends = np.minimum(np.arange(len(ids)) + span - 1, len(seen) - 1)
-            starts = np.flatnonzero(seen[ends] - seen[np.arange(len(ids))] >= needed)
+        for c, ((_, _, steps), table) in enumerate(zip(self.classes, self.tables, strict=True)):
+            starts = self._starts(masks, c, len(ids))
             if not len(starts):
                 continue
             found: dict[int, list[int]] = defaultdict(list)
@@ -187,12 +208,12 @@ def _finder(matcher: Matcher):
         for batch in slices(batches, 512):
             out: list[tuple[int, ...]] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), raw(batch, "text"), strict=True):
-                got = list(map(cache.__getitem__, text.split()))
+                chunks = text.split()
                 try:
-                    ids = np.array(got, np.int64)
+                    ids = np.fromiter(map(cache.__getitem__, chunks), np.int64, len(chunks))
                 except (TypeError, ValueError):  # a chunk of no word or of several
-                    ids = np.array([i for g in got for i in (g if isinstance(g, tuple) else (g,))], np.int64)
-                out += [(doc_id, matcher.items[k][0], d, len(matcher.ids[k]), s, e - s) for k, d, s, e in matcher.find(ids.reshape(-1))]
+                    ids = np.array([i for g in map(cache.__getitem__, chunks) for i in (g if isinstance(g, tuple) else (g,))], np.int64)
+                out += [(doc_id, matcher.items[k][0], d, len(matcher.ids[k]), s, e - s) for k, d, s, e in matcher.find(ids)]
             cols = list(zip(*out, strict=True)) or [()] * 6
             names = ("doc_id", "item_id", "edits", "item_words", "start_word", "n_words")
             yield pa.record_batch({n: pa.array(c, pa.int64()) for n, c in zip(names, cols, strict=True)})
