@@ -97,16 +97,16 @@ def best_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, hops: in
     edges (sample_id, source, target, weight), starts and targets (sample_id, node). A hop is one join; after it each node
     keeps its best product, so the frontier never exceeds the nodes. Paths end at a target.
     """
-    best = edges.groupBy("sample_id", "source", "target").agg(F.max("weight").alias("weight"))
-    ends = targets.select("sample_id", F.col("node").alias("target")).distinct()
+    best = edges.groupBy("sample_id", "source", "target").agg(F.max("weight").cast("double").alias("weight"))
+    ends = targets.select("sample_id", "node").distinct()
+    # from the second hop on, a target leads only to itself: found paths ride along, and each hop reads the last one once
+    onward = best.join(ends.withColumnRenamed("node", "source"), ["sample_id", "source"], "left_anti")
+    onward = onward.unionByName(ends.select("sample_id", F.col("node").alias("source"), F.col("node").alias("target"), F.lit(1.0).alias("weight")))
     front = starts.select("sample_id", F.col("node").alias("source"), F.lit(1.0).alias("score")).distinct()
-    found = None
-    for _ in range(hops):
-        step = front.join(best, ["sample_id", "source"]).groupBy("sample_id", "target").agg(F.max(F.col("score") * F.col("weight")).alias("score"))
-        hit = step.join(ends, ["sample_id", "target"], "left_semi")
-        found = hit if found is None else found.unionByName(hit)
-        front = step.join(ends, ["sample_id", "target"], "left_anti").select("sample_id", F.col("target").alias("source"), "score")
-    return found.groupBy("sample_id", "target").agg(F.max("score").alias("score"))
+    for hop in range(hops):
+        step = front.join(onward if hop else best, ["sample_id", "source"])
+        front = step.groupBy("sample_id", F.col("target").alias("source")).agg(F.max(F.col("score") * F.col("weight")).alias("score"))
+    return front.join(ends.withColumnRenamed("node", "source"), ["sample_id", "source"], "left_semi").select("sample_id", F.col("source").alias("target"), "score")
 
 
 def segment_softmax(edges: DataFrame, logit: Column, by: str = "target") -> DataFrame:
