@@ -35,7 +35,7 @@ def token_set(text: Column, lexicon: Lexicon = DEFAULT) -> Column:
 
 def sentences(text: Column) -> Column:
     marked = F.regexp_replace(F.trim(text), r"([.!?])\s+", "$1\x01")
-    return F.filter(F.transform(F.split(marked, "\x01"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, "\x01"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def clauses(sentence: Column, shortest: int = 12) -> Column:

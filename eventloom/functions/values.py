@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .lexicons import PAIR_LABELS
 
@@ -43,7 +44,7 @@ def label(value: Column) -> Column:
     return F.when(value.isin(PAIR_LABELS), value).otherwise("none")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def first_json_object(text: pd.Series) -> pd.Series:
     """First balanced object in free text that parses, or null."""
 
@@ -61,7 +62,7 @@ def first_json_object(text: pd.Series) -> pd.Series:
     return text.map(scan)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def literal_list(text: pd.Series) -> pd.Series:
     """A written list of values as strings; anything else is empty."""
 
@@ -75,7 +76,7 @@ def literal_list(text: pd.Series) -> pd.Series:
     return text.map(read)
 
 
-@F.pandas_udf("map<string,array<string>>")
+@F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.StringType())))
 def literal_map(text: pd.Series) -> pd.Series:
     """A written map to lists of strings: single values are wrapped, None is dropped; anything else is empty."""
 

@@ -20,7 +20,7 @@ def _list(c: Column, kind: str = "array<string>") -> Column:
 
 
 def _tidy(refs: Column) -> Column:
-    return F.filter(F.transform(refs, F.trim), lambda r: r.isNotNull() & (r != ""))
+    return F.filter(F.transform(refs, lambda r: F.trim(r)), lambda r: r.isNotNull() & (r != ""))
 
 
 def parse_forecasts(rows: DataFrame, text: str = "response") -> DataFrame:

@@ -80,8 +80,8 @@ temporal AS (SELECT sample_id, 'edge' || (row_number() OVER (PARTITION BY sample
 ENDS = "ends AS (SELECT sample_id, source AS event_id, 1 AS o FROM coarse UNION ALL SELECT sample_id, target, 0 FROM coarse)"
 DEGREES = f"{ENDS}, deg AS (SELECT sample_id, event_id, count(ends.o) FILTER (ends.o = 1) AS out_degree, count(ends.o) FILTER (ends.o = 0) AS in_degree, count(ends.o) AS degree FROM ev LEFT JOIN ends USING (sample_id, event_id) GROUP BY 1, 2)"
 
-FIRST = """firsts AS (SELECT sample_id, event_id, min(p) AS at FROM (SELECT sample_id, source AS event_id, 2 * pair_rank AS p FROM coarse UNION ALL SELECT sample_id, target, 2 * pair_rank + 1 FROM coarse) GROUP BY 1, 2),
-kept AS (SELECT * FROM (SELECT ev.sample_id, ev.event_id, row_number() OVER (PARTITION BY ev.sample_id ORDER BY at ASC NULLS LAST, degree DESC, confidence DESC, sentence_index, ev.event_id) AS n
+FIRST = """firsts AS (SELECT sample_id, event_id, min(p) AS place FROM (SELECT sample_id, source AS event_id, 2 * pair_rank AS p FROM coarse UNION ALL SELECT sample_id, target, 2 * pair_rank + 1 FROM coarse) GROUP BY 1, 2),
+kept AS (SELECT * FROM (SELECT ev.sample_id, ev.event_id, row_number() OVER (PARTITION BY ev.sample_id ORDER BY place ASC NULLS LAST, degree DESC, confidence DESC, sentence_index, ev.event_id) AS n
     FROM ev JOIN deg USING (sample_id, event_id) LEFT JOIN firsts USING (sample_id, event_id)) WHERE n <= 8)"""
 
 DAYS = "epoch(CAST(publish_time AS TIMESTAMP)) / 864e2"
@@ -115,7 +115,7 @@ ORACLE_SQL = {
     "normalized_text": f"SELECT item_id, array_to_string({content('text')}, ' ') AS normalized FROM benchmark",
     "sentence_split": f"SELECT doc_id, pos - 1 AS pos, s[pos] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS pos FROM (SELECT doc_id, {sentences('text')} AS s FROM documents))",
     "titlecase_entities": r"""SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(e), lambda x: [CAST(lpad(CAST(list_position(e, x) AS VARCHAR), 9, '0') AS VARCHAR), x]))[1:6], lambda y: y[2]), '|') AS entities
-        FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b'), lambda w: lower(w) NOT IN ('as', 'how', 'what', 'when', 'where', 'which', 'who', 'why')) AS e FROM documents)""",
+        FROM (SELECT doc_id, list_filter(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '_', 'g'), '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b'), lambda w: lower(w) NOT IN ('as', 'how', 'what', 'when', 'where', 'which', 'who', 'why')) AS e FROM documents)""",
     "compact_text": f"SELECT doc_id, {compact('text', 120)} AS short FROM documents",
     "event_mentions": f"WITH {NODES} SELECT event_id, sample_id, document_id, sentence_index, text, publish_time, confidence FROM nodes",
     "stems_and_triggers": """SELECT event_type, CASE WHEN length(event_type) + 3 > 5 THEN event_type ELSE event_type || 'ing' END AS stem_ing,
@@ -189,12 +189,12 @@ ORACLE_SQL = {
         SELECT *, {ratio("events * (events - 1) - wrong_type - missed - extra", "(events * (events - 1))")} AS pair_accuracy FROM z""",
     "review_tags": f"WITH {NODES}, {PAIRS}, {TEMPORAL} SELECT CASE WHEN g.relation_type IS NULL THEN 'EXTRA' WHEN p.relation_type IS NULL THEN 'MISS' WHEN g.relation_type = p.relation_type THEN 'MATCH' ELSE 'MIS-TYPE' END AS tag, count(*) AS n FROM temporal g FULL JOIN predicted p USING (sample_id, source, target) GROUP BY 1",
     "pair_stats": f"WITH {NODES}, {PAIRS} SELECT count(*) AS pairs, count(DISTINCT sample_id) AS samples, " + ", ".join(f"count(*) FILTER (rel = '{x}') AS n_{x}" for x in ("none", "precedes", "causes", "escalates", "mitigates")) + " FROM pairs",
-    "answer_scores": "WITH o AS (SELECT o_custkey % 9 = o_orderkey % 5 AS hit, o_custkey % 9 = o_orderkey % 5 OR o_orderkey % 9 = o_orderkey % 5 AS any FROM orders) SELECT CASE WHEN hit THEN 1e0 WHEN any THEN 5e-1 ELSE 0e0 END AS reward, count(*) AS n, count(*) FILTER (hit) AS hits, count(*) FILTER (any) AS hits_with_alternatives FROM o GROUP BY 1",
+    "answer_scores": "WITH o AS (SELECT o_custkey % 9 = o_orderkey % 5 AS hit, o_custkey % 9 = o_orderkey % 5 OR o_orderkey % 9 = o_orderkey % 5 AS other FROM orders) SELECT CASE WHEN hit THEN 1e0 WHEN other THEN 5e-1 ELSE 0e0 END AS reward, count(*) AS n, count(*) FILTER (hit) AS hits, count(*) FILTER (other) AS hits_with_alternatives FROM o GROUP BY 1",
     "missing_refs": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "with_refs": "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "parsed_forecasts": f"""WITH {NODES}, s AS (SELECT sample_id, lpad(CAST(sample_id % 20 AS VARCHAR), 3, '0') AS code FROM ev GROUP BY 1)
         SELECT sample_id, sample_id % 3 <> 2 AS parsed_json, sample_id % 3 = 0 AS has_trace, code AS event_code, CASE WHEN sample_id % 3 = 2 OR code = '007' THEN '' ELSE '007' END AS alternatives,
-        CASE WHEN sample_id % 3 = 0 THEN 2 ELSE 0 END AS n_events, CASE WHEN sample_id % 3 = 0 THEN 1 ELSE 0 END AS n_edges, CASE sample_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END AS n_refs, CASE sample_id % 3 WHEN 0 THEN 1e0 WHEN 1 THEN 5e-1 ELSE 0e0 END AS confidence FROM s""",
+        CAST(CASE WHEN sample_id % 3 = 0 THEN 2 ELSE 0 END AS BIGINT) AS n_events, CAST(CASE WHEN sample_id % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_edges, CAST(CASE sample_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END AS BIGINT) AS n_refs, CASE sample_id % 3 WHEN 0 THEN 1e0 WHEN 1 THEN 5e-1 ELSE 0e0 END AS confidence FROM s""",
     "trajectories": f"WITH {NODES}, {COARSE} SELECT sample_id, CAST(count(*) AS VARCHAR) AS observation, 'keep' AS action, count(*) * 2e0 AS reward FROM coarse GROUP BY 1",
     "train_split": "WITH n AS (SELECT count(*) AS n, greatest(1, CAST(floor(count(*) * 2e-1) AS BIGINT)) AS v FROM customer) SELECT true AS is_validation, v AS n FROM n UNION ALL SELECT false, n - v FROM n",
 }
