@@ -87,6 +87,6 @@ def _by_expression(rows: DataFrame, known: DataFrame, shapes: list[tuple[int, in
     expressions = F.array_compact(F.array(*[_expression(*s) for s in sorted(shapes)]))
     asked = urls.select("host", "path", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).alias("salt"), F.explode(expressions).alias("e"))
     asked = asked.withColumn("wanted", F.sha2("e", 256)).withColumn("prefix", F.substring("wanted", 1, PREFIX_HEX))
-    salted = known.select("prefix", "digest", F.col("rule").alias("r"), F.col("action").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"))
+    salted = known.select("prefix", "digest", F.col("rule").alias("r"), F.col("action").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     met = asked.join(salted, ["prefix", "salt"]).select("host", "path", _rank(F.col("digest"), F.col("r"), F.col("a"), F.col("wanted")).alias("best"))
     return rows.join(met.groupBy("host", "path").agg(F.max("best").alias("best")), ["host", "path"], "left")
