@@ -132,9 +132,10 @@ def search(vectors: DataFrame, query_modulus: int = 50, k: int = 5, id_col: str
     for (curve, part), n in sorted(counts.items()):
         before[curve, part] = total[curve]
         total[curve] += n
-    offset = F.create_map(*[F.lit(x) for (c, p), n in before.items() for x in (f"{c}/{p}", n)])
+    offsets = spark.createDataFrame([(c, p, n) for (c, p), n in before.items()], "curve int, part int, offset long")
     local = F.row_number().over(Window.partitionBy("curve", "part").orderBy("key", "vec"))
-    ranked = ordered.withColumn("rank", (local - 1 + F.element_at(offset, F.concat_ws("/", F.col("curve").cast("string"), F.col("part").cast("string")))).cast("long"))
+    ranked = ordered.withColumn("local", local - 1).join(F.broadcast(offsets), ["curve", "part"])  # a row a curve and partition
+    ranked = ranked.withColumn("rank", F.col("local") + F.col("offset"))
     ranked = materialise(ranked.select("curve", "rank", "vec", "ids"))
     window = _window(rows, classes, queries, ranked, dims, k, total[0], target)
 

@@ -86,6 +86,15 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
 }
 ORACLE_SQL = {
+    "op10_substring_dedup": r"""
+        WITH docs AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+            starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM docs WHERE len(w) >= 20),
+            windows AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM starts),
+            again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1),
+            gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM again),
+            words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM docs),
+            kept AS (SELECT doc_id, count(g.k) AS n_removed, string_agg(x, ' ' ORDER BY words.k) FILTER (g.k IS NULL) AS t FROM words LEFT JOIN gone g USING (doc_id, k) GROUP BY 1)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)""",
     "op3_url_filter": r"""
         WITH rules(action, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
                 ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
