@@ -114,6 +114,14 @@ ORACLE_SQL = {
     "token_counts": f"SELECT doc_id, len({toks('text')}) AS n_tokens, len(list_distinct({toks('text')})) AS n_distinct FROM documents",
     "normalized_text": f"SELECT item_id, array_to_string({content('text')}, ' ') AS normalized FROM benchmark",
     "sentence_split": f"SELECT doc_id, pos - 1 AS pos, s[pos] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS pos FROM (SELECT doc_id, {sentences('text')} AS s FROM documents))",
+    "clause_split": rf"""WITH s AS (SELECT item_id, pos - 1 AS s, x[pos] AS sentence FROM (SELECT item_id, x, unnest(range(1, len(x) + 1)) AS pos FROM (SELECT item_id, {sentences('text')} AS x FROM benchmark))),
+        p AS (SELECT item_id, s, trim(sentence, ' ,.-') AS whole, list_filter(list_transform(string_split_regex(sentence, '(?i)\s*(?:,?\s+(?:and|but|while|after|because|since|as|which|who|that)\s+|[;:])\s*'), lambda c: trim(c, ' ,.-')), lambda c: length(c) >= 12) AS k FROM s),
+        f AS (SELECT item_id, s, CASE WHEN len(k) > 0 THEN k WHEN length(whole) > 0 THEN [whole] ELSE [] END AS k FROM p)
+        SELECT item_id, s, c - 1 AS c, k[c] AS clause FROM (SELECT item_id, s, k, unnest(range(1, len(k) + 1)) AS c FROM f)""",
+    "clean_documents": rf"""WITH {NEWS}, l AS (SELECT document_id, array_to_string({content("coalesce(title, '')")}, ' ') AS tn, list_transform(string_split(text, chr(10)), lambda x: {collapse("x")}) AS lines FROM news),
+        u AS (SELECT document_id, tn, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM l), n AS (SELECT *, array_to_string({content("line")}, ' ') AS norm FROM u),
+        k AS (SELECT *, row_number() OVER (PARTITION BY document_id, norm ORDER BY i) AS r FROM n WHERE norm <> '' AND norm <> tn AND NOT (starts_with(lower(line), 'by ') AND len(string_split(line, ' ')) <= 8) AND NOT starts_with(lower(line), 'source:'))
+        SELECT document_id, coalesce(cleaned, '') AS cleaned FROM news LEFT JOIN (SELECT document_id, string_agg(line, chr(10) ORDER BY i) AS cleaned FROM k WHERE r = 1 GROUP BY 1) USING (document_id)""",
     "titlecase_entities": r"""SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(e), lambda x: [CAST(lpad(CAST(list_position(e, x) AS VARCHAR), 9, '0') AS VARCHAR), x]))[1:6], lambda y: y[2]), '|') AS entities
         FROM (SELECT doc_id, list_filter(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '_', 'g'), '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b'), lambda w: lower(w) NOT IN ('as', 'how', 'what', 'when', 'where', 'which', 'who', 'why')) AS e FROM documents)""",
     "compact_text": f"SELECT doc_id, {compact('text', 120)} AS short FROM documents",

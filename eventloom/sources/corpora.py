@@ -5,7 +5,7 @@ from __future__ import annotations
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -99,7 +99,8 @@ def gold_graphs(rows: DataFrame, context: int = 8) -> tuple[DataFrame, DataFrame
         told = one if told is None else told.unionByName(one)
     ids = events.select("sample_id", "gold_id", "event_id")
     edges = told.join(ids.toDF("sample_id", "a", "source"), ["sample_id", "a"]).join(ids.toDF("sample_id", "b", "target"), ["sample_id", "b"])
-    edges = dedupe_edges(edges.select("sample_id", "source", "target", "relation_type", "score", F.col("at").alias("ord")))
+    order = F.row_number().over(Window.partitionBy("sample_id").orderBy("at")) - 1
+    edges = dedupe_edges(edges.select("sample_id", "source", "target", "relation_type", "score", order.alias("ord")))
     fit = events.groupBy("sample_id").count().where("count >= 2").join(edges.select("sample_id").distinct(), "sample_id", "left_semi").select("sample_id")
     return events.join(fit, "sample_id", "left_semi"), edges.join(fit, "sample_id", "left_semi")
 
