@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from .common import slices, texts
 from .packing import worker_cache
 
-DIMS, CACHED_TRIGRAMS, SPACE = 1024, 60_000, 32
+DIMS, CACHED_TRIGRAMS, SPACE = 1024, 40_000, 32
 UNKNOWN = "und"
 
 
@@ -75,7 +75,7 @@ class Trigrams:
 
 
 def _tools(dims: int) -> tuple[np.ndarray, Trigrams]:
-    return worker_cache("letters", _letters), worker_cache(f"trigrams_{dims}", lambda: Trigrams(dims))
+    return worker_cache(f"language_id_{dims}", lambda: (_letters(), Trigrams(dims)))
 
 
 def train(labelled: DataFrame, dims: int = DIMS) -> dict[str, np.ndarray]:
@@ -102,7 +102,7 @@ def train(labelled: DataFrame, dims: int = DIMS) -> dict[str, np.ndarray]:
                 codes, n = trigrams("\n".join(some), letter)
                 for code, k in zip(codes.tolist(), n.tolist(), strict=True):
                     seen[code] = seen.get(code, 0) + k
-            if sum(map(len, counts.values())) > 400_000:
+            if sum(map(len, counts.values())) > 200_000:
                 settle()
         settle()
         for lang, total in sums.items():

@@ -2,7 +2,8 @@
 
 Each scan partition is packed by itself, without a shuffle: documents longer than a window are cut into full windows,
 the rests are sorted by length, longest first, and a segment tree indexed by remaining capacity finds the tightest
-open window. Groups of about 16 million ids are packed at a time, which bounds memory at any partition size.
+open window. Groups of about 16 million ids (4 million, if the ids are returned) are packed at a time, which bounds
+memory at any partition size.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import raw, slices
 
-WINDOW, END_ID, GROUP_IDS, CACHE_WORDS = 2048, 1, 1 << 24, 600_000
+WINDOW, END_ID, GROUP_IDS, CACHE_WORDS = 2048, 1, 1 << 24, 400_000
 MARKS = b".,;:!?*$%&#"
 
 
@@ -81,11 +82,13 @@ def best_fit_decreasing(lengths: list[int], capacity: int = WINDOW) -> list[tupl
 
 
 def worker_cache(name: str, make: Callable[[], object]) -> object:
-    """Something kept by a Python worker between tasks."""
+    """Something kept by a Python worker between tasks; what another operator kept there goes."""
     kept = sys.modules.setdefault("_eventloom_worker", types.ModuleType("_eventloom_worker"))
-    if not hasattr(kept, name):
-        setattr(kept, name, make())
-    return getattr(kept, name)
+    if getattr(kept, "name", None) != name:
+        kept.name = kept.value = None
+        kept.value = make()
+        kept.name = name
+    return kept.value
 
 
 class Encoder:
@@ -137,6 +140,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     row. A sequence is the pieces with one sequence_id, without gaps from offset 0; it is padded to the window.
     """
     end = np.array([end_id], "<u4").tobytes()
+    group, chunk = (GROUP_IDS // 4, 1024) if with_ids else (GROUP_IDS, 8192)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -155,8 +159,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
             place = dict(zip(full, ((k, 0) for k in range(len(full))), strict=True))
             for k, (at, offset) in zip(rest, best_fit_decreasing([rows[k][2] for k in rest], window), strict=True):
                 place[k] = (at + len(full), offset)
-            for low in range(0, len(rows), 8192):
-                part = rows[low : low + 8192]
+            for low in range(0, len(rows), chunk):
+                part = rows[low : low + chunk]
                 cols = list(zip(*part, strict=True))
                 out = {n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens"), cols, strict=False)}
                 out["sequence_id"] = pa.array([first_id + sequences + place[low + k][0] for k in range(len(part))], pa.int64())
@@ -177,7 +181,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
                     row = (doc_id, start, len(piece) // 4, zlib.crc32(piece), n)
                     rows.append((*row, piece) if with_ids else row)
                 held += n
-            if held >= GROUP_IDS:
+            if held >= group:
                 yield from flush()
         if rows:
             yield from flush()
