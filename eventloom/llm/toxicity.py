@@ -128,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Mod
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = materialise(docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic"))
+    # at most max_rows pairs of numbers: sent to the documents, whose texts then need no shuffle
+    rows = materialise(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic"))
     size = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
