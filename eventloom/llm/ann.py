@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, tidy
 
 CURVES, DIMS, BITS, BLOCK, PILOT, TARGET = 6, 6, 6, 2048, 48, 0.97
 
@@ -77,7 +77,7 @@ def clean(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
         for b in batches:
             yield pa.record_batch({"vec_id": b.column(0), "vec": pa.array([struct.pack(f"<{len(v)}d", *v) for v in b.column(1).to_pylist()], pa.binary())})
 
-    return fine.mapInArrow(run, "vec_id long, vec binary")
+    return fine.mapInArrow(tidy(run), "vec_id long, vec binary")
 
 
 def _top(scores: np.ndarray, ids: list[list[int]], own: int, k: int) -> list[tuple[float, int]]:
@@ -122,7 +122,7 @@ def search(vectors: DataFrame, query_modulus: int = 50, k: int = 5, id_col: str
             for c in range(CURVES):
                 yield pa.record_batch({"curve": pa.array(np.full(len(m), c, np.int32)), "key": pa.array(curve_keys(unit, c)), "vec": b.column(0), "ids": b.column(1)})
 
-    placed = classes.select("vec", "ids").mapInArrow(place, "curve int, key long, vec binary, ids array<long>")
+    placed = classes.select("vec", "ids").mapInArrow(tidy(place), "curve int, key long, vec binary, ids array<long>")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = materialise(placed.repartitionByRange(parts, "curve", "key", "vec").sortWithinPartitions("curve", "key", "vec").withColumn("part", F.spark_partition_id()))
     # global ranks: the rank inside a partition and curve, plus what earlier partitions hold (a number a partition)
@@ -176,7 +176,7 @@ def _window(rows: DataFrame, classes: DataFrame, queries: DataFrame, ranked: Dat
                     top = np.argsort(-row, kind="stable")[: k + 1]
                     yield pa.record_batch({"q": pa.array([i] * len(top), pa.int32()), "score": pa.array(row[top]), "vec": b.column(0).take(pa.array(top)), "ids": pa.array([ids[t] for t in top], pa.list_(pa.int64()))})
 
-    found = classes.select("vec", "ids").mapInArrow(brute, "q int, score double, vec binary, ids array<long>")
+    found = classes.select("vec", "ids").mapInArrow(tidy(brute), "q int, score double, vec binary, ids array<long>")
     found = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec"))).where(F.col("r") <= k + 1).select("q", "score", "vec", "ids").collect()
     wanted = F.broadcast(rows.sparkSession.createDataFrame([(bytes(r.vec),) for r in found] + [(bytes(r.vec),) for r in pilot], "vec binary").distinct())
     places: dict[bytes, dict[int, int]] = {}

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, tidy
 
 
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,8 +52,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Null ends and loops are left out; an empty table gives an empty one. Rounds end when a round changes nothing;
     every round is written to the shared folder, so the plan stays short and lost executors cost one round at most.
     """
-    tidy = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src > dst")
-    now = materialise(tidy.mapInArrow(_local_stars, "src long, dst long").distinct())
+    edges = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src > dst")
+    now = materialise(edges.mapInArrow(tidy(_local_stars), "src long, dst long").distinct())
     # Stars: every src has one edge, and no dst is a src. Where that holds already, no round is needed.
     for _ in range(max_rounds):
         ends = now.groupBy("src").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, slices
+from .common import raw, slices, tidy
 
 EDITS, MIN_WORDS, WALKS, SAMPLES, SAMPLED, BLOCK_ITEMS = 0.2, 5, 4, 8, 4, 20_000
 WORD = re.compile(r"[^\W_]+")
@@ -197,7 +197,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         part = known.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block)
         matcher = Matcher(sorted({(r.item_id, r.text) for r in part.collect()}))
         if matcher.items:
-            one = rows.mapInArrow(_finder(matcher), schema)
+            one = rows.mapInArrow(tidy(_finder(matcher)), schema)
             out = one if n_blocks == 1 else out.unionByName(one)
     return out
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, texts
+from .common import slices, texts, tidy
 from .packing import worker_cache
 
 DIMS, CACHED_TRIGRAMS, SPACE = 1024, 40_000, 32
@@ -108,7 +108,7 @@ def train(labelled: DataFrame, dims: int = DIMS) -> dict[str, np.ndarray]:
         for lang, total in sums.items():
             yield pa.record_batch({"lang": pa.array([lang]), "v": pa.array([total.tolist()], pa.list_(pa.int64()))})
 
-    parts = labelled.select("text", "lang").mapInArrow(run, "lang string, v array<long>")
+    parts = labelled.select("text", "lang").mapInArrow(tidy(run), "lang string, v array<long>")
     sums = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     out: dict[str, np.ndarray] = {}
     for r in sums.collect():  # languages x dims numbers
@@ -144,7 +144,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dims: int = DIMS
             yield pa.record_batch(out | {"lang_pred": pa.array(found, pa.string()), "score": pa.array(scores, pa.float64()), "letters": pa.array(sizes, pa.int64())})
 
     kept = [f for f in rows.schema.fields if keep_text or f.name != "text"]
-    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("letters", T.LongType())]))
+    return rows.mapInArrow(tidy(run), T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("letters", T.LongType())]))
 
 
 def rejected(dims: int = DIMS, letters: int = 50):

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, slices
+from .common import raw, slices, tidy
 
 WINDOW, END_ID, GROUP_IDS, CACHE_WORDS = 2048, 1, 1 << 24, 400_000
 MARKS = b".,;:!?*$%&#"
@@ -187,4 +187,4 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
             yield from flush()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), schema + ", ids array<int>" * with_ids)

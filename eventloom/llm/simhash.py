@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialise, raw
+from .common import arrow_map, materialise, raw, tidy
 from .components import connected_components
 
 CODE_BITS = 31
@@ -139,7 +139,7 @@ def links(classes: DataFrame, bits: int = 3) -> DataFrame:
     if not 0 <= bits <= 3:
         raise ValueError("the anchors cover at most 3 bits")
     rows = classes.repartition("fp").select(F.explode(_anchor_keys(F.col("fp"))).alias("a"), "node", "fp").select("a.key", "node", "fp", "a.home")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(bits), "src long, dst long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_compare(bits)), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, discard, materialise, raw, shared_dir
+from .common import arrow_map, discard, materialise, raw, shared_dir, tidy
 
 RUN_SCHEMA = "h long, doc_id long, tag long, pos int"
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -141,13 +141,13 @@ class FingerprintIndex:
         places = met.groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("pos"), F.first("old").alias("old"))
         words = self._keep(places.join(archive.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id"), "words")
         # 4. windows at these fingerprints, by a digest of their words: all but the first are repeats
-        hits = words.mapInArrow(self._windows(), "a long, b long, doc_id long, start int, tag long, old boolean")
+        hits = words.mapInArrow(tidy(self._windows()), "a long, b long, doc_id long, start int, tag long, old boolean")
         hits = self._keep(hits, "hits")
         first = hits.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").drop("n")
         first = self._keep(first, "first")
         again = hits.where("not old").join(first, ["a", "b"]).where(F.struct("doc_id", "start") != F.col("first"))
         starts = again.groupBy("doc_id", "tag").agg(F.collect_set("start").alias("starts"))
-        cut = self._keep(words.where("not old").join(starts, ["doc_id", "tag"]).select("doc_id", "tag", "text", "starts").mapInArrow(self._cut(), "doc_id long, tag long, n_removed long, kept_sha256 string, removed array<int>").distinct(), "cut")
+        cut = self._keep(words.where("not old").join(starts, ["doc_id", "tag"]).select("doc_id", "tag", "text", "starts").mapInArrow(tidy(self._cut()), "doc_id long, tag long, n_removed long, kept_sha256 string, removed array<int>").distinct(), "cut")
         for done in (words, hits, met, shared, first):
             discard(done)
         # 5. every row of the batch
@@ -268,4 +268,4 @@ def strip(docs: DataFrame, window: int = 20, gram: int = 8, batches: int = 2) ->
                 cols["n_chars"] = pa.compute.if_else(cuts.is_valid(), sizes, cols["n_chars"])
             yield pa.record_batch(cols).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(tidy(run), docs.schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import slices, texts, tidy
 from .packing import worker_cache
 
 MARK, CACHE_WORDS, UNKNOWN_PENALTY = "▁", 500_000, 10.0
@@ -148,4 +148,4 @@ def token_counts(docs: DataFrame, model_path: str, keep: list[str]) -> DataFrame
 
     rows = docs.select(*keep, F.col("text").alias("_text"))
     extra = [T.StructField(n, T.LongType()) for n in ("n_words", "n_tokens", "n_distinct")]
-    return rows.mapInArrow(run, T.StructType([*[f for f in rows.schema.fields if f.name != "_text"], *extra]))
+    return rows.mapInArrow(tidy(run), T.StructType([*[f for f in rows.schema.fields if f.name != "_text"], *extra]))

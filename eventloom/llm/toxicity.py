@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, raw, slices
+from .common import materialise, raw, slices, tidy
 
 TRAIN_ROWS, PREFIX, PRIOR, DRIFT, MIN_Z, THRESHOLD = 200_000, 5, 8.0, 0.35, 4.0, 0.3
 MARKS = b".,;:!?*$%&#\"'()[]{}<>-_=+/\\|~`@^"
@@ -118,7 +118,7 @@ def _counts(rows: DataFrame) -> DataFrame:
                 yield from settle()
         yield from settle()
 
-    return rows.select("text", "toxic").mapInArrow(run, "word binary, toxic int, n long").groupBy("word", "toxic").agg(F.sum("n").alias("n"))
+    return rows.select("text", "toxic").mapInArrow(tidy(run), "word binary, toxic int, n long").groupBy("word", "toxic").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Model:
@@ -189,7 +189,7 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
                 "n": pa.array([n for n, _ in found], pa.int64()), "s": pa.array([[x[2] for x in f] for _, f in found], pa.list_(pa.float64())), "toxic": batch.column(1),
             })
 
-    got = rows.select("text", "toxic").mapInArrow(run, "n long, s array<double>, toxic int").collect()  # at most max_rows
+    got = rows.select("text", "toxic").mapInArrow(tidy(run), "n long, s array<double>, toxic int").collect()  # at most max_rows
     other = [model.scale * max(r.s) - math.log(max(2, r.n)) for r in got if not r.toxic and r.s]
     share = len(other) / max(1, sum(not r.toxic for r in got))
     model.log_k = (sum(other) / len(other) - 0.5772 if other else 0.0) * share
@@ -225,4 +225,4 @@ def score(docs: DataFrame, model: Model, keep: list[str], threshold: float = THR
             yield pa.record_batch(out | {"passages": pa.array(worth, pa.list_(kind))})
 
     extra = T._parse_datatype_string("score double, predicted int, passages array<struct<from_word:int,to_word:int,score:double>>")
-    return rows.mapInArrow(run, T.StructType([*[f for f in rows.schema.fields if f.name != "_text"], *extra.fields]))
+    return rows.mapInArrow(tidy(run), T.StructType([*[f for f in rows.schema.fields if f.name != "_text"], *extra.fields]))
