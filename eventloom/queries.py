@@ -117,7 +117,7 @@ def choice_vocabulary(spark, d):
 
 
 def news_for_requests(spark, d):
-    orders = A.table(spark, d, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("query_id"), F.array(*[(F.col("o_custkey") * k) % 997 for k in (3, 5, 3)]).alias("docids"))
+    orders = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), F.array(*[(F.col("o_custkey") * k) % 997 for k in (3, 5, 3)]).alias("docids"))
     return retrieval.news_for_ids(orders, A.news_documents(spark, d).select("document_id", "ord", "title")).select("query_id", "document_id", F.col("pos").cast("long").alias("pos"), "title")
 
 
