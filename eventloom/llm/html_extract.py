@@ -1,32 +1,29 @@
 """Main text of web pages, by wrapper induction over pages of one host.
 
-Each page is parsed into a tree. Same-host trees are aligned by simple tree matching (Yang, 1991) into one template tree
-a host: matched nodes are merged, others added, and runs of like siblings share a slot. Every slot counts the pages
-that have it and, by a mergeable summary of frequent items, what text they have there. A text that at least half the host's
-distinct pages show in one slot (and at least 5 pages) is constant: it belongs to the template. What varies is content.
+Each page is parsed into a tree, whose blocks of text are named by the path of elements above them: the slot, which like siblings
+share. How many of its distinct pages show a text in a slot is counted exactly for every host, slot and text. A text that at least
+half the host's distinct pages show in one slot (and at least 5 pages) is constant: it belongs to the template. What varies is content.
 
 Menus, adverts and footers may vary from page to page too, so elements whose name, role, class or id says that
 they are not the article are left out as well; and of a page that marks its article (article or main, or that role), only that.
 
-Templates are built where the pages are, then merged in two steps by host; only constants travel to the extraction.
+The counts are rows, added up before they are shuffled; only constants travel to the extraction.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html
-import json
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, raw, slices, tidy
 
-SHARE, MIN_PAGES, SUMMARY, SLOTS, BROADCAST_CONSTANTS, SALTS = 0.5, 5, 8, 4000, 100_000, 16
+SHARE, MIN_PAGES, SLOTS, BROADCAST_CONSTANTS, SALTS, PAGE = 0.5, 5, 4000, 100_000, 16, 0
 TAG = re.compile(rb"<!--.*?(?:-->|\Z)|<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>)", re.S)
 NAME = re.compile(rb"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 RAW_END = {t: re.compile(rb"</" + t + rb"[^>]*>|\Z", re.I) for t in (b"script", b"style", b"noscript", b"template", b"textarea", b"title", b"iframe", b"svg", b"select", b"button", b"object", b"canvas")}
@@ -151,24 +148,12 @@ def blocks(root: Node) -> list[tuple[str, str]]:
     return out
 
 
-# Templates: [label, pages, {text hash: count}, children]
+def slot_key(path: str, text: str) -> int:
+    """A text in its slot, as a long other than PAGE."""
+    return int.from_bytes(hashlib.blake2b(f"{path} {text}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) or 1
 
 
-def page_tree(found: list[tuple[str, str]]) -> list:
-    """The tree of a page's slots: like siblings in a run share one, with the hashes of all their texts."""
-    root: list = ["", 1, {}, []]
-    for path, text in found:
-        node = root
-        for label in path.split("/"):
-            if not node[3] or node[3][-1][0] != label:
-                node[3].append([label, 1, {}, []])
-            node = node[3][-1]
-        node[2][digest(text)] = 1
-    return root
-
-
-def digest(text: str) -> str:
-    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
+# Alignment of two trees [label, pages, {text hash: count}, children]; the template's texts are counted without it
 
 
 def match(a: list, b: list, seen: dict | None = None) -> int:
@@ -193,9 +178,6 @@ def merge(a: list, b: list) -> list:
     a[1] += b[1]
     for h, n in b[2].items():
         a[2][h] = a[2].get(h, 0) + n
-    if len(a[2]) > 2 * SUMMARY:  # frequent items (Misra and Gries): what stays is short by no more than pages / SUMMARY
-        cut = sorted(a[2].values())[-SUMMARY - 1]
-        a[2] = {h: n - cut for h, n in a[2].items() if n > cut}
     xs, ys = a[3], b[3]
     if [x[0] for x in xs] == [y[0] for y in ys]:  # the same shape: aligned one to one
         for x, y in zip(xs, ys, strict=True):
@@ -223,72 +205,33 @@ def merge(a: list, b: list) -> list:
     return a
 
 
-def constants(template: list) -> list[tuple[str, str]]:
-    """(slot path, text hash) of the texts that belong to a template."""
-    pages, out = template[1], []
-
-    def walk(node: list, path: str | None) -> None:
-        for child in node[3]:
-            inner = child[0] if path is None else f"{path}/{child[0]}"
-            out.extend((inner, h) for h, n in child[2].items() if n >= MIN_PAGES and n >= SHARE * pages)
-            walk(child, inner)
-
-    if pages >= MIN_PAGES:
-        walk(template, None)
-    return out
-
-
 def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"://([^/?#]*)", 1)), F.lit(""))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """pages (url, html) → (host, path, hash): the constants of every host.
+    """pages (url, html) → (host, key): the constants of every host.
 
-    Pages with equal content blocks count once where they meet, so that copies of a page don't turn its article into a template.
+    Pages with equal content blocks count once, so that copies of a page don't turn its article into a template.
     """
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
-        seen: set[str] = set()
-        context = TaskContext.get()
-        part = context.partitionId() if context else 0
-
-        def settle() -> pa.RecordBatch:
-            out = pa.record_batch({"host": pa.array(list(held), pa.string()), "part": pa.array([part] * len(held), pa.int32()), "tree": pa.array([json.dumps(t) for t in held.values()], pa.string())})
-            held.clear(), seen.clear()
-            return out
-
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
+            hosts, bodies, keys = [], [], []
             for host, page in zip(batch.column(0).to_pylist(), raw(batch, "html"), strict=True):
-                found = blocks(parse(page))
-                body = f"{host} {digest(chr(10).join(t for _, t in found))}"
-                if not found or body in seen:
-                    continue
-                seen.add(body)
-                tree = page_tree(found)
-                held[host] = merge(held[host], tree) if host in held else tree
-            if len(held) > 5000 or len(seen) > 200_000:
-                yield settle()
-        yield settle()
-
-    def fold(trees: list[str]) -> list:
-        out = json.loads(trees[0])
-        for t in trees[1:]:
-            out = merge(out, json.loads(t))
-        return out
-
-    def join_parts(group: pa.Table) -> pa.Table:
-        order = sorted(group.column("tree").to_pylist())
-        return pa.table({"host": group.column("host")[:1], "tree": pa.array([json.dumps(fold(order))], pa.string())})
-
-    def last(group: pa.Table) -> pa.Table:
-        found = constants(fold(sorted(group.column("tree").to_pylist())))
-        return pa.table({"host": pa.array([group.column("host")[0].as_py()] * len(found), pa.string()), "path": pa.array([p for p, _ in found], pa.string()), "hash": pa.array([h for _, h in found], pa.string())})
-
-    rows = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(tidy(build), "host string, part int, tree string")
-    rows = rows.withColumn("part", (F.col("part") / 64).cast("int")).groupBy("host", "part").applyInArrow(join_parts, "host string, tree string")
-    return rows.groupBy("host").applyInArrow(last, "host string, path string, hash string")
+                if found := blocks(parse(page)):
+                    hosts.append(host)
+                    bodies.append(slot_key("", "\n".join(t for _, t in found)))
+                    keys.append(sorted({PAGE, *(slot_key(p, t) for p, t in found)}))
+            yield pa.record_batch({"host": pa.array(hosts, pa.string()), "body": pa.array(bodies, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+
+    rows = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(tidy(read), "host string, body long, keys array<long>")
+    distinct = rows.groupBy("host", "body").agg(F.min("keys").alias("keys"))
+    counts = materialise(distinct.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES))
+    # every page has the key PAGE; hosts are joined in salted copies, as one may have most of the texts
+    sizes = counts.where(F.col("key") == PAGE).select("host", F.col("n").alias("pages"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
+    texts = counts.where(F.col("key") != PAGE).withColumn("_salt", F.pmod("key", F.lit(SALTS).cast("long")))
+    return texts.join(sizes, ["host", "_salt"]).where(F.col("n") >= F.col("pages") * SHARE).select("host", "key")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -302,13 +245,13 @@ def extract(pages: DataFrame) -> DataFrame:
     few = known.limit(BROADCAST_CONSTANTS + 1).count() <= BROADCAST_CONSTANTS
     rows = pages.drop("text").withColumn("_host", host_of(F.col("url")))
     if few:
-        told: dict[str, set[str]] = {}
+        told: dict[str, set[int]] = {}
         for r in known.collect():
-            told.setdefault(r.host, set()).add(f"{r.path} {r.hash}")
-        rows = rows.withColumn("_told", F.lit(None).cast("array<string>"))
+            told.setdefault(r.host, set()).add(r.key)
+        rows = rows.withColumn("_told", F.lit(None).cast("array<long>"))
     else:  # hosts are joined in salted copies, as one may have a third of the pages
         told = {}
-        side = known.groupBy(F.col("host").alias("_host")).agg(F.collect_list(F.concat_ws(" ", "path", "hash")).alias("_told"))
+        side = known.groupBy(F.col("host").alias("_host")).agg(F.collect_list("key").alias("_told"))
         side = side.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         rows = rows.withColumn("_salt", F.pmod(F.xxhash64("url", "html"), F.lit(SALTS))).join(side, ["_host", "_salt"], "left").drop("_salt")
     keep = [c for c in rows.columns if c not in ("_host", "_told", "html")]
@@ -320,7 +263,7 @@ def extract(pages: DataFrame) -> DataFrame:
             for host, more, page in zip(batch.column(at("_host")).to_pylist(), batch.column(at("_told")).to_pylist(), raw(batch, "html"), strict=True):
                 template = set(more) if more else told.get(host, ())
                 found = blocks(parse(page))
-                out.append("\n".join(t for p, t in found if not template or f"{p} {digest(t)}" not in template))
+                out.append("\n".join(t for p, t in found if not template or slot_key(p, t) not in template))
             yield pa.record_batch({c: batch.column(at(c)) for c in keep} | {"text": pa.array(out, pa.string())})
 
     kept = [f for f in rows.select(*keep).schema.fields]
