@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, raw, slices, tidy
 
-SHARE, MIN_PAGES, SLOTS, BROADCAST_CONSTANTS, SALTS, PAGE = 0.5, 5, 4000, 100_000, 16, 0
+SHARE, MIN_PAGES, BROADCAST_CONSTANTS, SALTS, PAGE = 0.5, 5, 100_000, 16, 0
 TAG = re.compile(rb"<!--.*?(?:-->|\Z)|<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>)", re.S)
 NAME = re.compile(rb"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 RAW_END = {t: re.compile(rb"</" + t + rb"[^>]*>|\Z", re.I) for t in (b"script", b"style", b"noscript", b"template", b"textarea", b"title", b"iframe", b"svg", b"select", b"button", b"object", b"canvas")}
@@ -201,7 +201,7 @@ def merge(a: list, b: list) -> list:
         else:
             i -= 1
             out.append(xs[i])
-    a[3] = out[::-1][:SLOTS]
+    a[3] = out[::-1]
     return a
 
 

@@ -19,3 +19,12 @@ def test_constant_among_new_siblings(spark):
     got = extracted(spark, [page(k) for k in range(120)] + [page(1)] * 50)
     assert all("Printed on our paper" not in " ".join(t) for t in got.values())
     assert all(len(t) == 17 and t[-1].startswith("in few") for t in got.values())
+
+
+def test_constant_after_very_many_slots(spark):
+    def name(n):
+        return "".join(chr(97 + n // 26**i % 26) for i in range(4))
+
+    pages = ["".join(f"<div class='x{name(700 * k + j)}'>part {k} {j}</div>" for j in range(700)) + "<p>All rights are ours</p>" for k in range(8)]
+    got = extracted(spark, pages)
+    assert all(len(t) == 700 and "All rights are ours" not in t for t in got.values())
