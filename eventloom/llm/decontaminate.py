@@ -180,26 +180,38 @@ class _Words(dict):
         return got
 
 
+def _matchers(items: DataFrame) -> Iterator[Matcher]:
+    known = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    n_blocks = -(-known.count() // BLOCK_ITEMS)
+    for block in range(n_blocks):
+        # by a hash, so that a block's size is bounded in expectation; what is sent out is one block
+        part = known.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block)
+        matcher = Matcher(sorted({(r.item_id, r.text) for r in part.collect()}))
+        if matcher.items:
+            yield matcher
+
+
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, item_words, start_word, n_words): the best match of each item in each document.
 
     Null texts have no words; rows whose doc_id or item_id is null are left out; an item whose words repeat those of
     another matches by itself; repeated rows of documents give repeated matches.
     """
-    spark = docs.sparkSession
     schema = "doc_id long, item_id long, edits long, item_words long, start_word long, n_words long"
-    known = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    n_blocks = -(-known.count() // BLOCK_ITEMS)
-    out = spark.createDataFrame([], schema)
-    for block in range(n_blocks):
-        # by a hash, so that a block's size is bounded in expectation; what is sent out is one block
-        part = known.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block)
-        matcher = Matcher(sorted({(r.item_id, r.text) for r in part.collect()}))
-        if matcher.items:
-            one = rows.mapInArrow(tidy(_finder(matcher)), schema)
-            out = one if n_blocks == 1 else out.unionByName(one)
-    return out
+    out = None
+    for matcher in _matchers(items):
+        one = rows.mapInArrow(tidy(_finder(matcher)), schema)
+        out = one if out is None else out.unionByName(one)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def _word_ids(text: bytes, cache: _Words) -> np.ndarray:
+    chunks = text.split()
+    try:
+        return np.fromiter(map(cache.__getitem__, chunks), np.int64, len(chunks))
+    except (TypeError, ValueError):  # a chunk of no word or of several
+        return np.array([i for g in map(cache.__getitem__, chunks) for i in (g if isinstance(g, tuple) else (g,))], np.int64)
 
 
 def _finder(matcher: Matcher):
@@ -208,12 +220,7 @@ def _finder(matcher: Matcher):
         for batch in slices(batches, 512):
             out: list[tuple[int, ...]] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), raw(batch, "text"), strict=True):
-                chunks = text.split()
-                try:
-                    ids = np.fromiter(map(cache.__getitem__, chunks), np.int64, len(chunks))
-                except (TypeError, ValueError):  # a chunk of no word or of several
-                    ids = np.array([i for g in map(cache.__getitem__, chunks) for i in (g if isinstance(g, tuple) else (g,))], np.int64)
-                out += [(doc_id, matcher.items[k][0], d, len(matcher.ids[k]), s, e - s) for k, d, s, e in matcher.find(ids)]
+                out += [(doc_id, matcher.items[k][0], d, len(matcher.ids[k]), s, e - s) for k, d, s, e in matcher.find(_word_ids(text, cache))]
             cols = list(zip(*out, strict=True)) or [()] * 6
             names = ("doc_id", "item_id", "edits", "item_words", "start_word", "n_words")
             yield pa.record_batch({n: pa.array(c, pa.int64()) for n, c in zip(names, cols, strict=True)})
@@ -221,6 +228,18 @@ def _finder(matcher: Matcher):
     return run
 
 
+def _without(matcher: Matcher):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _Words(matcher.vocabulary)
+        for batch in slices(batches, 512):
+            yield batch.filter(pa.array([not matcher.find(_word_ids(text, cache)) for text in raw(batch, "text")], pa.bool_()))
+
+    return run
+
+
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without those that hold a match; rows whose doc_id is null can't be told apart and stay."""
-    return docs.join(matches(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows whose text holds a match; ids are not looked at."""
+    out = docs
+    for matcher in _matchers(items):
+        out = out.mapInArrow(tidy(_without(matcher)), docs.schema)
+    return out
