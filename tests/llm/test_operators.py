@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from eventloom.llm import ann, components, decontaminate, html_extract, language_id, packing, simhash, substring_dedup, token_count, toxicity, url_filter
+from eventloom.llm import ann, components, decontaminate, language_id, packing, simhash, substring_dedup, token_count, toxicity, url_filter
 from eventloom.llm.queries import tokenizer_path
 
 R = random.Random(3)
@@ -386,31 +386,3 @@ def test_token_counts(spark, texts):
         words = (text or "").split()
         known = {w: brute("▁" + w) for w in set(words)}
         assert (got[k].n_words, got[k].n_tokens) == (len(words), sum(known[w] for w in words))
-
-
-# HTML
-
-
-def test_blocks_and_template(spark, monkeypatch):
-    pages = []
-    for k in range(12):
-        body = f"<p>{prose(30)}<br>more &amp; more</p><p class=promo-text>{prose(5)}</p>"
-        pages.append((k, f"http://a.example/{k}", f"<html><head><title>t</title></head><body><nav><a>{prose(3)}</a></nav><div class='x'>Read our paper daily</div><div id=c>{body}</div><div class='cookie-notice'>ok</div><footer>{k}</footer>"))
-    pages += [(20, "http://b.example/", "<main><h1>Head</h1>text one<div>two</div> three<aside>no</aside><form>no</form></main><p>outside"), (21, None, None), (22, "http://b.example/x", ""), (23, "u", "plain \n text")]
-    frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("old"))
-    for few in (html_extract.BROADCAST_CONSTANTS, 0):
-        monkeypatch.setattr(html_extract, "BROADCAST_CONSTANTS", few)
-        got = {r.page_id: r.text for r in html_extract.extract(frame).collect()}
-        assert all("Read our paper" not in got[k] and "more & more" in got[k] and "\n" not in got[k] for k in range(12))
-        assert got[20] == "Head\ntext one\ntwo\nthree" and got[21] == "" and got[22] == "" and got[23] == "plain text"
-
-
-def test_tree_matching():
-    def tree(label, *children):
-        return [label, 1, {}, list(children)]
-
-    a = tree("r", tree("a"), tree("b", tree("c")), tree("d"))
-    b = tree("r", tree("b", tree("c"), tree("x")), tree("d"), tree("e"))
-    assert html_extract.match(a, b) == 4
-    merged = html_extract.merge(a, b)
-    assert [c[0] for c in merged[3]] == ["a", "b", "d", "e"] and [c[1] for c in merged[3]] == [1, 2, 2, 1]
