@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, raw, slices, tidy
@@ -61,7 +61,9 @@ def segments(scores: list[tuple[int, float]], n: int) -> list[tuple[int, int, fl
 
     The sequence is scanned from one given score to the next; the words between them only lower the running total.
     """
-    stack: list[list[float]] = []  # from, to, total before, total after
+    out: list[tuple[int, int, float]] = []
+    #: candidates: from, to, total before, total after, place of the nearest candidate with a lower total before (or -1)
+    held: list[tuple[int, int, float, float, int]] = []
     total, last = 0.0, -1
     for at, s in scores:
         total -= DRIFT * (at - last - 1)
@@ -69,16 +71,20 @@ def segments(scores: list[tuple[int, float]], n: int) -> list[tuple[int, int, fl
         if s <= 0:
             total += s
             continue
-        new = [at, at + 1, total, total + s]
+        begin, before = at, total
         total += s
-        while True:
-            j = next((j for j in range(len(stack) - 1, -1, -1) if stack[j][2] < new[2]), None)
-            if j is None or stack[j][3] >= new[3]:
-                stack.append(new)
-                break
-            new = [stack[j][0], new[1], stack[j][2], new[3]]
-            del stack[j:]
-    return [(int(a), int(b), after - before) for a, b, before, after in stack]
+        j = len(held) - 1
+        while j >= 0 and held[j][2] >= before:  # what is passed here lies behind the new candidate's link from now on
+            j = held[j][4]
+        while j >= 0 and held[j][3] < total:
+            begin, _, before, _, link = held[j]
+            del held[j:]
+            j = link
+        if j < 0:  # no later candidate can reach back: what is held is final
+            out += [(x[0], x[1], x[3] - x[2]) for x in held]
+            held.clear()
+        held.append((begin, at + 1, before, total, j))
+    return out + [(x[0], x[1], x[3] - x[2]) for x in held]
 
 
 class _Scores(dict):
@@ -121,19 +127,50 @@ def _counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(tidy(run), "word binary, toxic int, n long").groupBy("word", "toxic").agg(F.sum("n").alias("n"))
 
 
+def _sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """(doc_id, text, toxic): one row a labelled document, at most max_rows of them (by a hash of doc_id)."""
+    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    if known.limit(max_rows + 1).count() > max_rows:  # labels without a document don't use the bound up
+        known = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    # at most max_rows pairs of numbers: sent to the documents, whose texts then need no shuffle
+    rows = materialise(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic"))
+    n = rows.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    if n.n > n.ids:  # rows that repeat an id: the first text counts
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        rows = materialise(rows.withColumn("_n", first).where("_n = 1").drop("_n"))
+    return rows
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Model:
     """docs (doc_id, text), labels (doc_id, toxic): learns from the labelled rows given, at most max_rows of them (by a hash of doc_id).
 
-    The bound is on what the classifier is fitted to, as the calibration brings one row a document to the driver.
+    The bound is on what the classifier is fitted to: words come to the driver, and one row a document for the calibration.
+    K and the curve are fitted on a fourth of the rows, with word scores learned from the others; then the words are learned
+    from all. Where that fourth has one class only, all rows calibrate. A document's label is its largest; rows that repeat a
+    doc_id count once, with the first text; null texts are empty.
     """
-    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    # at most max_rows pairs of numbers: sent to the documents, whose texts then need no shuffle
-    rows = materialise(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic"))
+    rows = _sample(docs, labels, max_rows)
     size = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
         return Model({}, {}, weights=(math.log((n1 + 0.5) / (n0 + 0.5)), 0.0, 0.0))
+    aside = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(4)) == 0
+    held, rest = rows.where(aside), rows.where(~aside)
+    classes = [{r.toxic for r in part.select("toxic").distinct().collect()} for part in (held, rest)]
+    model = _words(rows)
+    if all(len(c) == 2 for c in classes):
+        trial = _words(rest)
+        _calibrate(trial, held)
+        model.scale, model.log_k, model.weights = trial.scale, trial.log_k, trial.weights
+    else:
+        _calibrate(model, rows)
+    return model
+
+
+def _words(rows: DataFrame) -> Model:
+    """Scores of words and stems, and lambda, from (text, toxic) rows of both classes."""
+    size = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = size[1], size[0]
     base = n1 / (n0 + n1)
     pivot = _counts(rows).groupBy("word").agg(*[F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0)).alias(f"y{k}") for k in (0, 1)])
     pivot = materialise(pivot.withColumn("stem", F.substring(F.col("word").cast("string"), 1, PREFIX)))
@@ -158,7 +195,6 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Mod
     # background: how often other documents hold each positive word, with one pseudo-document
     spread = [((r.y0 + 1) / (n0 + 1) / 100, r.odds) for r in words]
     model.scale = _scale(spread)
-    _calibrate(model, rows)
     return model
 
 
