@@ -3,9 +3,11 @@
 A window is 20 consecutive words. Its fingerprint is the smallest hash among the 8-word grams that it holds (ties: the
 leftmost), so equal windows have equal fingerprints, and neighbouring windows mostly share one: about a seventh of the
 positions is indexed, and still no repeated window is missed. The index is a list of immutable runs (h, doc_id, tag,
-pos), each sorted by h. A batch of documents makes one new run; it is merged by h with the runs of history, fingerprints
-met more than once are verified against the words (of the batch and of the archive), and the run joins the index. When
-there are too many runs they are compacted into one.
+pos), each in files sorted by h; a fingerprint that very many rows share is spread over salted files. A batch of documents
+makes one new run; it is merged by h with the runs of history, windows at fingerprints met more than once are verified against
+the words of the batch and of the archive (by 128-bit digests of the words, joined by spaces), and the run joins the index. When
+there are too many runs they are compacted into one. A manifest in the index's folder names the runs, so that a later session can
+open the index and go on.
 
 Batches must come in order of doc_id: a window counts as repeated if its words also start earlier, in a smaller doc_id
 or earlier in the same one. Whole copies are settled first, by a digest of all words, so groups of copies of any size put one
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, discard, materialise, raw, shared_dir, tidy
 
-RUN_SCHEMA = "h long, doc_id long, tag long, pos int"
+RUN_SCHEMA, SEEN_SCHEMA = "h long, doc_id long, tag long, pos int", "sha binary, first_id long"
+MANIFEST = "ord int, kind string, name string, value int"
+RUN_SALTS = 64
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,31 +91,83 @@ def prints(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, n_words long, sha binary, tag long, h array<long>, pos array<int>")
 
 
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _sorted_run(rows: DataFrame) -> DataFrame:
+    """Rows of a run, dealt by (h, salt) and sorted by h in each file."""
+    salt = F.pmod(F.xxhash64("doc_id", "pos"), F.lit(RUN_SALTS))
+    return rows.select("h", "doc_id", "tag", "pos").repartition("h", salt).sortWithinPartitions("h")
+
+
 class FingerprintIndex:
-    """Incremental index. add(batch, archive) judges a batch against itself and all earlier ones, then appends its run."""
+    """Incremental index. add(batch, archive) judges a batch against itself and all earlier ones, then appends its run.
+
+    Tables of the index are named in its folder's manifest, which is written anew after each batch; tables that it does not name
+    any more are deleted after that.
+    """
 
-    def __init__(self, spark: SparkSession, window: int = 20, gram: int = 8, max_runs: int = 4) -> None:
+    def __init__(self, spark: SparkSession, window: int = 20, gram: int = 8, max_runs: int = 4, path: str | None = None) -> None:
         self.spark, self.window, self.gram, self.max_runs = spark, window, gram, max_runs
-        self.runs: list[DataFrame] = []
-        self.seen: list[DataFrame] = []  # digests of whole texts, with the smallest doc_id
-        self.path, self.made = shared_dir(spark), 0
+        self.runs: list[str] = []
+        self.seen: list[str] = []  # digests of whole texts, with the smallest doc_id
+        self.read: list[str] = []  # digests that results of this session still read
+        self.path, self.made, self.saved = path or shared_dir(spark), 0, 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index in a folder, as its last manifest has it."""
+        files, where = _files(spark, path)
+        names = [x.getPath().getName() for x in files.listStatus(where)]
+        numbers = {int(n.rpartition("-")[2]): n for n in names if re.fullmatch(r"[a-z]+-\d+", n)}
+        done = [n for n in numbers.values() if n.startswith("manifest-") and files.exists(_files(spark, f"{path}/{n}/_SUCCESS")[1])]
+        if not done:
+            raise FileNotFoundError(f"no manifest in {path}")
+        last = max(done, key=lambda n: int(n.rpartition("-")[2]))
+        rows = spark.read.schema(MANIFEST).parquet(f"{path}/{last}").orderBy("ord").collect()
+        told = {r.name: r.value for r in rows if r.kind == "set"}
+        out = cls(spark, told["window"], told["gram"], told["max_runs"], path)
+        out.runs, out.seen = ([r.name for r in rows if r.kind == kind] for kind in ("run", "seen"))
+        out.made, out.saved = max(numbers), int(last.rpartition("-")[2])
+        return out
+
+    def _save(self) -> None:
+        told = [("set", "window", self.window), ("set", "gram", self.gram), ("set", "max_runs", self.max_runs)]
+        told += [("run", n, 0) for n in self.runs] + [("seen", n, 0) for n in self.seen]
+        rows = [(k, *x) for k, x in enumerate(told)]
+        self._keep(self.spark.createDataFrame(rows, MANIFEST).coalesce(1), "manifest")
+        self._drop([f"manifest-{self.saved}"] if self.saved else [])
+        self.saved = self.made
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            files, where = _files(self.spark, f"{self.path}/{name}")
+            files.delete(where, True)
 
     def _keep(self, df: DataFrame, kind: str) -> DataFrame:
         self.made += 1
         return materialise(df, f"{self.path}/{kind}-{self.made}")
 
-    def _history(self, runs: list[DataFrame], schema: str) -> DataFrame:
-        out = self.spark.createDataFrame([], schema) if not runs else runs[0]
-        for r in runs[1:]:
-            out = out.unionByName(r)
-        return out
+    def _history(self, names: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{n}" for n in names])
 
-    def _compact(self) -> None:
+    def _append(self, run: str, seen: str) -> None:
+        old: list[str] = []
+        self.runs.append(run)
+        self.seen.append(seen)
         if len(self.runs) > self.max_runs:
-            old = self.runs
-            self.runs = [self._keep(self._history(old, RUN_SCHEMA).repartition("h").sortWithinPartitions("h"), "run")]
-            for r in old:
-                discard(r)
+            old = [*self.runs, *self.seen]
+            self._keep(_sorted_run(self._history(self.runs, RUN_SCHEMA)), "run")
+            self.runs = [f"run-{self.made}"]
+            self._keep(self._history(self.seen, SEEN_SCHEMA).groupBy("sha").agg(F.min("first_id").alias("first_id")), "seen")
+            self.seen = [f"seen-{self.made}"]
+        self._save()
+        self.read.append(seen)
+        self._drop([n for n in old if n not in self.read])
 
     def add(self, batch: DataFrame, archive: DataFrame, append: bool = True) -> DataFrame:
         """batch, archive (doc_id, text); archive holds every document so far, the batch included.
@@ -123,13 +179,17 @@ class FingerprintIndex:
         found = self._keep(prints(batch, window, gram), "prints")
         # 1. whole copies
         firsts = found.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first_id"))
-        known = self._history(self.seen, "sha binary, first_id long")
-        firsts = self._keep(firsts.join(known.withColumnRenamed("first_id", "old_id"), "sha", "left").select("sha", F.coalesce("old_id", "first_id").alias("first_id")), "firsts") if self.seen else self._keep(firsts, "firsts")
+        if self.seen:
+            known = self._history(self.seen, SEEN_SCHEMA).groupBy("sha").agg(F.min("first_id").alias("old_id"))
+            firsts = firsts.join(known, "sha", "left").select("sha", F.coalesce("old_id", "first_id").alias("first_id"))
+        firsts = self._keep(firsts, "seen")
+        seen = f"seen-{self.made}"
         # 2. the new run, merged by hash with the runs of history
         own = found.join(firsts.withColumnRenamed("first_id", "doc_id"), ["sha", "doc_id"], "left_semi")
         fresh = own.select("doc_id", "tag", F.explode(F.arrays_zip("h", "pos")).alias("a")).select(F.col("a.h").alias("h"), "doc_id", "tag", F.col("a.pos").alias("pos"))
         if append:
-            fresh = self._keep(fresh.repartition("h").sortWithinPartitions("h"), "run")
+            fresh = self._keep(_sorted_run(fresh), "run")
+            run = f"run-{self.made}"
         rows = fresh.withColumn("old", F.lit(False))
         if self.runs:
             rows = rows.unionByName(self._history(self.runs, RUN_SCHEMA).withColumn("old", F.lit(True)))
@@ -161,9 +221,7 @@ class FingerprintIndex:
             F.when(copy, F.array(F.lit(0), F.col("n_words").cast("int"))).otherwise(F.coalesce("removed", none)).alias("removed"),
         )
         if append:
-            self.runs.append(fresh)
-            self.seen.append(firsts)
-            self._compact()
+            self._append(run, seen)
         return out
 
     def _windows(self):
@@ -216,12 +274,15 @@ class FingerprintIndex:
         return run
 
 
-def dedup(docs: DataFrame, window: int = 20, gram: int = 8, batches: int = 2) -> DataFrame:
-    """All of docs (doc_id, text), fed to a new index in batches by doc_id; see FingerprintIndex.add for the result."""
+def dedup(docs: DataFrame, window: int = 20, gram: int = 8, batches: int = 3, max_runs: int = 1) -> DataFrame:
+    """All of docs (doc_id, text), fed to a new index in batches by doc_id; see FingerprintIndex.add for the result.
+
+    With the defaults the third batch is merged with the compacted runs of the first two.
+    """
     spark = docs.sparkSession
     at = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / batches for i in range(1, batches)], 100)).first()[0] if batches > 1 else None
     bounds = sorted(set(at or []))
-    index = FingerprintIndex(spark, window, gram)
+    index = FingerprintIndex(spark, window, gram, max_runs)
     out, low = None, None
     for high in [*bounds, None]:
         part = docs if low is None else docs.where((F.col("doc_id") > low) | F.col("doc_id").isNull())
@@ -232,7 +293,7 @@ def dedup(docs: DataFrame, window: int = 20, gram: int = 8, batches: int = 2) ->
     return out
 
 
-def strip(docs: DataFrame, window: int = 20, gram: int = 8, batches: int = 2) -> DataFrame:
+def strip(docs: DataFrame, window: int = 20, gram: int = 8, batches: int = 3) -> DataFrame:
     """docs with the repeated passages cut out of text, and n_chars, if there, set anew; what is left keeps its white space.
 
     Documents that lose all their words go; others, those without words included, stay.
