@@ -5,6 +5,9 @@ each half the perfect Hamming code [31, 26] is the covering code: its codewords
 lies within 1 bit of exactly one of them. A fingerprint is at home at that anchor, and is replicated to every anchor
 within the covering radius plus one (home and, unless it is a codeword itself, 15 others). Two linked fingerprints then
 meet at the home anchor of either. Anchors compare what they hold and pass on a spanning forest, never all pairs.
+
+An anchor with very many fingerprints at home is split by the other half: its four bytes can't all differ where 3 bits do, so
+what it holds goes to four sub-anchors, named by the place and value of a byte, and two linked fingerprints meet at one of them.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from .common import arrow_map, materialise, raw, tidy
 from .components import connected_components
 
 CODE_BITS = 31
+#: an anchor with more fingerprints at home is split; up to so many such anchors are sent out, beyond that they are joined in salted copies
+HOT_HOME, SENT_ANCHORS, SALTS = 2048, 100_000, 64
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -52,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), work, "doc_id long, fp long")
 
 
-def _half_keys(fp: Column, half: int) -> Column:
+def _half_keys(fp: Column, half: int, home_only: bool = False) -> Column:
     part = F.shiftrightunsigned(fp, 32 * half).bitwiseAND(F.lit((1 << CODE_BITS) - 1))
     base = F.lit(half << CODE_BITS).cast("long")
     syndrome = F.lit(0).cast("long")
@@ -71,12 +76,19 @@ def _half_keys(fp: Column, half: int) -> Column:
     pairs = F.filter(F.sequence(F.lit(1), F.lit(CODE_BITS)), lambda i: (partner(i) > i) & (syndrome > 0))
     others = F.transform(pairs, lambda i: F.struct(part.bitwiseXOR(flip(i)).bitwiseXOR(flip(partner(i))).bitwiseOR(base).alias("key"), F.lit(False).alias("home")))
     home = F.struct(part.bitwiseXOR(flip(syndrome)).bitwiseOR(base).alias("key"), F.lit(True).alias("home"))
-    return F.concat(F.array(home), others)
+    return F.array(home) if home_only else F.concat(F.array(home), others)
 
 
-def _anchor_keys(fp: Column) -> Column:
+def _anchor_keys(fp: Column, home_only: bool = False) -> Column:
     """Array of (key, home) for both halves of a fingerprint."""
-    return F.concat(_half_keys(fp, 0), _half_keys(fp, 1))
+    return F.concat(_half_keys(fp, 0, home_only), _half_keys(fp, 1, home_only))
+
+
+def _sub_anchors(key: Column, fp: Column) -> Column:
+    """Keys by a byte of the half that the anchor is not about, for each of its four bytes."""
+    other = F.shiftrightunsigned(fp, 32)
+    other = F.when(F.shiftright(key, CODE_BITS) == 0, other).otherwise(fp)
+    return F.array(*[F.xxhash64(key, F.lit(k), F.shiftrightunsigned(other, 8 * k).bitwiseAND(F.lit(255))) for k in range(4)])
 
 
 def _forest(nodes: np.ndarray, fps: np.ndarray, home: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -138,7 +150,18 @@ def links(classes: DataFrame, bits: int = 3) -> DataFrame:
     """classes (node, fp), fp distinct → (src, dst) edges whose components are those of all pairs within bits."""
     if not 0 <= bits <= 3:
         raise ValueError("the anchors cover at most 3 bits")
-    rows = classes.repartition("fp").select(F.explode(_anchor_keys(F.col("fp"))).alias("a"), "node", "fp").select("a.key", "node", "fp", "a.home")
+    spread = classes.repartition("fp")
+    rows = spread.select(F.explode(_anchor_keys(F.col("fp"))).alias("a"), "node", "fp").select("a.key", "node", "fp", "a.home")
+    crowds = classes.select(F.explode(_anchor_keys(F.col("fp"), True)).alias("a")).groupBy("a.key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_HOME)
+    hot = materialise(crowds.select("key", F.lit(True).alias("hot")))
+    if n := hot.limit(SENT_ANCHORS + 1).count():
+        if n <= SENT_ANCHORS:
+            rows = rows.join(F.broadcast(hot), "key", "left")
+        else:
+            salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+            rows = rows.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(hot.select("*", salts), ["key", "salt"], "left")
+        keys = F.when(F.col("hot"), _sub_anchors(F.col("key"), F.col("fp"))).otherwise(F.array("key"))
+        rows = rows.select(F.explode(keys).alias("key"), "node", "fp", "home")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_compare(bits)), "src long, dst long")
 
 
