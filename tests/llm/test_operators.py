@@ -74,7 +74,10 @@ def test_simhash(spark, texts):
     assert [got[k].component_id for k in range(len(texts))] == want
 
 
-def test_simhash_links_at_the_bound(spark):
+@pytest.mark.parametrize("hot, sent", [(2048, 100_000), (1, 100_000), (1, 0)])
+def test_simhash_links_at_the_bound(spark, monkeypatch, hot, sent):
+    monkeypatch.setattr(simhash, "HOT_HOME", hot)
+    monkeypatch.setattr(simhash, "SENT_ANCHORS", sent)
     base = R.getrandbits(64)
     fps = [base]
     for _ in range(60):  # chains of flips, some at 3 bits and some at 4
@@ -134,10 +137,24 @@ def test_substring_index_compacts(spark, texts):
         batch = docs.where((F.col("doc_id") > last) & (F.col("doc_id") <= high))
         got |= {r.doc_id: r.n_removed for r in index.add(batch, docs.where(F.col("doc_id") <= high)).collect()}
         last = high
-    assert len(index.runs) == 1
+    assert len(index.runs) == len(index.seen) == 1
     assert got == {k: v[1] for k, v in brute_substrings(list(enumerate(texts))).items()}
 
 
+def test_substring_index_reopens(spark, texts):
+    docs, want = documents(spark, texts), brute_substrings(list(enumerate(texts)))
+    path, got, last = None, {}, -1
+    for high in (20, 50, 80, len(texts)):
+        index = substring_dedup.FingerprintIndex.open(spark, path) if path else substring_dedup.FingerprintIndex(spark, max_runs=2)
+        batch = docs.where((F.col("doc_id") > last) & (F.col("doc_id") <= high))
+        got |= {r.doc_id: r.n_removed for r in index.add(batch, docs.where(F.col("doc_id") <= high)).collect()}
+        last, path = high, index.path
+    assert got == {k: v[1] for k, v in want.items()}
+    assert len(substring_dedup.FingerprintIndex.open(spark, path).runs) == 2
+    with pytest.raises(FileNotFoundError):
+        substring_dedup.FingerprintIndex.open(spark, substring_dedup.materialise(spark.range(1)).inputFiles()[0].rpartition("/")[0])
+
+
 def test_substring_edges(spark):
     text = prose(25)
     got = substring_dedup.dedup(documents(spark, [text, text, text, prose(19)], [None, 4, 4, 6])).collect()
