@@ -11,8 +11,8 @@ runs of g words, so a match of an item of n words holds n - g + 1 - gk runs that
 no match.
 
 A match is a stretch of a document whose word edit distance from the item is at most a fifth of the item's words.
-Items of under 5 words are too short for that and are left out. Items are taken in blocks of bounded size, each against
-all documents.
+Items of under 5 words allow no edit: their runs of words are looked up whole. Items without a word match nothing. Items are taken
+in blocks of bounded size, each against all documents.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import raw, slices, tidy
 
-EDITS, MIN_WORDS, WALKS, SAMPLES, SAMPLED, BLOCK_ITEMS = 0.2, 5, 4, 8, 4, 20_000
+EDITS, MIN_WORDS, WALKS, SAMPLES, SAMPLED, BLOCK_ITEMS, MASK_BITS = 0.2, 5, 4, 8, 4, 20_000, 32
 WORD = re.compile(r"[^\W_]+")
 GRAMS = (2, 3)
 
@@ -63,25 +63,29 @@ class Matcher:
     """Items of one block, hashed."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.items = [(i, w) for i, w in ((i, item_words(t)) for i, t in items) if len(w) >= MIN_WORDS]
+        self.items = [(i, w) for i, w in ((i, item_words(t)) for i, t in items) if w]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in self.items for w in ws}), 1)}
         self.ids = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in self.items]
         self.classes: list[tuple[int, int, int]] = []  # item words from, to; steps of a walk
-        lengths = sorted({len(w) for w in self.ids})
+        self.short: dict[int, dict[int, list[int]]] = {}  # by length and code of the words
+        for k, ids in enumerate(self.ids):
+            if len(ids) < MIN_WORDS:
+                self.short.setdefault(len(ids), {}).setdefault(int(self._codes(ids, len(ids))[0]), []).append(k)
+        lengths = sorted({len(w) for w in self.ids if len(w) >= MIN_WORDS})
         while lengths:
             low = lengths[0]
             of = [n for n in lengths if n <= max(low + 1, low * 5 // 4)]
-            # very many classes share the last one, which may then need more starts, but loses none
-            of = lengths if len(self.classes) == 31 else of
             lengths = lengths[len(of) :]
             self.classes.append((low, of[-1], 2 * low))
         self.shift = 64 - min(26, max(18, 5 + sum(map(len, self.ids)).bit_length()))
-        self.runs = {g: np.zeros(1 << 64 - self.shift, np.uint32) for g in GRAMS}
+        #: for each run of g words a bit for every class that has it, 32 classes to a mask
+        groups = -(-len(self.classes) // MASK_BITS)
+        self.runs = {g: [np.zeros(1 << 64 - self.shift, np.uint32) for _ in range(groups)] for g in GRAMS}
         self.needed = {g: [min(n - g + 1 - g * allowed(n) for n in {len(w) for w in self.ids} if low <= n <= high) for low, high, _ in self.classes] for g in GRAMS}
         for ids in self.ids:
-            c = next(c for c, (low, high, _) in enumerate(self.classes) if low <= len(ids) <= high)
-            for g in GRAMS:
-                self.runs[g][self._runs(ids, g)] |= np.uint32(1 << c)
+            c = next((c for c, (low, high, _) in enumerate(self.classes) if low <= len(ids) <= high), None)
+            for g in GRAMS if c is not None else ():
+                self.runs[g][c // MASK_BITS][self._runs(ids, g)] |= np.uint32(1 << c % MASK_BITS)
         self.bits = np.random.default_rng(20).integers(0, 2, (WALKS, 2 * max((len(w) for w in self.ids), default=1), len(self.vocabulary) + 1), np.uint8)
         self.tables: list[dict[tuple[int, int, int], list[int]]] = []
         for low, high, steps in self.classes:
@@ -92,22 +96,36 @@ class Matcher:
                         table[walk, sample, int(keys[0])].append(k)
             self.tables.append(dict(table))
 
-    def _runs(self, ids: np.ndarray, g: int) -> np.ndarray:
-        """Slot of the run of g words at each position."""
+    @staticmethod
+    def _codes(ids: np.ndarray, g: int) -> np.ndarray:
+        """Hash of the run of g words at each position."""
         n = max(0, len(ids) - g + 1)
         code, words = np.zeros(n, np.uint64), ids.astype(np.uint64)
         for k in range(g):
             code = (code ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
             code ^= code >> np.uint64(32)
-        return (code * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(self.shift)).astype(np.int64)
+        return code
 
-    def _starts(self, masks: dict[int, np.ndarray], c: int, n: int) -> np.ndarray:
+    def _runs(self, ids: np.ndarray, g: int) -> np.ndarray:
+        """Slot of the run of g words at each position."""
+        return (self._codes(ids, g) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(self.shift)).astype(np.int64)
+
+    def _exact(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, first start) of the short items that occur."""
+        for g, table in self.short.items():
+            codes = self._codes(ids, g)
+            for at in np.flatnonzero(np.isin(codes, np.fromiter(table, np.uint64, len(table)))).tolist():
+                for k in table[int(codes[at])]:
+                    if np.array_equal(self.ids[k], ids[at : at + g]):
+                        yield k, at
+
+    def _starts(self, masks: dict[int, list[np.ndarray]], c: int, n: int) -> np.ndarray:
         """Positions whose window holds enough runs of items of class c."""
         high = self.classes[c][1]
         span, fine = high + allowed(high), np.ones(n, bool)
         for g, mask in masks.items():
             if (needed := self.needed[g][c]) > 0:
-                seen = np.concatenate(([0], np.cumsum(mask >> np.uint32(c) & np.uint32(1), dtype=np.int64)))
+                seen = np.concatenate(([0], np.cumsum(mask[c // MASK_BITS] >> np.uint32(c % MASK_BITS) & np.uint32(1), dtype=np.int64)))
                 if seen[-1] < needed:
                     return np.zeros(0, np.int64)
                 at = np.minimum(np.arange(n), len(seen) - 1)
@@ -133,12 +151,18 @@ class Matcher:
 
     def find(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item, distance, start, end) of the best match of each item in one document."""
-        if not self.classes:
-            return []
-        masks = {g: self.runs[g][self._runs(ids, g)] for g in GRAMS}
-        if any(min(self.needed[g]) > 0 and np.count_nonzero(m) < min(self.needed[g]) for g, m in masks.items()):
-            return []
         best: dict[int, tuple[int, int, int]] = {}
+        for k, at in self._exact(ids):
+            best.setdefault(k, (0, at, at + len(self.ids[k])))
+        if not self.classes:
+            return [(k, *found) for k, found in sorted(best.items())]
+        masks: dict[int, list[np.ndarray]] = {}
+        for g in GRAMS:
+            slots = self._runs(ids, g)
+            masks[g] = [runs[slots] for runs in self.runs[g]]
+            held = int(np.count_nonzero(np.bitwise_or.reduce(masks[g]))) if len(masks[g]) > 1 else int(np.count_nonzero(masks[g][0]))
+            if 0 < min(self.needed[g]) > held:  # too few runs for any class
+                return [(k, *found) for k, found in sorted(best.items())]
         padded = np.concatenate((ids, np.zeros(4 * self.classes[-1][1], np.int64)))
         for c, ((_, _, steps), table) in enumerate(zip(self.classes, self.tables, strict=True)):
             starts = self._starts(masks, c, len(ids))
@@ -194,8 +218,9 @@ def _matchers(items: DataFrame) -> Iterator[Matcher]:
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, item_words, start_word, n_words): the best match of each item in each document.
 
-    Null texts have no words; rows whose doc_id or item_id is null are left out; an item whose words repeat those of
-    another matches by itself; repeated rows of documents give repeated matches.
+    Of equally good matches the first counts. Null texts have no words; rows whose doc_id or item_id is null are left out; an
+    item whose words repeat those of another matches by itself, as does each text of an item_id that has several; repeated rows
+    of documents give repeated matches, repeated rows of items don't. Either table may be empty, and have more columns.
     """
     schema = "doc_id long, item_id long, edits long, item_words long, start_word long, n_words long"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
@@ -238,7 +263,7 @@ def _without(matcher: Matcher):
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the rows whose text holds a match; ids are not looked at."""
+    """docs without the rows whose text holds a match; ids of documents are not looked at, so null and repeated ones don't matter."""
     out = docs
     for matcher in _matchers(items):
         out = out.mapInArrow(tidy(_without(matcher)), docs.schema)
