@@ -26,14 +26,18 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() if not 0xD800 <= i < 0xE000 else False for i in range(0x110000)])
 
 
-def trigrams(text: str, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, counts) of the trigrams of lower-cased letters; anything else is one space, also at both ends."""
-    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
-    points = np.where(letter[points], points, SPACE).astype(np.int64)
+def trigrams(text: str, letter: np.ndarray, *more: str) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, counts) of the trigrams of lower-cased letters; anything else is one space, also at both ends. None reaches from one text to the next."""
+    joined = "\0".join([f" {t.lower()} ".replace("\0", " ") for t in (text, *more)])
+    points = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
+    points = np.where(letter[points] | (points == 0), points, SPACE).astype(np.int64)
     points = points[np.concatenate(([True], (points[1:] != SPACE) | (points[:-1] != SPACE)))]
     if len(points) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:], return_counts=True)
+    codes = points[:-2] << 42 | points[1:-1] << 21 | points[2:]
+    if more:
+        codes = codes[(points[:-2] > 0) & (points[1:-1] > 0) & (points[2:] > 0)]
+    return np.unique(codes, return_counts=True)
 
 
 class Trigrams:
@@ -99,7 +103,7 @@ def train(labelled: DataFrame, dims: int = DIMS) -> dict[str, np.ndarray]:
                 by_lang.setdefault(lang, []).append(text)
             for lang, some in by_lang.items():
                 seen = counts.setdefault(lang, {})
-                codes, n = trigrams("\n".join(some), letter)
+                codes, n = trigrams(some[0], letter, *some[1:])
                 for code, k in zip(codes.tolist(), n.tolist(), strict=True):
                     seen[code] = seen.get(code, 0) + k
             if sum(map(len, counts.values())) > 200_000:
