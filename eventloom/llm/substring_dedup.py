@@ -33,7 +33,7 @@ from .common import arrow_map, discard, materialise, raw, shared_dir, tidy
 
 RUN_SCHEMA, SEEN_SCHEMA = "h long, doc_id long, tag long, pos int", "sha binary, first_id long"
 MANIFEST = "ord int, kind string, name string, value int"
-RUN_SALTS = 64
+RUN_SALTS, SPLITS = 64, (0.1, 0.2)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -274,13 +274,14 @@ class FingerprintIndex:
         return run
 
 
-def dedup(docs: DataFrame, window: int = 20, gram: int = 8, batches: int = 3, max_runs: int = 1) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 20, gram: int = 8, splits: tuple[float, ...] = SPLITS, max_runs: int = 1) -> DataFrame:
     """All of docs (doc_id, text), fed to a new index in batches by doc_id; see FingerprintIndex.add for the result.
 
-    With the defaults the third batch is merged with the compacted runs of the first two.
+    splits are the shares of the doc_ids that the batches but the last one reach. With the defaults two small batches make runs
+    that are compacted, and the third is merged with them.
     """
     spark = docs.sparkSession
-    at = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / batches for i in range(1, batches)], 100)).first()[0] if batches > 1 else None
+    at = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), list(splits), 100)).first()[0] if splits else None
     bounds = sorted(set(at or []))
     index = FingerprintIndex(spark, window, gram, max_runs)
     out, low = None, None
@@ -293,12 +294,12 @@ def dedup(docs: DataFrame, window: int = 20, gram: int = 8, batches: int = 3, ma
     return out
 
 
-def strip(docs: DataFrame, window: int = 20, gram: int = 8, batches: int = 3) -> DataFrame:
+def strip(docs: DataFrame, window: int = 20, gram: int = 8, splits: tuple[float, ...] = SPLITS) -> DataFrame:
     """docs with the repeated passages cut out of text, and n_chars, if there, set anew; what is left keeps its white space.
 
     Documents that lose all their words go; others, those without words included, stay.
     """
-    cuts = dedup(docs.select("doc_id", "text"), window, gram, batches).where("n_removed > 0 and doc_id is not null")
+    cuts = dedup(docs.select("doc_id", "text"), window, gram, splits).where("n_removed > 0 and doc_id is not null")
     cuts = cuts.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("tag", "removed"))).alias("_cuts"))
     rows = docs.join(cuts, "doc_id", "left").select(*docs.columns, "_cuts")
     columns = docs.columns
