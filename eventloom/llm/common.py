@@ -22,14 +22,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the one that the cluster names; a temporary one only where none is named."""
+    """A new folder under the one that spark.checkpoint.dir names.
+
+    Where none is named, a session in one process (local mode) gets a temporary one, which is then set for it; on a cluster that is
+    an error, as executors would not see it.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="eventloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/eventloom-{uuid.uuid4().hex}"
 
 
+#: paths of tables written while a scratch() is open, innermost last
+_scratch: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that materialise() writes inside go at the end: for a job whose result is written elsewhere by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _delete(spark, path)
+
+
 def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back, which cuts the lineage.
 
@@ -38,6 +60,8 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or shared_dir(spark)
+    if _scratch:
+        _scratch[-1].append(path)
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
@@ -49,11 +73,13 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table that materialise() wrote and that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
@@ -81,7 +107,10 @@ def _release() -> None:
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, with small Arrow batches from now on (texts may be long) and with its memory released at the end of each task."""
+    """run, with small Arrow batches and with its memory released at the end of each task.
+
+    Texts may be long, so the session's Arrow batches are cut to 1000 rows, and stay so: the plan reads that setting when it runs.
+    """
     spark = SparkSession.getActiveSession()
     if spark and int(spark.conf.get(BATCH_ROWS)) > 1000:
         spark.conf.set(BATCH_ROWS, "1000")

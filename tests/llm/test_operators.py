@@ -122,9 +122,9 @@ def brute_substrings(rows, window=20):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 3])
-def test_substring_dedup(spark, texts, batches):
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(documents(spark, texts), batches=batches).collect()}
+@pytest.mark.parametrize("splits", [(), (0.3, 0.6), substring_dedup.SPLITS])
+def test_substring_dedup(spark, texts, splits):
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(documents(spark, texts), splits=splits).collect()}
     assert got == brute_substrings(list(enumerate(texts)))
     assert sum(v[1] for v in got.values()) > 1000
 
