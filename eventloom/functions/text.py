@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,15 @@ def words_literal(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -34,9 +45,30 @@ def token_set(text: Column, lexicon: Lexicon = DEFAULT) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    marked = F.regexp_replace(F.trim(text), r"([.!?])\s+", "$1\x01")
-    return F.filter(F.transform(F.split(marked, "\x01"), lambda s: F.trim(s)), lambda s: s != "")
+    parts = F.split(strip(text), r"(?<=[.!?])\s+")
+    return F.filter(F.transform(parts, strip), lambda s: s != "")
+
+
+def locate_sentence(title: Column, text: Column, evidence: Column, lexicon: Lexicon = DEFAULT) -> Column:
+    """(sentence_index, sentence): the first of title (0) and sentences whose normal form holds that of the evidence or is held by it.
+
+    A title without a content word is held by any. Without a match: 0 and the evidence, else the title.
+    """
+    parts = F.concat(F.array(F.coalesce(title, F.lit(""))), F.coalesce(sentences(text), F.array().cast("array<string>")))
+    rows = F.transform(parts, lambda s, i: F.struct(i.alias("sentence_index"), s.alias("sentence"), normalize(s, lexicon).alias("norm")))
+    none = F.struct(F.lit(0).alias("sentence_index"), F.coalesce(F.nullif(evidence, F.lit("")), title, F.lit("")).alias("sentence"))
 
+    def found(norm: Column) -> Column:
+        hit = F.get(F.filter(rows, lambda r: (norm != "") & (F.contains(r["norm"], norm) | F.contains(norm, r["norm"]))), 0)
+        return let(hit, lambda h: F.when(h.isNotNull(), F.struct(h["sentence_index"].alias("sentence_index"), h["sentence"].alias("sentence"))).otherwise(none))
+
+    return let(normalize(F.coalesce(evidence, F.lit("")), lexicon), found)
+
+
+def display_trigger(trigger: Column, text: Column, most: int = 48) -> Column:
+    """The trigger, or without one the text's part before its first semicolon."""
+    told = F.left(F.trim(F.element_at(F.split(F.replace(text, F.lit("trigger="), F.lit("")), ";"), 1)), F.lit(most))
+    return F.coalesce(F.nullif(F.trim(trigger), F.lit("")), told, F.lit(""))
 
 def clauses(sentence: Column, shortest: int = 12) -> Column:
     parts = F.transform(F.split(sentence, CLAUSE_BREAK), lambda c: F.btrim(c, F.lit(" ,.-")))
@@ -51,7 +83,10 @@ def titlecase_entities(text: Column, most: int = 6) -> Column:
 
 
 def compact(text: Column, most: int) -> Column:
+    """White space collapsed, and cut to most characters with an ellipsis; most <= 0 cuts nothing."""
     short = collapse(text)
+    if most <= 0:
+        return short
     return F.when(F.length(short) <= most, short).otherwise(F.concat(F.rtrim(F.substring(short, 1, most - 3)), F.lit("...")))
 
 
@@ -116,19 +151,22 @@ def relation(source_text: Column, target_text: Column, lexicon: Lexicon = DEFAUL
 
 
 def clean_document(title: Column, text: Column, lexicon: Lexicon = DEFAULT) -> Column:
-    """Lines that say something new: not blank, not the title, not a repeat, no by-line and no source line."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(collapse(x).alias("line"), normalize(x, lexicon).alias("norm")))
+    """Lines that say something new: not blank, not the title, not a repeat, no by-line and no source line.
+
+    Repeats are found by sorting: the first of each normal form stays, and the lines go back to their order.
+    """
     title_norm = normalize(F.coalesce(title, F.lit("")), lexicon)
-    told = F.filter(
-        lines,
-        lambda x: (x.norm != "")
-        & (x.norm != title_norm)
-        & ~(F.lower(x.line).startswith("by ") & (F.size(F.split(x.line, " ")) <= 8))
-        & ~F.lower(x.line).startswith("source:"),
-    )
-    norms = F.transform(told, lambda x: x.norm)
-    first = F.filter(F.transform(told, lambda x, i: F.struct(x.line.alias("line"), (F.array_position(norms, x.norm) == i + 1).alias("new"))), lambda x: x.new)
-    return F.array_join(F.transform(first, lambda x: x.line), "\n")
+    lines = F.transform(F.split(text, "\n"), lambda x, i: let(collapse(x), lambda line: F.struct(normalize(line, lexicon).alias("norm"), i.alias("i"), line.alias("line"))))
+
+    def told(x: Column) -> Column:
+        low = F.lower(x["line"])
+        return (x["norm"] != "") & (x["norm"] != title_norm) & ~(low.startswith("by ") & (F.size(F.split(x["line"], " ")) <= 8)) & ~low.startswith("source:")
+
+    def first(rows: Column) -> Column:
+        new = F.filter(rows, lambda x, k: (k == 0) | (F.get(rows, k - 1)["norm"] != x["norm"]))
+        return F.array_sort(F.transform(new, lambda x: F.struct(x["i"].alias("i"), x["line"].alias("line"))))
+
+    return F.array_join(F.transform(let(F.array_sort(F.filter(lines, told)), first), lambda x: x["line"]), "\n")
 
 
 def is_generic(text: Column) -> Column:

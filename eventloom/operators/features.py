@@ -19,7 +19,7 @@ def event_times(events: DataFrame, cutoff: Column) -> DataFrame:
     An event's own time is its metadata's or its document's; without one, its sentence index, flagged. The anchor is the first
     observed time, else the cutoff, else 0, and never after the cutoff.
     """
-    observed = F.coalesce(*[days_since_epoch(F.col(c)) for c in ("event_time_text", "publish_time") if c in events.columns])
+    observed = F.coalesce(F.lit(None).cast("double"), *[days_since_epoch(F.col(c)) for c in ("event_time_text", "publish_time") if c in events.columns])
     rows = events.withColumn("_observed", observed).withColumn("_cut", days_since_epoch(cutoff))
     anchor = rows.groupBy("sample_id").agg(F.min("_observed").alias("_first"), F.first("_cut", ignorenulls=True).alias("_limit"))
     anchor = anchor.select("sample_id", F.least(F.coalesce("_first", "_limit", F.lit(0.0)), F.coalesce("_limit", F.lit(float("inf")))).alias("_anchor"))
@@ -35,12 +35,12 @@ def node_features(events: DataFrame, query: Column) -> DataFrame:
     """events with times → (sample_id, event_id, f0 … f9)."""
     asked = F.filter(F.split(X.collapse(F.lower(query)), " "), lambda w: w != "")
     number = [
-        F.size("participants"),
-        F.when(F.col("normalized_text") == "", 0).otherwise(F.size(F.split("normalized_text", " "))),
+        F.when(F.col("participants").isNull(), 0).otherwise(F.size("participants")),
+        F.size(F.filter(F.split(F.coalesce("normalized_text", F.lit("")), r"\s+"), lambda w: w != "")),
         F.col("sentence_index"),
         F.col("confidence"),
-        F.when(F.exists(asked, lambda w: F.contains(F.col("normalized_text"), w)), 1).otherwise(0),
-        F.length("trigger"),
+        F.when(F.exists(asked, lambda w: F.contains(F.coalesce("normalized_text", F.lit("")), w)), 1).otherwise(0),
+        F.coalesce(F.length("trigger"), F.lit(0)),
         F.col("event_time"),
         F.col("time_valid"),
         F.when(F.col("node_type") != "observed", 1).otherwise(0),
@@ -72,23 +72,27 @@ def edge_features(edges: DataFrame, events: DataFrame) -> DataFrame:
     return edges.join(s, ["sample_id", "source"]).join(t, ["sample_id", "target"]).select("sample_id", "ord", "source", "target", *[c.cast("double").alias(f"f{k}") for k, c in enumerate(number)])
 
 
-def query_features(events: DataFrame, edges: DataFrame, focus_count: Column) -> DataFrame:
-    """One row a sample: focus entities, documents, events, candidate edges, cutoff value and presence."""
-    nodes = events.groupBy("sample_id").agg(F.max(focus_count).alias("f0"), F.count_distinct("document_id").alias("f1"), F.count("*").alias("f2"), F.max("cutoff_value").alias("f4"), F.max("cutoff_valid").alias("f5"))
+def query_features(events: DataFrame, edges: DataFrame, focus_count: Column, documents: DataFrame | None = None) -> DataFrame:
+    """One row a sample: focus entities, documents, events, candidate edges, cutoff value and presence.
+
+    documents (sample_id, document_id) are all the sample has, with or without events; those that events name, where they are not given.
+    """
+    docs = (events if documents is None else documents).select("sample_id", "document_id").distinct().groupBy("sample_id").agg(F.count("*").alias("f1"))
+    nodes = events.groupBy("sample_id").agg(F.max(focus_count).alias("f0"), F.count("*").alias("f2"), F.max("cutoff_value").alias("f4"), F.max("cutoff_valid").alias("f5"))
     counted = edges.groupBy("sample_id").agg(F.count("*").alias("f3"))
-    out = nodes.join(counted, "sample_id", "left")
+    out = nodes.join(docs, "sample_id", "left").join(counted, "sample_id", "left")
     return out.select("sample_id", *[F.coalesce(f"f{k}", F.lit(0)).cast("double").alias(f"f{k}") for k in range(6)])
 
 
-def completion_edges(pairs: DataFrame) -> DataFrame:
+def completion_edges(pairs: DataFrame, *keep: str) -> DataFrame:
     """Completion pairs (pairs.completion_pairs, with s_event_time and t_event_time) as low-scored edges."""
     apart = F.abs(F.col("t_event_time") - F.col("s_event_time"))
     both = F.size(F.array_intersect("s_participants", "t_participants"))
     return pairs.select(
         "sample_id", F.col("s_event_id").alias("source"), F.col("t_event_id").alias("target"), F.lit("precedes").alias("relation_type"),
-        F.least(F.greatest("completion_score", F.lit(0.0)), F.lit(0.49)).alias("score"), F.lit("completion").alias("source_kind"),
+        F.round(F.least(F.greatest("completion_score", F.lit(0.0)), F.lit(0.49)), 4).alias("score"), F.lit("completion").alias("source_kind"),
         (F.lit(1.0) / (1 + apart)).alias("temporal_score"), F.least(both / F.lit(3.0), F.lit(1.0)).alias("entity_overlap_score"),
-        F.col("completion_score").alias("lexical_support_score"), F.lit(0.0).alias("marker_score"), F.col("completion_score").alias("query_alignment_score"), F.col("pair_rank").alias("ord"),
+        F.col("completion_score").alias("lexical_support_score"), F.lit(0.0).alias("marker_score"), F.col("completion_score").alias("query_alignment_score"), F.col("pair_rank").alias("ord"), *keep,
     )
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import prf, safe_div
+from ..functions.lexicons import RELATIONS
+from ..functions.values import label, prf, safe_div
 
 
 def _flag(name: str) -> Column:
@@ -58,7 +59,7 @@ def binary_report(rows: DataFrame) -> DataFrame:
 
 
 def edge_evaluation(gold: DataFrame, predicted: DataFrame, events: DataFrame, causal_only: bool = False) -> DataFrame:
-    """One row a sample: typed counts, pairs of wrong type, and accuracy over all n (n - 1) ordered pairs."""
+    """One row a sample: typed counts, pairs of wrong type, and the accuracy of pairs, whatever their type, over all n (n - 1) ordered ones."""
     keys = ["sample_id", "source", "target"]
     if causal_only:
         gold, predicted = (e.where("relation_type <> 'precedes'") for e in (gold, predicted))
@@ -69,14 +70,124 @@ def edge_evaluation(gold: DataFrame, predicted: DataFrame, events: DataFrame, ca
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("exact", "wrong_type", "missed", "extra")]
     out = size.join(per_pair, "sample_id", "left").select("sample_id", "events", *zero)
     universe = F.col("events") * (F.col("events") - 1)
-    return out.withColumn("pair_accuracy", safe_div(universe - F.col("wrong_type") - F.col("missed") - F.col("extra"), universe))
+    hit, wrong = F.col("exact") + F.col("wrong_type"), F.col("missed") + F.col("extra")
+    return out.withColumn("pair_accuracy", safe_div(hit + F.greatest(universe - hit - wrong, F.lit(0)), universe))
+
+
+def in_scope(edges: DataFrame, scope: str = "causal", relations: tuple[str, ...] = ("precedes", "causes")) -> DataFrame:
+    """Gold edges of the relations asked for: all of them, or those told as causes or preconditions (source_relation)."""
+    out = edges.where(F.col("relation_type").isin(*relations))
+    return out if scope == "all" else out.where(F.upper("source_relation").isin("CAUSE", "PRECONDITION"))
+
+
+def relation_report(gold: DataFrame, predicted: DataFrame, relations: tuple[str, ...] = ("precedes", "causes"), by: list[str] | None = None) -> DataFrame:
+    """tp, fp, fn, precision, recall and f1 of each relation; those that neither side has are zero where by is not given."""
+    met = set_report(*[e.where(F.col("relation_type").isin(*relations)) for e in (gold, predicted)], ["sample_id", "source", "target", "relation_type"], [*(by or []), "relation_type"])
+    if by:
+        return met
+    names = gold.sparkSession.createDataFrame([(r,) for r in relations], "relation_type string")
+    zeros = [F.coalesce(c, F.lit(0)).alias(c) for c in met.columns[1:]]
+    return names.join(met, "relation_type", "left").select("relation_type", *zeros)
+
+
+def select_samples(samples: DataFrame, gold: DataFrame, limit: int, offset: int = 0, shuffle: bool = False, seed: int = 7) -> DataFrame:
+    """samples (sample_id, ord) that have gold edges: limit of them from the offset, or limit of them in hash order."""
+    fit = samples.join(gold.select("sample_id").distinct(), "sample_id", "left_semi")
+    order = [F.xxhash64(F.lit(seed), "sample_id"), F.col("sample_id")] if shuffle else [F.col("ord")]
+    return fit.orderBy(*order).offset(0 if shuffle else offset).limit(limit)
+
+
+def select_debug_edges(rows: DataFrame, most: int) -> DataFrame:
+    """The edges of each sample to look at: added ones, dropped ones of the graph, missed gold, then the likeliest; most of them, in order.
+
+    rows: sample_id, ord, action, source_kind, gold_action, keep_probability. Samples with no more than most stay whole; most <= 0 cuts nothing.
+    """
+    if most <= 0:
+        return rows
+    missed = (F.col("gold_action") == "KEEP") & ~F.col("action").isin("KEEP", "ADD")
+    turn = F.when(F.col("action") == "ADD", 0).when((F.col("action") == "DROP") & (F.col("source_kind") == "coarse"), 1).when(missed, 2).otherwise(3)
+    likely = F.when(turn == 3, -F.col("keep_probability")).otherwise(0.0)
+    place = F.row_number().over(Window.partitionBy("sample_id").orderBy(turn, likely, "ord"))
+    return rows.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
+
+
+def stacked(report: DataFrame, prefix: str, by: str | None = None) -> DataFrame:
+    """(metric, value): the numbers of a report, named prefix.column (or prefix.key.column, for one row a key)."""
+    names = [c for c in report.columns if c != by]
+    name = F.concat_ws(".", F.lit(prefix), *([F.col(by)] if by else []), F.col("c"))
+    rows = report.select(*([by] if by else []), F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(n).cast("double") for n in names]))).alias("c", "value"))
+    return rows.select(name.alias("metric"), "value")
+
+
+def evaluation(gold: DataFrame, pairs: DataFrame, coarse: DataFrame, candidates: DataFrame, refined: DataFrame, coarse_threshold: float = 0.5, keep_threshold: float = 0.5) -> DataFrame:
+    """(metric, value) of a whole run over gold edges (sample_id, source, target, relation_type, ord).
+
+    pairs: coarse candidates with the model's relation_type (null where it could not be read) and score; coarse: the graph made of them;
+    candidates: those of the refiner with keep_probability and relation_type; refined: the refined graph.
+    """
+    from .graph import pair_labels
+
+    keys = ["sample_id", "source", "target"]
+    labels = pair_labels(gold)
+    parsed, score = F.col("relation_type").isNotNull(), F.coalesce("score", F.lit(0.0))
+    raw = label(F.lower(F.trim(F.coalesce("relation_type", F.lit("none")))))
+    told = pairs.select(*keys, parsed.alias("parsed"), raw.alias("predicted"), F.when(score >= coarse_threshold, raw).otherwise("none").alias("thresholded"))
+    told = told.join(labels, keys, "left").withColumn("gold", F.coalesce("label", F.lit("none")))
+    kept = F.col("keep_probability") >= keep_threshold
+    refine = candidates.select(*keys, kept.alias("kept"), F.when(kept, label(F.col("relation_type"))).otherwise("none").alias("predicted")).join(labels, keys, "left").withColumn("gold", F.coalesce("label", F.lit("none")))
+
+    def covered(rows: DataFrame, name: str) -> DataFrame:
+        met = compare(gold, rows, keys).agg(F.count_if("in_predicted").alias(name), F.count_if(F.col("in_gold") & F.col("in_predicted")).alias("candidate_gold_covered"), F.count_if("in_gold").alias("_gold"))
+        return met.select(name, "candidate_gold_covered", safe_div(F.col("candidate_gold_covered"), F.col("_gold")).alias("candidate_gold_coverage"))
+
+    def graph(predicted: DataFrame, where: str) -> list[DataFrame]:
+        return [stacked(set_report(gold, predicted, k), f"{where}.{name}") for name, k in (("graph_unlabeled", keys), ("graph_labeled", [*keys, "relation_type"]))]
+
+    def yes(rows: DataFrame, predicted: Column) -> DataFrame:
+        return binary_report(rows.select((F.col("gold") != "none").alias("gold"), predicted.alias("predicted")))
+
+    parts = [
+        stacked(gold.select(F.count_distinct("sample_id").alias("samples"), F.count_distinct(*keys).alias("gold_edges"), F.count_distinct(*keys, "relation_type").alias("gold_labeled_edges")), "dataset"),
+        stacked(told.agg(safe_div(F.count_if("parsed"), F.count("*")).alias("parse_rate")), "coarse"), stacked(covered(told, "candidate_pairs"), "coarse"),
+        stacked(classification_summary(told.select("gold", "predicted")), "coarse.pair_classification_raw"),
+        stacked(classification_summary(told.select("gold", F.col("thresholded").alias("predicted"))), "coarse.pair_classification_thresholded"),
+        stacked(yes(told, F.col("thresholded") != "none"), "coarse.edge_binary_thresholded"), *graph(coarse, "coarse"),
+        stacked(covered(refine, "candidate_edges"), "refinement"), stacked(yes(refine, F.col("kept")), "refinement.keep_binary"),
+        stacked(classification_summary(refine.select("gold", "predicted")), "refinement.candidate_label_classification"), *graph(refined, "refinement"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def run_rates(rows: DataFrame) -> DataFrame:
+    """One row of rates and means over the queries of a run; without any, zeros.
+
+    rows: input_valid, input_parsed (null where events were not read by a model), forecast_parsed, hit, hit_with_alternatives, reward, events, coarse_edges, refined_edges.
+    """
+    rates = {"event_input_success_rate": "input_valid", "forecast_parse_rate": "forecast_parsed", "code_hit_rate": "hit", "code_hit_with_alternatives_rate": "hit_with_alternatives"}
+    means = {"average_reward": "reward", "average_event_count": "events", "average_coarse_edge_count": "coarse_edges", "average_refined_edge_count": "refined_edges"}
+    n = F.count("*")
+    return rows.agg(
+        n.alias("samples"), *[safe_div(F.count_if(c), n).alias(k) for k, c in rates.items()], *[F.coalesce(safe_div(F.sum(F.col(c).cast("double")), n), F.lit(0.0)).alias(k) for k, c in means.items()],
+        F.when(F.count("input_parsed") > 0, safe_div(F.count_if(F.coalesce("input_parsed", F.lit(False))), n)).alias("event_extraction_parse_rate"),
+    )
+
+
+def edge_sample_stats(edges: DataFrame, relations: list[str] = RELATIONS) -> DataFrame:
+    """One row over labelled edges (sample_id, edge_label, type_id): samples, edges, positives, their share, and how many have each relation."""
+    positive = F.col("edge_label") > 0.5
+    out = edges.agg(F.count_distinct("sample_id").alias("samples"), F.count("*").alias("edges"), F.count_if(positive).alias("positive_edges"), *[F.count_if(positive & (F.col("type_id") == k)).alias(f"n_{r}") for k, r in enumerate(relations)])
+    return out.withColumn("positive_ratio", safe_div(F.col("positive_edges"), F.col("edges")))
 
 
 def micro(per_sample: DataFrame) -> DataFrame:
-    """Reports of samples (tp, fp, fn) summed, with the ratios of the sums."""
-    total = per_sample.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], F.count("*").alias("samples"))
+    """Reports of samples (tp, fp, fn) summed, with the ratios of the sums, and how many edges a sample has on either side."""
+    total = per_sample.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")], F.count("*").alias("samples"))
     p, r, f = prf(F.col("tp"), F.col("fp"), F.col("fn"))
-    return total.select("samples", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f.alias("f1"))
+    gold, told = (safe_div(F.col("tp") + F.col(c), F.col("samples")) for c in ("fn", "fp"))
+    return total.select("samples", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f.alias("f1"), gold.alias("average_gold_edges"), told.alias("average_predicted_edges"))
 
 
 def review(gold: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -94,20 +205,27 @@ def answer_scores(rows: DataFrame) -> DataFrame:
     return rows.withColumn("hit", F.coalesce(hit, F.lit(False))).withColumn("hit_with_alternatives", F.col("hit") | F.coalesce(other, F.lit(False))).withColumn("reward", F.when(F.col("hit"), 1.0).when(F.col("hit_with_alternatives"), 0.5).otherwise(0.0))
 
 
-def class_weights(edges: DataFrame, most: float = 10.0) -> DataFrame:
-    """edges (label) → weight of each observed label: sqrt(mean count / count), clamped; null where only one label is observed."""
-    counted = edges.groupBy("label").agg(F.count("*").alias("n"))
-    mean = counted.agg(F.avg("n").alias("mean"), F.count("*").alias("labels"))
-    weight = F.least(F.greatest(F.sqrt(F.col("mean") / F.col("n")), F.lit(1.0 / most)), F.lit(most))
-    return counted.crossJoin(mean).select("label", "n", F.when(F.col("labels") > 1, weight).alias("weight"))  # by one row
+def class_weights(edges: DataFrame, most: float = 10.0, labels: list[str] = RELATIONS) -> DataFrame:
+    """Kept edges (label; those with edge_label 0, if there is such a column, don't count) → weight of each label.
+
+    sqrt(mean count / count), clamped; 0 for a label that is not observed; null where at most one is.
+    """
+    kept = edges.where("edge_label > 0.5") if "edge_label" in edges.columns else edges
+    names = edges.sparkSession.createDataFrame([(x,) for x in labels], "label string")
+    counted = names.join(kept.groupBy("label").agg(F.count("*").alias("n")), "label", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    mean = counted.where("n > 0").agg(F.avg("n").alias("mean"), F.count("*").alias("labels"))
+    weight = F.when(F.col("n") > 0, F.least(F.greatest(F.sqrt(F.col("mean") / F.col("n")), F.lit(1.0 / most)), F.lit(most))).otherwise(0.0)
+    return counted.crossJoin(mean).select("label", "n", F.when(F.col("labels") > 1, weight).alias("weight"))  # a row a label by one row
 
 
 def positive_weight(edges: DataFrame, most: float = 10.0) -> DataFrame:
-    """edges (edge_label) → negatives over positives, clamped to [1, most]."""
+    """edges (edge_label) → negatives over positives, clamped to [1, most]; null without a positive."""
     counted = edges.agg(F.count_if(F.col("edge_label") == 1).alias("positives"), F.count_if(F.col("edge_label") == 0).alias("negatives"))
-    return counted.select("*", F.least(F.greatest(safe_div(F.col("negatives"), F.col("positives")), F.lit(1.0)), F.lit(most)).alias("weight"))
+    ratio = F.least(F.greatest(safe_div(F.col("negatives"), F.col("positives")), F.lit(1.0)), F.lit(most))
+    return counted.select("*", F.when(F.col("positives") > 0, ratio).alias("weight"))
 
 
 def pair_stats(pairs: DataFrame, labels: list[str]) -> DataFrame:
-    """One row: how many pairs have each label, zeros included."""
-    return pairs.agg(F.count("*").alias("pairs"), F.count_distinct("sample_id").alias("samples"), *[F.count_if(F.col("label") == x).alias(f"n_{x}") for x in labels])
+    """One row: how many pairs have each label, zeros included, and how many have one at all."""
+    out = pairs.agg(F.count("*").alias("pairs"), F.count_distinct("sample_id").alias("samples"), F.count_if(F.col("label") != "none").alias("positive_pairs"), *[F.count_if(F.col("label") == x).alias(f"n_{x}") for x in labels])
+    return out.withColumn("positive_ratio", safe_div(F.col("positive_pairs"), F.col("pairs")))

@@ -2,7 +2,8 @@
 participants, tokens (distinct content tokens), text, query_overlap, confidence, publish_time.
 
 Token sets and query overlaps are columns of the events, computed once, not in every pair. Pairs are joined on sample_id,
-whose groups the callers bound with graph.truncate_events; same-document pairs join on the document too.
+whose groups the callers bound with graph.truncate_events (checked(events, most) raises where they did not); same-document
+pairs join on the document too.
 """
 
 from __future__ import annotations
@@ -16,6 +17,14 @@ from ..functions.lexicons import BRIDGES, DEFAULT, Lexicon
 FIELDS = ["event_id", "ord", "document_id", "sentence_index", "participants", "tokens", "text", "query_overlap", "publish_time", "trigger", "normalized_text"]
 
 
+def checked(events: DataFrame, most: int) -> DataFrame:
+    """events, where no sample has more than most: the bound that all-pairs joins on the sample rely on. Raises otherwise."""
+    over = events.groupBy("sample_id").agg(F.count("*").alias("n")).where(F.col("n") > most).limit(3).collect()
+    if over:
+        raise ValueError(f"samples with more than {most} events: {', '.join(str(r.sample_id) for r in over)}; cut them with graph.truncate_events")
+    return events
+
+
 def with_tokens(events: DataFrame, query: Column, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """Adds tokens, normalized_text and query_overlap (Jaccard with the query's tokens)."""
     out = events.withColumn("tokens", X.token_set(F.col("text"), lexicon)).withColumn("normalized_text", X.normalize(F.col("text"), lexicon))
@@ -28,7 +37,8 @@ def _sides(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def shared(a: str = "s_participants", b: str = "t_participants") -> Column:
-    return F.size(F.array_intersect(F.transform(F.col(a), F.lower), F.transform(F.col(b), F.lower)))
+    """How many distinct participants both have, as they are written."""
+    return F.size(F.array_intersect(a, b))
 
 
 def same_document() -> Column:
@@ -83,7 +93,7 @@ def coarse_edges(events: DataFrame, min_score: float = 0.55, max_edges: int = 40
     both = F.concat_ws(" ", "s_text", "t_text")
     out = s.join(t, "sample_id").where(F.col("s_event_id") != F.col("t_event_id")).withColumn("temporal_score", temporal).where("temporal_score > 0")
     out = (
-        out.withColumn("entity_overlap_score", X.jaccard(F.transform("s_participants", F.lower), F.transform("t_participants", F.lower)))
+        out.withColumn("entity_overlap_score", X.jaccard(*[F.array_distinct(F.transform(c, F.lower)) for c in ("s_participants", "t_participants")]))
         .withColumn("lexical_support_score", X.jaccard(F.col("s_tokens"), F.col("t_tokens")))
         .withColumn("marker_score", F.when(X.has_marker(both, lexicon.markers), 1.0).otherwise(0.0))
         .withColumn("query_alignment_score", (F.col("s_query_overlap") + F.col("t_query_overlap")) / 2)
@@ -102,8 +112,13 @@ def negative_pairs(events: DataFrame, positives: DataFrame, max_gap: int = 3) ->
     return band_pairs(events, max_gap).join(positives, ["sample_id", "s_event_id", "t_event_id"], "left_anti")
 
 
+def _terms(text: Column) -> Column:
+    """Distinct lower-cased words between white space."""
+    return F.array_distinct(F.filter(F.split(X.collapse(F.lower(text)), " "), lambda w: w != ""))
+
+
 def completion_score() -> Column:
-    s, t = F.array_distinct(F.split("s_normalized_text", " ")), F.array_distinct(F.split("t_normalized_text", " "))
+    s, t = _terms(F.col("s_normalized_text")), _terms(F.col("t_normalized_text"))
     return (
         F.when(same_document(), 0.25).otherwise(0.0)
         + F.lit(0.20) / (1 + gap())
@@ -114,15 +129,14 @@ def completion_score() -> Column:
     )
 
 
-def completion_pairs(events: DataFrame, forbidden: DataFrame, query: Column, most: int = 64) -> DataFrame:
-    """Ordered pairs that the graph lacks, best first; pairs across documents need a shared participant."""
-    words = F.array_distinct(F.split(X.normalize(query), " "))
-    events = events.withColumn("_words", words)
-    cover = F.size(F.array_intersect("_words", F.array_distinct(F.split("normalized_text", " ")))) / F.greatest(F.size("_words"), F.lit(1))
+def completion_pairs(events: DataFrame, forbidden: DataFrame, query: Column, most: int = 64, across: bool = False) -> DataFrame:
+    """Ordered pairs that the graph lacks, best first; pairs across documents need a shared participant, unless across is set."""
+    events = events.withColumn("_words", _terms(query))
+    cover = F.size(F.array_intersect("_words", _terms(F.col("normalized_text")))) / F.greatest(F.size("_words"), F.lit(1))
     names = [c for c in FIELDS if c in events.columns]
     rows = events.withColumn("query_cover", cover).drop("_words")
     s, t = (rows.select("sample_id", *[F.col(c).alias(f"{side}_{c}") for c in [*names, "query_cover"]]) for side in ("s", "t"))
-    out = s.join(t, "sample_id").where((F.col("s_event_id") != F.col("t_event_id")) & (same_document() | (shared() > 0)))
+    out = s.join(t, "sample_id").where((F.col("s_event_id") != F.col("t_event_id")) & (F.lit(across) | same_document() | (shared() > 0)))
     out = out.join(forbidden, ["sample_id", "s_event_id", "t_event_id"], "left_anti").withColumn("completion_score", completion_score())
     return top_per_sample(out, "completion_score", most)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import adapters as A
@@ -11,16 +11,27 @@ from .functions import values as V
 from .functions.lexicons import PAIR_LABELS, Lexicon
 from .operators import features, forecast, graph, metrics, pairs, prompts, retrieval, sampling
 from .plans import graphs, scorers
+from .sources import corpora, event_input
 
 #: events of the driver's tables escalate by an error and are mitigated by a purchase
 EVENT_LEXICON = Lexicon(escalation=["error"], mitigation=["purchase"])
 MAX_EVENTS = 16
 
 
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    """All events."""
+    return pairs.with_tokens(A.event_nodes(spark, d), F.lit(A.QUERY), EVENT_LEXICON)
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
+    """Events for pairs: the surest of each sample, as many as pairs are made of."""
     return pairs.with_tokens(graph.truncate_events(A.event_nodes(spark, d), MAX_EVENTS), F.lit(A.QUERY), EVENT_LEXICON)
 
 
+def _timed(spark: SparkSession, d: str) -> DataFrame:
+    return features.event_times(_nodes(spark, d), F.lit("2024-01-20"))
+
+
 def _named(p: DataFrame, *more: str) -> DataFrame:
     return p.select("sample_id", "pair_rank", F.col("s_event_id").alias("source"), F.col("t_event_id").alias("target"), *more)
 
@@ -143,14 +154,14 @@ def coarse_edges(spark, d):
 
 
 def negative_pairs(spark, d):
-    e = _events(spark, d)
-    positive = _temporal(spark, d).select("sample_id", F.col("source").alias("s_event_id"), F.col("target").alias("t_event_id"))
+    e = _nodes(spark, d)
+    positive = graph.neighbour_edges(e).select("sample_id", F.col("source").alias("s_event_id"), F.col("target").alias("t_event_id"))
     return pairs.negative_pairs(e, positive).select("sample_id", F.col("s_event_id").alias("source"), F.col("t_event_id").alias("target"))
 
 
 def completion_pairs(spark, d):
     forbidden = _temporal(spark, d).select("sample_id", F.col("source").alias("s_event_id"), F.col("target").alias("t_event_id"))
-    p = pairs.completion_pairs(_events(spark, d), forbidden, F.lit(A.QUERY), 20)
+    p = pairs.completion_pairs(_events(spark, d), forbidden, F.lit(A.QUERY))
     return _named(p, "completion_score").withColumn("pair_rank", F.col("pair_rank").cast("long"))
 
 
@@ -161,11 +172,11 @@ def bridge_pairs(spark, d):
 
 
 def temporal_edges(spark, d):
-    return _temporal(spark, d).select("sample_id", "edge_id", "source", "target", "relation_type", "score")
+    return graph.neighbour_edges(_nodes(spark, d)).select("sample_id", "edge_id", "source", "target", "relation_type", "score")
 
 
 def event_degrees(spark, d):
-    return graph.degrees(_events(spark, d), _coarse(spark, d))
+    return graph.degrees(_nodes(spark, d), _coarse(spark, d))
 
 
 def edge_dedupe(spark, d):
@@ -225,32 +236,29 @@ def attention(spark, d):
 
 
 def temporal_context(spark, d):
-    return features.event_times(_events(spark, d), F.lit("2024-01-20")).select("sample_id", "event_id", "event_time", "time_valid", "cutoff_value", "cutoff_valid")
+    return _timed(spark, d).select("sample_id", "event_id", "event_time", "time_valid", "cutoff_value", "cutoff_valid")
 
 
 def node_features(spark, d):
-    return features.node_features(features.event_times(_events(spark, d), F.lit("2024-01-20")), F.lit(A.QUERY))
+    return features.node_features(_timed(spark, d), F.lit(A.QUERY))
 
 
 def edge_features(spark, d):
-    e = features.event_times(_events(spark, d), F.lit("2024-01-20"))
-    out = features.edge_features(_coarse(spark, d).withColumn("source_kind", F.lit("coarse")), e)
+    out = features.edge_features(_coarse(spark, d).withColumn("source_kind", F.lit("coarse")), _timed(spark, d))
     return out.drop("ord")
 
 
 def query_features(spark, d):
-    e = features.event_times(_events(spark, d), F.lit("2024-01-20"))
-    return features.query_features(e, _coarse(spark, d), F.lit(2))
+    return features.query_features(_timed(spark, d), _coarse(spark, d), F.lit(2))
 
 
 def class_weights(spark, d):
-    return metrics.class_weights(_coarse(spark, d).select(F.col("relation_type").alias("label"))).withColumn("weight", F.round("weight", 9))
+    return metrics.class_weights(_coarse(spark, d).select(F.col("relation_type").alias("label"), F.lit(1).alias("edge_label"))).withColumn("weight", F.round("weight", 9))
 
 
 def labelled_samples(spark, d):
     gold = _temporal(spark, d)
-    out = features.labelled_samples(_coarse(spark, d).select("sample_id", "source", "target"), gold)
-    return out.groupBy("edge_label", "type_id").agg(F.count("*").alias("n"))
+    return features.labelled_samples(_coarse(spark, d).select("sample_id", "source", "target"), gold)
 
 
 # reports
@@ -290,7 +298,7 @@ def edge_evaluation(spark, d):
 
 
 def review_tags(spark, d):
-    return metrics.review(_temporal(spark, d), _predicted(spark, d)).groupBy("tag").agg(F.count("*").alias("n"))
+    return metrics.review(_temporal(spark, d), _predicted(spark, d)).select("sample_id", "source", "target", "gold_type", "predicted_type", "tag")
 
 
 def pair_stats(spark, d):
@@ -300,14 +308,14 @@ def pair_stats(spark, d):
 
 def answer_scores(spark, d):
     o = A.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("c"), F.col("o_custkey") % 9).alias("predicted"), F.array(F.concat(F.lit("c"), F.col("o_orderkey") % 9)).alias("alternatives"), F.array(F.concat(F.lit("c"), F.col("o_orderkey") % 5)).alias("answers"))
-    out = metrics.answer_scores(o)
-    return out.groupBy("reward").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.count_if("hit_with_alternatives").alias("hits_with_alternatives"))
+    return metrics.answer_scores(o).select("o_orderkey", "hit", "hit_with_alternatives", "reward")
 
 
 def missing_refs(spark, d):
     """Labels whose document is missing, and documents without a label."""
     docs, labels = A.table(spark, d, "documents").select("doc_id"), A.table(spark, d, "labels").select("doc_id")
-    return docs.join(labels, "doc_id", "left_anti")
+    lost = labels.join(docs, "doc_id", "left_anti").select("doc_id", F.lit("document").alias("missing"))
+    return docs.join(labels, "doc_id", "left_anti").select("doc_id", F.lit("label").alias("missing")).unionByName(lost)
 
 
 def with_refs(spark, d):
@@ -317,32 +325,288 @@ def with_refs(spark, d):
 # forecasts
 
 
-def _responses(spark, d):
-    """Model answers of several shapes, one for each sample."""
-    e = _events(spark, d).groupBy("sample_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
-    code = F.lpad((F.col("sample_id") % 20).cast("string"), 3, "0")
-    tagged = F.concat(
-        F.lit('Some words. <forecast_trace>{"intermediate_events": [{"event": "users return to the item", "relative_time": "t-2", "supporting_event_ids": ["'), F.get("ids", 0), F.lit('", "nothing"], "supporting_edge_ids": []}, {"event": "tensions rise"}], "trace_edges": [{"source": "'),
-        F.get("ids", 0), F.lit('", "target": "'), code, F.lit('", "confidence": 0.8}]}</forecast_trace><final_answer>{"event_code": "'), code, F.lit('", "alternatives": ["007"], "supporting_event_ids": ["'), F.get("ids", 1), F.lit('"], "confidence": 1.4}</final_answer>'),
-    )
-    flat = F.concat(F.lit('{"predicted_event_base_code": "'), code, F.lit('", "alternative_event_base_codes": ["007", "'), code, F.lit('"], "support_event_ids": ["'), F.get("ids", 0), F.lit('"], "confidence": "0.5"}'))
-    loose = F.concat(F.lit("I think that code "), code, F.lit(" is next {not json"))
-    return e.select("sample_id", F.when(F.col("sample_id") % 3 == 0, tagged).when(F.col("sample_id") % 3 == 1, flat).otherwise(loose).alias("response"))
+def _ids(spark, d) -> DataFrame:
+    """(sample_id, ids, code): a sample's event ids in order, and the three digits that its answers give."""
+    e = A.event_nodes(spark, d).groupBy("sample_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+    return e.withColumn("code", F.lpad((F.col("sample_id") % 20).cast("string"), 3, "0"))
+
+
+def _said(template: str) -> Column:
+    """A text with $1, $2 (event ids) and $c (the code) put in."""
+    out = F.lit(template)
+    for mark, value in (("$1", F.get("ids", 0)), ("$2", F.get("ids", 1)), ("$c", F.col("code"))):
+        out = F.replace(out, F.lit(mark), value)
+    return out
+
+
+#: answers of several shapes: tagged, flat, loose, a broken first object, nested with references, an open trace
+SHAPES = [
+    'Some words. <forecast_trace>{"intermediate_events": [{"event": "users return to the item", "relative_time": "t-2", "supporting_event_ids": ["$1", "nothing"]}, {"event": "tensions rise"}], "trace_edges": [{"source": "$1", "target": "answer_$c", "confidence": 0.8}]}</forecast_trace><final_answer>{"event_code": "$c", "supporting_event_ids": ["$2"], "confidence": 1.4}</final_answer>',
+    '{"predicted_event_base_code": "$c", "alternative_event_base_codes": ["007", "$c"], "support_event_ids": ["$1"], "confidence": "0.5", "forecast_event": " it sells ", "explanation": "so"}',
+    "I think that code $c is next {not json",
+    '{broken} then {"event_code": "$c", "a": "}"}',
+    '{"forecast_trace": {"intermediate_events": [{"trace_event_id": "ft_9", "event": {"mention": "crowds gather near the square", "actors": ["A", "B"], "relative_time": "before t"}, "supporting_events": [{"event_ref": "H01"}, "H01", {"event_id": "$2"}], "supporting_edge_refs": ["R01"]}, "a plain text event"], "trace_edges": [{"source_ref": "H01", "target_ref": "ft_9", "confidence": 0.5}, {"source_ref": "ft_9", "target_ref": "answer_C001", "score": 0.5}]}, "final_answer": {"answer_choice": "C001", "confidence": 0.3}, "alternative_event_base_codes": "007", "abstain": true}',
+    '{"intermediate_events": [{"text": "late news"}, {"text": "late news"}, {"text": "late news"}, {"text": "late news"}, {"text": "late news"}], "trace_edges": [{"source": "$1", "target": "code_$c", "confidence": 0.9}], "event_code": "$c", "confidence": null}',
+]
+
+
+def _responses(spark, d) -> DataFrame:
+    """Model answers (sample_id, response), of the shapes in turn."""
+    out = F.lit(None).cast("string")
+    for k, template in enumerate(SHAPES):
+        out = F.when(F.col("sample_id") % len(SHAPES) == k, _said(template)).otherwise(out)
+    return _ids(spark, d).select("sample_id", out.alias("response"))
+
+
+def _choices(spark) -> DataFrame:
+    rows = spark.createDataFrame([(0, "C001", "003", "a"), (1, None, " 007", None), (2, "C009", "", "no code")], "ord int, choice_id string, event_code string, description string")
+    return forecast.normalize_choices(rows)
+
+
+def normalized_choices(spark, d):
+    return _choices(spark)
+
+
+def _forecasts(spark, d) -> DataFrame:
+    return forecast.backfill_choices(forecast.parse_forecasts(_responses(spark, d)), _choices(spark))
 
 
 def parsed_forecasts(spark, d):
-    p = forecast.parse_forecasts(_responses(spark, d))
-    return p.select("sample_id", "parsed_json", "has_trace", "event_code", F.array_join("alternatives", "|").alias("alternatives"), F.size("events").cast("long").alias("n_events"), F.size("edges").cast("long").alias("n_edges"), F.size("event_refs").cast("long").alias("n_refs"), "confidence")
+    p = _forecasts(spark, d)
+    first = F.get("events", 0)
+    return p.select(
+        "sample_id", "parsed_json", "event_code", "choice_id", F.array_join("alternatives", "|").alias("alternatives"), F.size("events").cast("long").alias("n_events"), F.size("edges").cast("long").alias("n_edges"),
+        F.array_join("event_refs", "|").alias("event_refs"), F.array_join("edge_refs", "|").alias("edge_refs"), F.array_join("support_ids", "|").alias("support_ids"), "abstain", "forecast_event", "confidence", "rationale",
+        F.coalesce(first["id"], F.lit("")).alias("first_id"), F.coalesce(F.array_join(first["actors"], "|"), F.lit("")).alias("actors"), F.coalesce(first["relative_time"], F.lit("")).alias("relative_time"),
+    )
+
+
+def flat_forecasts(spark, d):
+    return forecast.parse_flat_forecasts(_responses(spark, d)).select("sample_id", "parsed_json", "event_code", F.array_join("alternatives", "|").alias("alternatives"), "abstain", F.length("forecast_event").cast("long").alias("n_event"), "confidence", F.array_join("support_ids", "|").alias("support_ids"))
+
+
+def free_forecasts(spark, d):
+    return forecast.parse_free_forecasts(_responses(spark, d)).select("sample_id", "parsed_json", "abstain", F.length("forecast_event").cast("long").alias("n_event"), "confidence", F.array_join("support_ids", "|").alias("support_ids"))
+
+
+def _rewarded(spark, d) -> DataFrame:
+    p, ids = _forecasts(spark, d), _ids(spark, d)
+    c = _coarse(spark, d)
+    maps = ids.select("sample_id", F.create_map(F.lit("H01"), F.get("ids", 0)).alias("event_map"), F.create_map(F.lit("R01"), F.lit("edge_1")).alias("edge_map"), F.col("ids").alias("event_ids"))
+    linked = c.groupBy("sample_id").agg(F.collect_list(F.concat(F.lit("edge_"), F.col("ord"))).alias("edge_ids"))
+    rows = p.join(maps, "sample_id").join(linked, "sample_id", "left")
+    bridge = forecast.bridge_scores(c, rows, A.event_nodes(spark, d))
+    rows = rows.join(bridge, "sample_id", "left").withColumns({"choice_ids": F.array(F.lit("C001"), F.lit("C002")), "choice_codes": F.array(F.lit("003"), F.lit("007")), "answers": F.array(F.lit("003"), F.lit("007"))})
+    return forecast.policy("trace-reward")(rows)
 
 
 def forecast_rewards(spark, d):
-    e = _events(spark, d)
-    p = forecast.parse_forecasts(_responses(spark, d))
-    bridge = forecast.bridge_scores(_coarse(spark, d), p, e)
-    ids = e.groupBy("sample_id").agg(F.collect_list("event_id").alias("event_ids"))
-    none = F.array().cast("array<string>")
-    rows = p.join(bridge, "sample_id", "left").join(ids, "sample_id").withColumns({"edge_ids": none, "choice_ids": none, "choice_codes": none, "answers": F.array(F.lit("003"), F.lit("007"))})
-    return forecast.reward_parts(rows).select("sample_id", "answer", "format", "grounding", "temporal", "graph_bridge", "generic_penalty", "density_penalty", "total")
+    return _rewarded(spark, d).select("sample_id", "answer", "format", "grounding", "valid_event_ref_ratio", "valid_edge_ref_ratio", "temporal", "graph_bridge", "generic_penalty", "density_penalty", "total")
+
+
+def code_rewards(spark, d):
+    rows = _forecasts(spark, d).withColumn("answers", F.array(F.lit("003"), F.lit(" 007 "), F.lit("")))
+    return forecast.policy("mirai-code-reward")(rows).select("sample_id", "answer", "total", "event_code")
+
+
+def run_rates(spark, d):
+    r = _rewarded(spark, d)
+    rows = r.select(F.lit(True).alias("input_valid"), F.lit(None).cast("boolean").alias("input_parsed"), F.col("parsed_json").alias("forecast_parsed"), (F.col("answer") == 1).alias("hit"), (F.col("answer") > 0).alias("hit_with_alternatives"), F.col("total").alias("reward"), F.size("event_ids").alias("events"), F.size(F.coalesce("edge_ids", F.array().cast("array<string>"))).alias("coarse_edges"), F.lit(0).alias("refined_edges"))
+    return metrics.run_rates(rows).select("samples", "event_input_success_rate", "forecast_parse_rate", "code_hit_rate", "code_hit_with_alternatives_rate", F.round("average_reward", 6).alias("average_reward"), "average_event_count", "average_coarse_edge_count", "average_refined_edge_count")
+
+
+# model graphs and events
+
+
+#: a model's graph: an edge, an unknown event, a self-loop, an unknown relation, a repeat, a text, a confidence in words
+GRAPH_ANSWER = """{"edges": [{"source_event_id": "$1", "target_event_id": "$2", "relation_type": "Causes", "confidence": 0.70004, "evidence": " so it is "}, {"source_event_id": "$1", "target_event_id": "zz", "relation_type": "causes"}, {"source_event_id": "$1", "target_event_id": "$1", "relation_type": "causes"}, {"source_event_id": "$2", "target_event_id": "$1", "relation_type": "escalates"}, {"source_event_id": "$1", "target_event_id": "$2", "relation_type": "causes", "confidence": 2}, "text", {"source_event_id": "$2", "target_event_id": "$1", "relation_type": "precedes", "confidence": "high"}, {"source_event_id": "$1", "target_event_id": "$2", "relation_type": "precedes"}]}"""
+
+
+def predicted_edges(spark, d):
+    k = F.col("sample_id") % 6
+    text = F.when(k == 2, "no answer {").when(k == 5, '{"edges": 5}').when(k % 2 == 1, F.concat(F.lit("Thinking.\n```json\n"), _said(GRAPH_ANSWER), F.lit("\n```"))).otherwise(_said(GRAPH_ANSWER))
+    out = graph.parse_predicted_edges(_ids(spark, d).withColumn("response", text), A.event_nodes(spark, d))
+    return out.select("sample_id", F.col("ord").cast("long").alias("ord"), "source", "target", "relation_type", "score", "evidence", "warning")
+
+
+def extracted_events(spark, d):
+    """A model's events of each document: evidence in its second sentence, an unknown document, a repeat."""
+    n = A.news_documents(spark, d).withColumn("document_id", F.concat(F.lit("d"), "document_id"))
+    second = F.coalesce(F.get(X.sentences(F.col("text")), 1), F.lit(""))
+    one = F.to_json(F.struct(F.col("document_id"), F.lit("Saw").alias("trigger"), F.lit("").alias("event"), second.alias("evidence"), F.lit("x").alias("confidence")))
+    two = '{"document_id": "unknown", "trigger": "met", "event": "people met there", "evidence": "", "participants": ["A"], "confidence": 1.7}'
+    answers = n.select(F.col("ord").alias("sample_id"), F.concat(F.lit('Here: {"events": ['), one, F.lit(f", {two}, {two.replace('met', 'MET', 1)}]}}")).alias("response"))
+    docs = n.select(F.col("ord").alias("sample_id"), F.lit(0).alias("ord"), "document_id", "title", "text")
+    out = retrieval.parse_extracted_events(answers, docs)
+    return out.select("sample_id", "event_id", "document_id", F.col("sentence_index").cast("long").alias("sentence_index"), "trigger", "text", F.array_join("participants", "|").alias("participants"), "confidence")
+
+
+#: tokens of the invented prose that stand for verbs and nouns of events
+PROSE_LEXICON = Lexicon(verbs=["ther", "erer", "onth", "thing"], nouns=["tion", "ande"])
+
+
+def _local(spark, d) -> tuple[DataFrame, DataFrame]:
+    q = A.item_queries(spark, d).withColumn("focus_entities", F.array().cast("array<string>"))
+    return graphs.local_graph(q, A.news_documents(spark, d).select("document_id", "ord", "title", "text"), lexicon=PROSE_LEXICON)
+
+
+def local_events(spark, d):
+    return _local(spark, d)[0].select("sample_id", "event_id", F.col("document_id").cast("string").alias("document_id"), F.col("sentence_index").cast("long").alias("sentence_index"), "trigger", "text", F.array_join("participants", "|").alias("participants"), "confidence", "node_type")
+
+
+def local_edges(spark, d):
+    return _local(spark, d)[1].select("sample_id", "edge_id", "source", "target", "relation_type", "score")
+
+
+def sentence_events(spark, d):
+    q, n = A.item_queries(spark, d), A.news_documents(spark, d)
+    hits = retrieval.retrieve(q, n, 6).select("query_id", "document_id", "rank")
+    found = hits.join(n.select("document_id", "title", "text"), "document_id").join(q.withColumnRenamed("text", "query"), "query_id")
+    out = retrieval.sentence_events(found, 1, lexicon=PROSE_LEXICON)
+    return out.select("query_id", "document_id", F.col("sentence_index").cast("long").alias("sentence_index"), "trigger", "text", "score")
+
+
+# event input
+
+
+def _records(spark, d) -> DataFrame:
+    """Records (ord, json) of the events of each sample, with a fault in most."""
+    n = A.event_nodes(spark, d)
+    k = F.col("sample_id") % 16
+    first = F.col("ord") == F.min("ord").over(Window.partitionBy("sample_id"))
+    odd = n.withColumn("k", F.when(first, k).otherwise(-1))
+    text = F.when(F.col("k") == 14, F.concat(F.lit("Trigger= "), "trigger", F.lit(";\nmention="), "mention", F.lit(" ")))
+    plain = F.to_json(F.struct(
+        F.when(F.col("k") == 1, F.lit(" ")).otherwise(F.col("event_id")).alias("event_id"), F.when(F.col("k") != 14, F.col("trigger")).alias("trigger"), F.when((F.col("k") != 14) & (F.col("ord") % 2 == 0), F.col("mention")).alias("mention"),
+        F.when((F.col("k") != 14) & (F.col("ord") % 2 == 1), F.col("mention")).alias("event"), text.alias("text"), F.when(F.col("k") == 2, "lost").otherwise(F.col("document_id")).alias("document_id"),
+        F.when(F.col("k") == 3, "-1").when(F.col("k") == 4, "x").otherwise(F.col("sentence_index").cast("string")).alias("sentence_index"), F.when(F.col("k") == 5, F.lit(1.5)).otherwise(F.round("confidence", 3)).alias("confidence"), "participants",
+    ))
+    spans = F.when(F.col("k") == 6, ', "evidence": [{"document_id": "lost", "text": "t"}]').when(F.col("k") == 7, ', "evidence": ["", " a b "]').when(F.col("k") == 8, ', "metadata": []').otherwise("")
+    e = odd.withColumn("j", plain).select("sample_id", "ord", "document_id", F.concat(F.expr("left(j, length(j) - 1)"), spans, F.lit("}")).alias("j"))
+    docs = F.transform(F.array_sort(F.collect_set("document_id")), lambda x: F.concat(F.lit('{"doc_id": "'), x, F.lit('", "text": "t"}')))
+    g = e.groupBy("sample_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "j"))), lambda x: x["j"]), ", ").alias("events"), F.array_join(docs, ", ").alias("documents"))
+    head = F.concat(F.lit('{"query": {"query_id": "'), F.when(k == 9, "other").otherwise(F.concat(F.lit("q"), "sample_id")), F.lit('", "text": "what"}, "query_id": "q'), "sample_id", F.lit('", "documents": ['), "documents", F.lit("], "))
+    body = F.when(k == 10, '"events": []}').when(k == 11, '"events": {}}').otherwise(F.concat(F.lit('"events": ['), "events", F.lit("]}")))
+    more = F.when(k == 12, '"edges": [1], ').when(k == 13, '"schema_version": "v2", ').otherwise('"edges": [], ')
+    return g.select(F.col("sample_id").alias("ord"), F.when(k == 15, F.lit("{not json")).otherwise(F.concat(head, more, body)).alias("json"))
+
+
+def event_input_errors(spark, d):
+    return event_input.validate(_records(spark, d)).select("ord", "query_id", "sample_id", F.array_join("errors", "|").alias("errors"), F.size("events").cast("long").alias("n_events"), F.size("documents").cast("long").alias("n_documents"))
+
+
+def _valid(spark, d) -> DataFrame:
+    return event_input.validate(_records(spark, d)).where("size(errors) = 0")
+
+
+def event_input_events(spark, d):
+    docs, e = event_input.materialise(_valid(spark, d))
+    return e.select("sample_id", "query_id", "event_id", "trigger", "mention", "text", "normalized_text", "document_id", F.col("sentence_index").cast("long").alias("sentence_index"), "confidence", F.get("evidence", 0)["text"].alias("evidence"), F.array_join("participants", "|").alias("participants"), F.element_at("metadata", F.lit("event_input_schema")).alias("schema"))
+
+
+def event_input_summary(spark, d):
+    return event_input.summary(_valid(spark, d)).select("records", "events", F.array_join("query_ids", "|").alias("query_ids"), "with_query", "with_documents")
+
+
+# gold graphs
+
+
+def _gold_rows(spark, d) -> DataFrame:
+    """A gold row a sample: a sentence an event, causes to the next event but one, order to the next; one event without a mention, one out of range."""
+    n = A.event_nodes(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("sample_id").orderBy("ord")) - 1)
+    sentence = F.concat(F.lit("at some time there was a "), "trigger", F.lit(" of an "), "mention", F.lit(" in the shop"))
+    mention = F.struct(F.col("event_id").alias("id"), F.col("trigger").alias("trigger_word"), F.when(F.col("i") == 3, 10_000).otherwise(F.col("i")).cast("int").alias("sent_id"), F.array(F.lit(9), F.lit(10)).alias("offset"))
+    event = F.struct(F.col("event_id").alias("id"), F.col("trigger").alias("type"), F.lit(1).alias("type_id"), F.when(F.col("i") == 2, F.array().cast("array<struct<id:string,trigger_word:string,sent_id:int,offset:array<int>>>")).otherwise(F.array(mention)).alias("mention"))
+
+    def pair(k: int) -> Column:
+        then = F.lead("event_id", k).over(Window.partitionBy("sample_id").orderBy("i"))
+        return F.when(then.isNotNull(), F.array(F.col("event_id"), then))
+
+    rows = n.select("sample_id", "i", sentence.alias("s"), event.alias("e"), pair(2).alias("cause"), pair(1).alias("before"))
+
+    def column(c: str) -> Column:
+        return F.transform(F.array_sort(F.filter(F.collect_list(F.struct("i", F.col(c).alias("x"))), lambda r: r["x"].isNotNull())), lambda r: r["x"])
+
+    # structs with arrays and nested mentions don't sort by i alone in SQL; i comes first and is distinct
+    g = rows.groupBy("sample_id").agg(column("s").alias("sentences"), column("e").alias("events"), column("cause").alias("cause"), column("before").alias("before"))
+    tokens = F.transform("sentences", lambda x: F.split(x, " "))
+    return g.select(F.col("sample_id").cast("string").alias("id"), F.col("sample_id").alias("ord"), F.lit("t").alias("title"), "sentences", tokens.alias("tokens"), "events", F.create_map(F.lit("PRECONDITION"), "before", F.lit("CAUSE"), "cause").alias("causal_relations"), F.create_map(F.lit("BEFORE"), "before").alias("temporal_relations"))
+
+
+def gold_events(spark, d):
+    e = corpora.gold_graphs(_gold_rows(spark, d))[0]
+    return e.select("sample_id", "event_id", F.col("sentence_index").cast("long").alias("sentence_index"), "trigger", "text", "normalized_text")
+
+
+def gold_edges(spark, d):
+    return corpora.gold_graphs(_gold_rows(spark, d))[1].select("sample_id", "edge_id", "source", "target", "relation_type", "score", "source_relation")
+
+
+def gold_sample_sizes(spark, d):
+    events, edges = corpora.gold_samples(_gold_rows(spark, d), max_events=12)
+    n = events.groupBy("sample_id").agg(F.count("*").alias("events"))
+    return n.join(edges.groupBy("sample_id").agg(F.count("*").alias("edges")), "sample_id").select("sample_id", "events", F.least("edges", F.lit(1)).cast("long").alias("has_edges"))
+
+
+def relation_report(spark, d):
+    gold = metrics.in_scope(_temporal(spark, d).withColumn("source_relation", F.when(F.col("ord") % 2 == 0, "CAUSE").otherwise("BEFORE")), "causal")
+    return metrics.relation_report(gold, _predicted(spark, d))
+
+
+def selected_samples(spark, d):
+    samples = A.event_nodes(spark, d).groupBy("sample_id").agg(F.min("ord").alias("ord"))
+    return metrics.select_samples(samples, _predicted(spark, d), 20, 5).select("sample_id")
+
+
+def _actions(spark, d, threshold: float) -> DataFrame:
+    c = _coarse(spark, d).withColumn("edge_id", F.concat(F.lit("edge_"), F.col("ord").cast("string")))
+    e = _events(spark, d).withColumn("event_time", F.lit(0.0))
+    rows = graphs.candidates(e, c, F.lit(A.QUERY))
+    return graph.edge_actions(rows, scorers.prior_refiner()(rows), threshold)
+
+
+def edge_actions(spark, d):
+    return _actions(spark, d, 0.42).groupBy("sample_id", "action").agg(F.count("*").alias("n"))
+
+
+def debug_edges(spark, d):
+    gold = _temporal(spark, d).select("sample_id", "source", "target", F.lit("KEEP").alias("gold_action"))
+    rows = _actions(spark, d, 0.6).join(gold, ["sample_id", "source", "target"], "left").withColumn("gold_action", F.coalesce("gold_action", F.lit("DROP")))
+    out = metrics.select_debug_edges(rows.where("source_kind = 'coarse'"), 10)
+    return out.select("sample_id", "source", "target", "action", "gold_action")
+
+
+def edge_preview(spark, d):
+    c = _coarse(spark, d).withColumn("source_kind", F.lit("coarse"))
+    return graph.edge_preview(c, scorers.prior_refiner()(c), _events(spark, d)).drop("ord")
+
+
+def edge_payload(spark, d):
+    return graph.edge_payload(_coarse(spark, d)).select("sample_id", F.length("payload").cast("long").alias("n"), F.get_json_object("payload", "$.edges[0].source_event_id").alias("first"))
+
+
+def id_sets(spark, d):
+    return graph.ids(_coarse(spark, d).withColumn("edge_id", F.concat(F.lit(" edge_"), F.col("ord").cast("string"))), "edge_id")
+
+
+def evaluation(spark, d):
+    p = scorers.heuristic_scorer(EVENT_LEXICON)(pairs.inference_pairs(_events(spark, d)))
+    told = p.select("sample_id", F.col("s_event_id").alias("source"), F.col("t_event_id").alias("target"), F.when(F.col("pair_rank") % 7 != 0, F.col("relation_type")).alias("relation_type"), F.round("candidate_score", 4).alias("score"))
+    coarse = told.where("relation_type is not null and score >= 0.6").select("sample_id", "source", "target", "relation_type")
+    refine = coarse.withColumn("keep_probability", F.when(F.col("relation_type") == "escalates", 0.2).otherwise(0.8))
+    refined = refine.where("keep_probability >= 0.5").select("sample_id", "source", "target", "relation_type")
+    return metrics.evaluation(_temporal(spark, d), told, coarse, refine, refined, 0.6).withColumn("value", F.round("value", 9))
+
+
+def edge_sample_stats(spark, d):
+    rows = features.labelled_samples(_coarse(spark, d).select("sample_id", "source", "target"), _temporal(spark, d))
+    return metrics.edge_sample_stats(rows)
+
+
+def completion_candidates(spark, d):
+    e = features.event_times(_events(spark, d), F.lit("2024-01-20"))
+    out = graphs.completion_candidates(_temporal(spark, d), _coarse(spark, d), e, F.lit(A.QUERY))
+    return out.select("sample_id", "source", "target", "relation_type", "score", "source_kind", F.regexp_replace(F.coalesce("edge_id", F.lit("")), r"_\d+$", "").alias("kind"))
 
 
 def trajectories(spark, d):
@@ -352,17 +616,20 @@ def trajectories(spark, d):
 
 
 def pair_prompts(spark, d):
-    p = scorers.heuristic_scorer(EVENT_LEXICON)(pairs.inference_pairs(_events(spark, d), max_pairs=4))
-    return prompts.pair_instructions(p, F.lit(A.QUERY)).select("sample_id", F.col("pair_rank").cast("long").alias("pair_rank"), "prompt", "target")
+    e = _events(spark, d)
+    docs = e.select("sample_id", "document_id").distinct().withColumn("title", F.concat(F.lit("Week "), "document_id")).withColumn("text", F.lit("t"))
+    p = scorers.heuristic_scorer(EVENT_LEXICON)(pairs.inference_pairs(e))
+    return prompts.pair_instructions(p, F.lit(A.QUERY), docs).select("sample_id", F.col("pair_rank").cast("long").alias("pair_rank"), F.substring_index("prompt", "Source Event:", -1).alias("prompt"), "target")
 
 
 def forecast_prompts(spark, d):
     e = _events(spark, d)
-    q = e.select("sample_id").distinct().withColumn("query", F.lit(A.QUERY))
-    docs = e.groupBy("sample_id", F.col("document_id").alias("title")).agg(F.min("ord").alias("ord"), F.array_join(F.array_sort(F.collect_list("mention")), ". ").alias("text"))
+    q = e.select("sample_id").distinct().withColumn("query", F.lit(A.QUERY)).withColumn("query_id", F.concat(F.lit("q"), "sample_id"))
+    docs = e.groupBy("sample_id", "document_id").agg(F.min("ord").alias("ord"), F.min("publish_time").alias("publish_time"), F.array_join(F.array_sort(F.collect_list("mention")), ". ").alias("text")).withColumn("title", F.concat(F.lit("Week "), "document_id"))
     c = _coarse(spark, d).withColumn("edge_id", F.concat(F.lit("edge_"), F.col("ord").cast("string")))
-    choices = retrieval.choice_vocabulary(A.table(spark, d, "part").select(F.col("p_type").alias("event_code"), F.col("p_brand").alias("name"), F.col("p_partkey").alias("ord")), 5)
-    return prompts.forecast_prompts(q, docs, e, c, choices).select("sample_id", "prompt", F.size("event_refs").cast("long").alias("n_events"), F.size("edge_refs").cast("long").alias("n_edges"))
+    choices = retrieval.choice_vocabulary(A.table(spark, d, "part").select(F.col("p_type").alias("event_code"), F.col("p_brand").alias("name"), F.col("p_partkey").alias("ord")))
+    out = prompts.forecast_prompts(q, docs, e, c, choices)
+    return out.select("sample_id", F.substring_index("prompt", "QueryId: ", -1).alias("prompt"), F.element_at("event_refs", F.lit("H01")).alias("h01"), F.size("event_refs").cast("long").alias("n_events"), F.size("edge_refs").cast("long").alias("n_edges"))
 
 
 # sampling
@@ -377,7 +644,7 @@ def training_pairs(spark, d):
     positives = _temporal(spark, d).select("sample_id", "source", "target", F.col("relation_type").alias("label"), "score")
     negatives = pairs.inference_pairs(_events(spark, d), max_pairs=0).select("sample_id", F.col("s_event_id").alias("source"), F.col("t_event_id").alias("target"), "score").join(positives, ["sample_id", "source", "target"], "left_anti")
     out = sampling.training_pairs(positives, negatives, 1.5)
-    return out.groupBy("label").agg(F.count("*").alias("n"))
+    return out.groupBy("sample_id", "label").agg(F.count("*").alias("n"), F.max("score").alias("most"))
 
 
 def perturbed_graph(spark, d):
@@ -394,6 +661,8 @@ QUERIES = {f.__name__: f for f in (
     retrieve_documents, lexical_overlap, choice_vocabulary, news_for_requests, truncated_events, candidate_pairs, typed_edges, coarse_edges, negative_pairs, completion_pairs, bridge_pairs,
     temporal_edges, event_degrees, edge_dedupe, truncated_graph, truncated_graph_edges, pair_label_priority, refined_graph, refined_with_completions, frontier_nodes, best_path, attention,
     temporal_context, node_features, edge_features, query_features, class_weights, labelled_samples, set_report, set_report_per_sample, micro_report, classification_report, classification_summary,
-    binary_report, edge_evaluation, review_tags, pair_stats, answer_scores, missing_refs, with_refs, parsed_forecasts, forecast_rewards, trajectories, pair_prompts, forecast_prompts, train_split,
-    training_pairs, perturbed_graph, synthetic_graphs,
+    binary_report, edge_evaluation, review_tags, pair_stats, answer_scores, missing_refs, with_refs, normalized_choices, parsed_forecasts, flat_forecasts, free_forecasts, forecast_rewards, code_rewards,
+    run_rates, predicted_edges, extracted_events, local_events, local_edges, sentence_events, event_input_errors, event_input_events, event_input_summary, gold_events, gold_edges, gold_sample_sizes,
+    relation_report, selected_samples, edge_actions, debug_edges, edge_preview, edge_payload, id_sets, evaluation, edge_sample_stats, completion_candidates, trajectories, pair_prompts, forecast_prompts,
+    train_split, training_pairs, perturbed_graph, synthetic_graphs,
 )}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from eventloom.operators import graph, metrics, retrieval, sampling
 from eventloom.plans import graphs, scorers
 from eventloom.sources import corpora as C
+from eventloom.sources import files
 from eventloom.streaming import events as S
 
 TAB = "\t"
@@ -32,13 +33,13 @@ def test_queries_news_and_choices(spark, tmp_path):
     assert got[1].text == "The abstract\nThe text"
     k = write(tmp_path / "k.csv", ["EventBaseCode", "RelName"], ["042", "Host"], ["036", "Meet"], ["036", "Talk"], ["042", "Visit"], ["042", "Visit"], ["010", "Say"])
     got = retrieval.choice_vocabulary(C.event_code_rows(spark, k).repartition(1), 2).orderBy("choice_id").collect()
-    assert [tuple(r) for r in got] == [("C000", "036", "Meet", 2), ("C001", "042", "Visit", 3)]
+    assert [tuple(r) for r in got] == [("C001", "036", "Meet", 2), ("C002", "042", "Visit", 3)]
 
 
 def test_archives_and_news_lines(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("in/n.jsonl", json.dumps({"document_id": "1", "title": "T", "text": "x", "kept": 3}) + "\n\n")
-    path = C.unpack(str(tmp_path / "a.zip"), "in/n.jsonl", str(tmp_path / "landing"))
+    path = files.unpack(str(tmp_path / "a.zip"), "in/n.jsonl", str(tmp_path / "landing"))
     row = C.news_lines(spark, path).first()
     assert (row.document_id, row.source, json.loads(row.metadata)) == ("1", "unknown", {"kept": "3"})
 

@@ -44,7 +44,22 @@ def value(spark, column):
         (lambda: V.first_json_object(F.lit("{broken")), None),
         (lambda: V.literal_list(F.lit("['a', 2]")), ["a", "2"]),
         (lambda: V.literal_list(F.lit("nope")), []),
-        (lambda: V.literal_map(F.lit("{'a': 'b', 'c': ['d', None]}")), {"a": ["b"], "c": ["d"]}),
+        (lambda: V.first_json_object(F.lit('{broken} then {"a": 1}')), None),
+        (lambda: V.json_answer(F.lit('It {is}.\n```json\n{"a": {"b": 1}}\n``` so')), '{"a": {"b": 1}}'),
+        (lambda: V.json_answer(F.lit("[1]")), None),
+        (lambda: V.outer_json(F.lit('so {"a": {"b": 1}} and')), '{"a": {"b": 1}}'),
+        (lambda: V.literal_list(F.lit("('a', 'b')")), []),
+        (lambda: V.literal_map(F.lit("{'a': 'b', 'c': ['d', None], 'e': None, 2: (1,)}")), {"a": ["b"], "c": ["d", "None"], "2": ["(1,)"]}),
+        (lambda: V.texts(V.field(F.try_parse_json(F.lit('{"a": null, "b": ["x", 2, ""]}')), "a", "b")), ["x", "2"]),
+        (lambda: V.is_true(F.try_parse_json(F.lit('"0"'))), True),
+        (lambda: V.is_true(F.try_parse_json(F.lit("0.0"))), False),
+        (lambda: X.sentences(F.lit("\n One. Two!\n\nThree\n")), ["One.", "Two!", "Three"]),
+        (lambda: X.compact(F.lit("a  b"), 0), "a b"),
+        (lambda: X.display_trigger(F.lit(" "), F.lit("trigger=met; mention=they met")), "met"),
+        (lambda: X.locate_sentence(F.lit("A title"), F.lit("First one. They met there."), F.lit("met there"))["sentence_index"], 2),
+        (lambda: X.locate_sentence(F.lit("The"), F.lit("First one."), F.lit("met"))["sentence"], "The"),
+        (lambda: X.locate_sentence(F.lit("Title"), F.lit("First one."), F.lit(""))["sentence"], "Title"),
+        (lambda: X.clean_document(F.lit(None).cast("string"), F.lit("b c\na\nA\nb  c\nc")), "b c\nc"),
         (lambda: V.pair_payload(F.lit('{"relation_type": "Causes", "score": 3}'))["score"], 1.0),
         (lambda: V.pair_payload(F.lit('{"relation_type": "unknown"}')), None),
     ],
