@@ -391,10 +391,10 @@ def free_forecasts(spark, d):
 
 def _rewarded(spark, d) -> DataFrame:
     p, ids = _forecasts(spark, d), _ids(spark, d)
-    c = _coarse(spark, d)
+    c = _coarse(spark, d).persist()  # read by the ids of its edges and by every hop
     maps = ids.select("sample_id", F.create_map(F.lit("H01"), F.get("ids", 0)).alias("event_map"), F.create_map(F.lit("R01"), F.lit("edge_1")).alias("edge_map"), F.col("ids").alias("event_ids"))
     linked = c.groupBy("sample_id").agg(F.collect_list(F.concat(F.lit("edge_"), F.col("ord"))).alias("edge_ids"))
-    rows = p.join(maps, "sample_id").join(linked, "sample_id", "left")
+    rows = p.join(maps, "sample_id").join(linked, "sample_id", "left").persist()
     bridge = forecast.bridge_scores(c, rows, A.event_nodes(spark, d))
     rows = rows.join(bridge, "sample_id", "left").withColumns({"choice_ids": F.array(F.lit("C001"), F.lit("C002")), "choice_codes": F.array(F.lit("003"), F.lit("007")), "answers": F.array(F.lit("003"), F.lit("007"))})
     return forecast.policy("trace-reward")(rows)

@@ -57,32 +57,49 @@ def _evidence(event: Column, document_id: Column, sentence_index: Column, mentio
         plain = F.struct(document_id.alias("document_id"), sentence_index.alias("sentence_index"), words(v).alias("text"))
         return F.when(is_object(v), told).otherwise(plain)
 
-    spans = F.filter(F.transform(listed(field(event, "evidence")), one), lambda s: s["text"] != "")
+    given = field(event, "evidence")
     lone = F.array(F.struct(document_id.alias("document_id"), sentence_index.alias("sentence_index"), mention.alias("text")))
-    return F.when(F.size(spans) > 0, spans).otherwise(lone)
+    spans = X.let(F.filter(F.transform(listed(given), one), lambda s: s["text"] != ""), lambda found: F.when(F.size(found) > 0, found).otherwise(lone))
+    return F.when(given.isNull(), lone).otherwise(spans)
 
 
 def _event(e: Column, i: Column) -> Column:
-    """An event with aliases resolved: trigger and mention from fields, metadata, or a formatted text."""
+    """An event with aliases resolved: trigger and mention from fields, metadata, or a formatted text. What other fields are made of is computed once."""
     form = r"(?is)^\s*trigger=(.*?);\s*mention=(.*?)\s*$"
     meta = F.try_variant_get(e, "$.metadata", "variant")
-    formatted = words(field(e, "text"))
-    trigger = F.coalesce(_text(F.coalesce(field(e, "trigger"), field(meta, "trigger"))), F.nullif(X.collapse(F.regexp_extract(formatted, form, 1)), F.lit("")))
-    mention = F.coalesce(_text(F.coalesce(field(e, "mention", "event"), field(meta, "event_context"))), F.nullif(X.collapse(F.regexp_extract(formatted, form, 2)), F.lit("")))
-    document_id, place = _text(field(e, "document_id", "doc_id")), F.coalesce(words(field(e, "sentence_index")), F.lit(""))
-    sentence_index = F.when(place == "", 0).otherwise(place.try_cast("int"))
-    told = words(field(e, "confidence"))
-    shown = X.event_mention(trigger, mention)
-    more = F.create_map(*[x for k, v in (("trigger", trigger), ("event_mention", shown), ("event_context", mention), ("event_input_schema", F.lit(VERSION))) for x in (F.lit(k), v)])
-    own = F.map_filter(F.coalesce(F.transform_values(F.try_variant_get(meta, "$", "map<string,variant>"), lambda k, v: words(v)), F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin("trigger", "event_mention", "event_context", "event_input_schema"))
-    return F.struct(
-        i.alias("ord"), _text(field(e, "event_id")).alias("event_id"), trigger.alias("trigger"), mention.alias("mention"), document_id.alias("document_id"), sentence_index.alias("sentence_index"),
-        F.when(told == "", 1.0).otherwise(told.try_cast("double")).alias("confidence"), F.transform(listed(field(e, "participants")), words).alias("participants"),
-        F.coalesce(F.nullif(words(field(e, "normalized_text")), F.lit("")), X.normalize(mention)).alias("normalized_text"), F.coalesce(F.nullif(words(field(e, "node_type")), F.lit("")), F.lit("observed")).alias("node_type"),
-        shown.alias("text"), _evidence(e, document_id, F.coalesce(sentence_index, F.lit(0)), mention).alias("evidence"), F.nullif(words(field(meta, "publish_time")), F.lit("")).alias("event_time_text"),
-        is_true(field(meta, "is_title")).alias("is_title"), F.map_concat(own, more).alias("metadata"),
+    formatted = F.coalesce(F.try_variant_get(e, "$.text", "string"), F.lit(""))
+
+    def told(group: int) -> Column:
+        return F.when(formatted != "", F.nullif(X.collapse(F.regexp_extract(formatted, form, group)), F.lit("")))
+
+    def number(name: str) -> Column:
+        return F.nullif(words(field(e, name)), F.lit(""))
+
+    parts = F.struct(
+        F.coalesce(_text(F.coalesce(field(e, "trigger"), field(meta, "trigger"))), told(1)).alias("trigger"), F.coalesce(_text(F.coalesce(field(e, "mention", "event"), field(meta, "event_context"))), told(2)).alias("mention"),
+        _text(field(e, "document_id", "doc_id")).alias("document_id"), number("sentence_index").alias("place"), number("confidence").alias("sure"), F.nullif(words(field(e, "normalized_text")), F.lit("")).alias("norm"),
+        F.transform_values(F.try_variant_get(meta, "$", "map<string,variant>"), lambda k, v: words(v)).alias("meta"), is_true(field(meta, "is_title")).alias("is_title"),
     )
 
+    def known(p: Column) -> Column:
+        shown = X.event_mention(p["trigger"], p["mention"])
+        place = F.when(p["place"].isNull(), 0).otherwise(p["place"].try_cast("int"))
+        return X.let(F.struct(shown.alias("shown"), place.alias("place"), p.alias("p")), built)
+
+    def built(q: Column) -> Column:
+        p = q["p"]
+        more = F.create_map(F.lit("trigger"), p["trigger"], F.lit("event_mention"), q["shown"], F.lit("event_context"), p["mention"], F.lit("event_input_schema"), F.lit(VERSION))
+        own = F.map_filter(F.coalesce(p["meta"], F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin("trigger", "event_mention", "event_context", "event_input_schema"))
+        return F.struct(
+            i.alias("ord"), _text(field(e, "event_id")).alias("event_id"), p["trigger"].alias("trigger"), p["mention"].alias("mention"), p["document_id"].alias("document_id"), q["place"].alias("sentence_index"),
+            F.when(p["sure"].isNull(), 1.0).otherwise(p["sure"].try_cast("double")).alias("confidence"), F.transform(listed(field(e, "participants")), words).alias("participants"),
+            F.coalesce(p["norm"], X.normalize(p["mention"])).alias("normalized_text"), F.coalesce(F.nullif(words(field(e, "node_type")), F.lit("")), F.lit("observed")).alias("node_type"),
+            q["shown"].alias("text"), _evidence(e, p["document_id"], F.coalesce(q["place"], F.lit(0)), p["mention"]).alias("evidence"), F.nullif(F.try_element_at(p["meta"], F.lit("publish_time")), F.lit("")).alias("event_time_text"),
+            p["is_title"].alias("is_title"), F.map_concat(own, more).alias("metadata"),
+        )
+
+    return X.let(parts, known)
+
 
 def _document(d: Column, i: Column) -> Column:
     return F.struct(
@@ -192,7 +209,8 @@ def with_context(records: DataFrame, queries: DataFrame, documents: DataFrame) -
 
 def materialise(records: DataFrame, max_events: int = 0, max_docs: int = 0) -> tuple[DataFrame, DataFrame]:
     """(documents, events) tables keyed by sample_id. Documents are cut before references are checked, those of all events; a missing query,
-    missing documents and under two events (after the cut of events) are errors."""
+    missing documents and under two events (after the cut of events) are errors. The parsed records are kept for the checks and the tables."""
+    records = records.persist()
     docs = records.select("sample_id", F.explode("documents").alias("d")).select("sample_id", "d.*")
     every = records.select("sample_id", "query_id", F.col("query.text").alias("query"), F.col("query.cutoff_time").alias("cutoff_time"), F.col("query.focus_entities").alias("focus_entities"), F.explode("events").alias("e")).select("sample_id", "query_id", "query", "cutoff_time", "focus_entities", "e.*")
     docs = docs.where(F.col("ord") < max_docs) if max_docs > 0 else docs
