@@ -12,13 +12,19 @@ from ..functions.values import field, first_json_object, is_object, words
 
 #: up to so many query tokens are sent to the documents; beyond that both sides are shuffled by token
 SENT_TOKENS = 200_000
+#: up to so many different ones are part of the plan, as a filter
+SENT_WORDS = 5_000
 
 
-def _query_tokens(queries: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(query_id, qn, token), marked to be sent out if a count shows that they are few."""
+def _query_tokens(queries: DataFrame, lexicon: Lexicon) -> tuple[DataFrame, list[str] | None]:
+    """((query_id, qn, token), marked to be sent out if they turn out to be few; the different tokens, if these are very few)."""
     q = queries.select("query_id", X.token_set(F.col("text"), lexicon).alias("qt"))
     rows = q.select("query_id", F.size("qt").alias("qn"), F.explode("qt").alias("token"))
-    return F.broadcast(rows) if rows.limit(SENT_TOKENS + 1).count() <= SENT_TOKENS else rows
+    told = rows.select("token").limit(SENT_TOKENS + 1).collect()
+    if len(told) > SENT_TOKENS:
+        return rows, None
+    vocabulary = sorted({r.token for r in told})
+    return F.broadcast(rows), vocabulary if len(vocabulary) <= SENT_WORDS else None
 
 
 def _jaccard(both: Column, a: Column, b: Column) -> Column:
@@ -28,7 +34,7 @@ def _jaccard(both: Column, a: Column, b: Column) -> Column:
 def overlaps(queries: DataFrame, docs: DataFrame, column: str, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """(query_id, document_id, overlap, matched) with Jaccard overlap over 0, by an equi-join on tokens: texts without a common token never meet."""
     d = docs.select("document_id", X.token_set(F.col(column), lexicon).alias("dt"))
-    met = d.select("document_id", F.size("dt").alias("dn"), F.explode("dt").alias("token")).join(_query_tokens(queries, lexicon), "token")
+    met = d.select("document_id", F.size("dt").alias("dn"), F.explode("dt").alias("token")).join(_query_tokens(queries, lexicon)[0], "token")
     both = met.groupBy("query_id", "document_id", "qn", "dn").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("token")).alias("matched"))
     return both.select("query_id", "document_id", _jaccard(F.col("n"), F.col("qn"), F.col("dn")).alias("overlap"), "matched")
 
@@ -37,21 +43,29 @@ def retrieve(queries: DataFrame, docs: DataFrame, max_docs: int = 6, title_weigh
     """queries (query_id, text), docs (document_id, ord, title, text) → the best documents of each query with rank and score.
 
     Tokens of title and text meet the queries' in one join. A document's tokens are in one task, so its scores are added up before the
-    shuffle, and so are the best documents of each query.
+    shuffle, and so are the best documents of each query. Matched terms are looked up for the best documents only.
     """
-    d = docs.select("document_id", "ord", X.token_set(F.coalesce("title", F.lit("")), lexicon).alias("tt"), X.token_set(F.coalesce("text", F.lit("")), lexicon).alias("bt"))
+    d = docs.select("document_id", "ord", *[F.array_distinct(X.content_tokens(F.coalesce(c, F.lit("")), lexicon)).alias(n) for c, n in (("title", "tt"), ("text", "bt"))])
 
     def side(tokens: str, title: int) -> Column:
         return F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(title).alias("title")))
 
-    parts = F.concat(side("tt", 1), side("bt", 0))
-    rows = d.select("document_id", "ord", F.size("tt").alias("tn"), F.size("bt").alias("bn"), F.explode(parts).alias("p")).select("*", "p.token", "p.title").drop("p")
-    met = rows.join(_query_tokens(queries, lexicon), "token")
-    out = met.groupBy("query_id", "document_id", "ord", "qn", "tn", "bn").agg(F.sum("title").alias("nt"), F.count("*").alias("n"), F.array_sort(F.collect_set("token")).alias("matched_terms"))
+    asked, vocabulary = _query_tokens(queries, lexicon)
+    sized = d.withColumn("tn", F.size("tt")).withColumn("bn", F.size("bt"))
+    if vocabulary is not None:  # only tokens that some query has are taken apart
+        sized = sized.withColumns({c: F.filter(c, lambda w: w.isin(vocabulary)) for c in ("tt", "bt")})
+    rows = sized.select("document_id", "ord", "tn", "bn", F.explode(F.concat(side("tt", 1), side("bt", 0))).alias("p")).select("*", "p.token", "p.title").drop("p")
+    met = rows.join(asked, "token")
+    out = met.groupBy("query_id", "document_id", "ord", "qn", "tn", "bn").agg(F.sum("title").alias("nt"), F.count("*").alias("n"))
     score = title_weight * _jaccard(F.col("nt"), F.col("qn"), F.col("tn")) + _jaccard(F.col("n") - F.col("nt"), F.col("qn"), F.col("bn"))
-    out = out.select("query_id", "document_id", "ord", score.alias("score"), "matched_terms")
+    out = out.select("query_id", "document_id", "ord", score.alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ord"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= max_docs)
+    best = out.withColumn("rank", rank).where(F.col("rank") <= max_docs)
+    both = F.concat_ws(" ", "title", "text")
+    told = best.join(docs.select("document_id", "title", "text"), "document_id").join(queries.select("query_id", F.col("text").alias("_query")), "query_id")
+    # title and text are cut into tokens apart, and the space between them is no part of one
+    terms = F.array_sort(F.array_intersect(X.token_set(F.col("_query"), lexicon), X.content_tokens(both, lexicon)))
+    return told.select("query_id", "document_id", "ord", "score", terms.alias("matched_terms"), "rank")
 
 
 def retrieve_own(queries: DataFrame, docs: DataFrame, max_docs: int = 6, title_weight: float = 1.4, lexicon: Lexicon = DEFAULT) -> DataFrame:
