@@ -320,7 +320,7 @@ ORACLE_SQL = {
         k AS (SELECT event_code, CAST(sum(c) AS BIGINT) AS n, arg_max(name, (c, -f)) AS description FROM n GROUP BY 1 ORDER BY n DESC, event_code LIMIT 40)
         SELECT 'C' || lpad(CAST(row_number() OVER (ORDER BY event_code) AS VARCHAR), 3, '0') AS choice_id, event_code, description, n FROM k""",
     "news_for_requests": f"""WITH {NEWS}, r AS (SELECT o_orderkey AS query_id, unnest([0, 1, 2]) AS pos, unnest([o_custkey * 3 % 997, o_custkey * 5 % 997, o_custkey * 3 % 997]) AS document_id FROM orders)
-        SELECT query_id, document_id, min(pos) AS pos, title FROM r JOIN news USING (document_id) GROUP BY query_id, document_id, title""",
+        SELECT query_id, document_id, CAST(min(pos) AS BIGINT) AS pos, title FROM r JOIN news USING (document_id) GROUP BY query_id, document_id, title""",
     "truncated_events": f"WITH {NODES} SELECT sample_id, event_id, confidence FROM ev",
     "candidate_pairs": f"WITH {NODES}, {PAIRS} SELECT sample_id, pair_rank, source, target, candidate_score FROM pairs",
     "typed_edges": f"WITH {NODES}, {PAIRS} SELECT sample_id, edge_id, source, target, relation_type, candidate_score AS score FROM predicted JOIN pairs USING (sample_id, source, target)",
@@ -393,7 +393,7 @@ ORACLE_SQL = {
         SELECT sample_id, ord, source, target, relation_type, score, evidence, warning FROM e WHERE k NOT IN (2, 5) UNION ALL SELECT sample_id, NULL, NULL, NULL, NULL, NULL, NULL, CASE k WHEN 2 THEN 'no JSON object' ELSE 'edges are no array' END FROM ids WHERE k IN (2, 5)""",
     "extracted_events": f"""WITH {NEWS}, s AS (SELECT document_id AS id, title, {sentences("text")} AS ss FROM news), c AS (SELECT *, [title] || ss AS cands, coalesce(ss[2], '') AS ev FROM s), n AS (SELECT *, list_transform(cands, lambda c: {norm("c")}) AS norms, {norm("ev")} AS en, 'people met there' AS pm FROM c),
         p AS (SELECT *, coalesce(list_position(list_transform(norms, lambda x: en <> '' AND (contains(x, en) OR contains(en, x))), true), 0) AS p1, coalesce(list_position(list_transform(norms, lambda x: contains(x, pm) OR contains(pm, x)), true), 0) AS p2 FROM n)
-        SELECT id AS sample_id, 'qwen_e0' AS event_id, 'd' || id AS document_id, greatest(p1 - 1, 0) AS sentence_index, 'Saw' AS "trigger", 'trigger=Saw; mention=' || {compact("(CASE WHEN p1 > 0 THEN cands[p1] ELSE ev END)", 180)} AS text, '' AS participants, 7e-1 AS confidence FROM p WHERE ev <> ''
+        SELECT id AS sample_id, 'qwen_e0' AS event_id, 'd' || id AS document_id, CAST(greatest(p1 - 1, 0) AS BIGINT) AS sentence_index, 'Saw' AS "trigger", 'trigger=Saw; mention=' || {compact("(CASE WHEN p1 > 0 THEN cands[p1] ELSE ev END)", 180)} AS text, '' AS participants, 7e-1 AS confidence FROM p WHERE ev <> ''
         UNION ALL SELECT id, 'qwen_e' || CASE WHEN ev <> '' THEN 1 ELSE 0 END, 'd' || id, greatest(p2 - 1, 0), 'met', 'trigger=met; mention=people met there', 'A', 1e0 FROM p""",
     "local_events": f"WITH {NEWS}, {HITS}, {FOUND}, {LOCAL} SELECT sample_id, 'e' || ord AS event_id, CAST(document_id AS VARCHAR) AS document_id, sentence_index, trig AS \"trigger\", text, participants, least(fscore, 95e-2) AS confidence, 'observed' AS node_type FROM local",
     "local_edges": f"WITH {NEWS}, {HITS}, {FOUND}, {LOCAL}, {NEXT} SELECT sample_id, 'edge' || (row_number() OVER (PARTITION BY sample_id ORDER BY rank, block, sentence_index, ord) - 1) AS edge_id, source, target, relation_type, score FROM le",
@@ -407,10 +407,13 @@ ORACLE_SQL = {
     "event_input_summary": f"WITH {NODES}, {INPUT}, v AS (SELECT * FROM sized WHERE k IN (0, 7, 14)) SELECT count(*) AS records, CAST(sum(n) AS BIGINT) AS events, (SELECT string_agg('q' || sample_id, '|' ORDER BY sample_id) FROM (SELECT sample_id FROM v ORDER BY 1 LIMIT 20)) AS query_ids, count(*) AS with_query, count(*) AS with_documents FROM v",
     "gold_events": f"WITH {NODES}, {GOLD} SELECT sample_id, event_id, sentence_index, trig AS \"trigger\", 'trigger=' || trig || '; mention=' || mention AS text, lower(trig) AS normalized_text FROM ge",
     "gold_edges": f"WITH {NODES}, {GOLD} SELECT CAST(sample_id AS VARCHAR) AS sample_id, 'gold_edge_' || (row_number() OVER (PARTITION BY sample_id ORDER BY b, i) - 1) AS edge_id, 'maven_e' || i AS source, 'maven_e' || (i + step) AS target, relation_type, 1e0 AS score, source_relation FROM gk",
-    "gold_sample_sizes": f"WITH {NODES}, {GOLD} SELECT 'maven_' || sample_id AS sample_id, least(n - 2, 12) AS events, 1 AS has_edges FROM gc",
+    "gold_sample_sizes": f"WITH {NODES}, {GOLD} SELECT 'maven_' || sample_id AS sample_id, least(n - 2, 12) AS events, CAST(1 AS BIGINT) AS has_edges FROM gc",
     "relation_report": f"""WITH {NODES}, {PAIRS}, {TEMPORAL}, r AS (SELECT unnest(['precedes', 'causes']) AS relation_type), g AS (SELECT {K4} FROM temporal WHERE ord % 2 = 0), m AS (SELECT {K4}, g.sample_id IS NOT NULL AS g, p.sample_id IS NOT NULL AS p FROM g FULL JOIN (SELECT DISTINCT {K4} FROM predicted) p USING ({K4})),
         c AS (SELECT r.relation_type, count(*) FILTER (g AND p) AS tp, count(*) FILTER (p AND NOT g) AS fp, count(*) FILTER (g AND NOT p) AS fn FROM r LEFT JOIN m USING (relation_type) GROUP BY 1) SELECT relation_type, tp, fp, fn, {prf('tp', 'fp', 'fn')} FROM c""",
     "selected_samples": f"WITH {NODES}, {PAIRS}, s AS (SELECT sample_id, min(ord) AS o FROM nodes GROUP BY 1) SELECT sample_id FROM s WHERE sample_id IN (SELECT sample_id FROM predicted) ORDER BY o LIMIT 20 OFFSET 5",
+    "refined_with_completions": f"""WITH {NODES}, {COARSE}, {COMPLETION}, {REFINER}, x AS (SELECT sample_id, 'edge_' || ord AS edge_id, source, target, relation_type, round(score, 4) AS score, p, 'KEEP' AS action, CAST(ord AS INTEGER) AS ord FROM cands JOIN coarse USING (sample_id, source, target) WHERE kind = 'coarse'
+        UNION ALL SELECT c.sample_id, 'refined_added_edge_' || ord, c.source, c.target, 'precedes', round(least(completion_score, 49e-2), 4), p, 'ADD', CAST(ord AS INTEGER) FROM cands c JOIN completion e USING (sample_id, source, target) WHERE kind = 'completion')
+        SELECT sample_id, edge_id, source, target, relation_type, score, round(p, 4) AS keep_probability, action, ord FROM x WHERE p >= 4e-1""",
     "edge_actions": f"WITH {NODES}, {COARSE}, {COMPLETION}, {REFINER} SELECT sample_id, CASE WHEN kind = 'completion' THEN CASE WHEN p >= 42e-2 THEN 'ADD' ELSE 'REJECT' END WHEN p >= 42e-2 THEN 'KEEP' ELSE 'DROP' END AS action, count(*) AS n FROM cands GROUP BY 1, 2",
     "debug_edges": f"""WITH {NODES}, {COARSE}, {TEMPORAL}, p AS (SELECT sample_id, source, target, pair_rank AS ord, {KEEP.format(logit=LOGIT.format(s="score") + " + 35e-2")} AS p FROM coarse),
         a AS (SELECT p.*, CASE WHEN p >= 6e-1 THEN 'KEEP' ELSE 'DROP' END AS action, CASE WHEN t.source IS NULL THEN 'DROP' ELSE 'KEEP' END AS gold_action FROM p LEFT JOIN temporal t USING (sample_id, source, target))
@@ -420,7 +423,7 @@ ORACLE_SQL = {
     "edge_payload": f"""WITH {NODES}, {COARSE} SELECT sample_id, length('{{"edges":[' || string_agg('{{"source_event_id":"' || source || '","target_event_id":"' || target || '","relation_type":"' || relation_type || '","score":' || score || '}}', ',') || ']}}') AS n, arg_min(source, pair_rank) AS first FROM coarse GROUP BY 1""",
     "id_sets": f"WITH {NODES}, {COARSE} SELECT sample_id, 'edge_' || pair_rank AS id FROM coarse",
     "evaluation": f"WITH {NODES}, {PAIRS}, {TEMPORAL}, {RUN} SELECT metric, round(value, 9) AS value FROM ({EVALUATION})",
-    "edge_sample_stats": f"WITH {NODES}, {COARSE}, {TEMPORAL}, x AS (SELECT c.sample_id, t.source IS NOT NULL AS y FROM coarse c LEFT JOIN temporal t USING (sample_id, source, target)) SELECT count(DISTINCT sample_id) AS samples, count(*) AS edges, count(*) FILTER (y) AS positive_edges, count(*) FILTER (y) AS n_precedes, 0 AS n_causes, 0 AS n_escalates, 0 AS n_mitigates, {ratio('count(*) FILTER (y)', 'count(*)')} AS positive_ratio FROM x",
+    "edge_sample_stats": f"WITH {NODES}, {COARSE}, {TEMPORAL}, x AS (SELECT c.sample_id, t.source IS NOT NULL AS y FROM coarse c LEFT JOIN temporal t USING (sample_id, source, target)) SELECT count(DISTINCT sample_id) AS samples, count(*) AS edges, count(*) FILTER (y) AS positive_edges, count(*) FILTER (y) AS n_precedes, CAST(0 AS BIGINT) AS n_causes, CAST(0 AS BIGINT) AS n_escalates, CAST(0 AS BIGINT) AS n_mitigates, {ratio('count(*) FILTER (y)', 'count(*)')} AS positive_ratio FROM x",
     "completion_candidates": f"""WITH {NODES}, {COARSE}, {TEMPORAL}, {COMPLETION}, g AS (SELECT DISTINCT {K3} FROM temporal), h AS (SELECT DISTINCT {K3} FROM coarse), n AS (SELECT sample_id, greatest(1, CAST(floor(count(*) * 75e-2) AS BIGINT)) AS most FROM g GROUP BY 1),
         m AS (SELECT e.* FROM everypair e JOIN g USING ({K3}) WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.sample_id = e.sample_id AND h.source = e.source AND h.target = e.target)),
         r AS (SELECT c.*, row_number() OVER (PARTITION BY c.sample_id ORDER BY completion_score DESC, so, too) AS pr FROM completion c WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.sample_id = c.sample_id AND h.source = c.source AND h.target = c.target) AND NOT EXISTS (SELECT 1 FROM g WHERE g.sample_id = c.sample_id AND g.source = c.source AND g.target = c.target))
