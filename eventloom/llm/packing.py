@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import raw, slices, tidy
 
-WINDOW, END_ID, GROUP_IDS, CACHE_WORDS = 2048, 1, 1 << 24, 400_000
+WINDOW, END_ID, GROUP_IDS, CACHE_WORDS = 2048, 1, 1 << 24, 700_000
 MARKS = b".,;:!?*$%&#"
 
 
@@ -117,7 +117,7 @@ class Encoder:
             else:
                 split.append((w, w, b""))
         new = list({p for _, a, b in split for p in (a, b) if p not in parts})
-        for part, got in zip(new, self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in new], add_special_tokens=False), strict=True):
+        for part, got in zip(new, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False), strict=True):
             parts[part] = array("I", got.ids).tobytes()
         for w, a, b in split:
             self.words[w] = parts[a] + parts[b]
