@@ -382,15 +382,15 @@ ORACLE_SQL = {
     "parsed_forecasts": f"WITH {NODES}, {IDS}, {TOLD} SELECT * FROM told",
     "flat_forecasts": f"""WITH {NODES}, {IDS} SELECT sample_id, k NOT IN (2, 3) AS parsed_json, CASE WHEN k IN (1, 2, 3) THEN code ELSE '' END AS event_code, CASE k WHEN 1 THEN '007|' || code ELSE '' END AS alternatives, k = 4 AS abstain,
         CAST({by_shape("0", "8", str(said_length(2)), str(said_length(3)), "0", "0")} AS BIGINT) AS n_event, CASE k WHEN 1 THEN 5e-1 ELSE 0e0 END AS confidence, CASE k WHEN 1 THEN a ELSE '' END AS support_ids FROM ids""",
-    "free_forecasts": f"""WITH {NODES}, {IDS} SELECT sample_id, k IN (1, 4, 5) AS parsed_json, k = 4 AS abstain, CAST({by_shape(str(said_length(0)), "8", str(said_length(2)), str(said_length(3)), "NULL", "NULL")} AS BIGINT) AS n_event,
-        {by_shape("0e0", "5e-1", "0e0", "0e0", "NULL", "NULL")} AS confidence, CASE k WHEN 1 THEN a ELSE '' END AS support_ids FROM ids""",
+    "free_forecasts": f"""WITH {NODES}, {IDS} SELECT sample_id, k IN (1, 4, 5) AS parsed_json, k = 4 AS abstain, CAST({by_shape(str(said_length(0)), "8", str(said_length(2)), str(said_length(3)), "-1", "-1")} AS BIGINT) AS n_event,
+        {by_shape("0e0", "5e-1", "0e0", "0e0", "-1e0", "-1e0")} AS confidence, CASE k WHEN 1 THEN a ELSE '' END AS support_ids FROM ids""",
     "forecast_rewards": f"""WITH {NODES}, {COARSE}, {IDS}, {REWARDS} SELECT sample_id, answer, round(form, 6) AS format, round(65e-2 * events_ok + 35e-2 * edges_ok, 6) AS grounding, round(events_ok, 6) AS valid_event_ref_ratio, edges_ok AS valid_edge_ref_ratio,
         temporal, bridge AS graph_bridge, generic AS generic_penalty, density AS density_penalty, total FROM rewards""",
     "code_rewards": f"WITH {NODES}, {COARSE}, {IDS}, {REWARDS}, {TOLD} SELECT sample_id, answer, answer AS total, event_code FROM rewards JOIN told USING (sample_id)",
     "run_rates": f"""WITH {NODES}, {COARSE}, {IDS}, {REWARDS} SELECT count(*) AS samples, 1e0 AS event_input_success_rate, count(*) FILTER (k NOT IN (2, 3)) / CAST(count(*) AS DOUBLE) AS forecast_parse_rate, count(*) FILTER (answer = 1) / CAST(count(*) AS DOUBLE) AS code_hit_rate,
         count(*) FILTER (answer > 0) / CAST(count(*) AS DOUBLE) AS code_hit_with_alternatives_rate, round(sum(total) / count(*), 6) AS average_reward, sum(n) / CAST(count(*) AS DOUBLE) AS average_event_count, sum(edges) / CAST(count(*) AS DOUBLE) AS average_coarse_edge_count, 0e0 AS average_refined_edge_count FROM rewards""",
-    "predicted_edges": f"""WITH {NODES}, {IDS}, e AS ({" UNION ALL ".join(f"SELECT sample_id, k, CAST({n} AS BIGINT) AS ord, {a} AS source, {b} AS target, '{r}' AS relation_type, {c} AS score, '{v}' AS evidence, {f"'{w}'" if w else 'NULL'} AS warning FROM ids" for n, (a, b, r, c, v, w) in enumerate(GRAPH_ROWS))})
-        SELECT sample_id, ord, source, target, relation_type, score, evidence, warning FROM e WHERE k NOT IN (2, 5) UNION ALL SELECT sample_id, NULL, NULL, NULL, NULL, NULL, NULL, CASE k WHEN 2 THEN 'no JSON object' ELSE 'edges are no array' END FROM ids WHERE k IN (2, 5)""",
+    "predicted_edges": f"""WITH {NODES}, {IDS}, e AS ({" UNION ALL ".join(f"SELECT sample_id, k, CAST({n} AS BIGINT) AS ord, {a} AS source, {b} AS target, '{r}' AS relation_type, {c} AS score, '{v}' AS evidence, {f"'{w}'" if w else "''"} AS warning FROM ids" for n, (a, b, r, c, v, w) in enumerate(GRAPH_ROWS))})
+        SELECT sample_id, ord, source, target, relation_type, score, evidence, warning FROM e WHERE k NOT IN (2, 5) UNION ALL SELECT sample_id, -1, '', '', '', -1e0, '', CASE k WHEN 2 THEN 'no JSON object' ELSE 'edges are no array' END FROM ids WHERE k IN (2, 5)""",
     "extracted_events": f"""WITH {NEWS}, s AS (SELECT document_id AS id, title, {sentences("text")} AS ss FROM news), c AS (SELECT *, [title] || ss AS cands, coalesce(ss[2], '') AS ev FROM s), n AS (SELECT *, list_transform(cands, lambda c: {norm("c")}) AS norms, {norm("ev")} AS en, 'people met there' AS pm FROM c),
         p AS (SELECT *, coalesce(list_position(list_transform(norms, lambda x: en <> '' AND (contains(x, en) OR contains(en, x))), true), 0) AS p1, coalesce(list_position(list_transform(norms, lambda x: contains(x, pm) OR contains(pm, x)), true), 0) AS p2 FROM n)
         SELECT id AS sample_id, 'qwen_e0' AS event_id, 'd' || id AS document_id, CAST(greatest(p1 - 1, 0) AS BIGINT) AS sentence_index, 'Saw' AS "trigger", 'trigger=Saw; mention=' || {compact("(CASE WHEN p1 > 0 THEN cands[p1] ELSE ev END)", 180)} AS text, '' AS participants, 7e-1 AS confidence FROM p WHERE ev <> ''

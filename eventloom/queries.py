@@ -386,7 +386,7 @@ def flat_forecasts(spark, d):
 
 
 def free_forecasts(spark, d):
-    return forecast.parse_free_forecasts(_responses(spark, d)).select("sample_id", "parsed_json", "abstain", F.length("forecast_event").cast("long").alias("n_event"), "confidence", F.array_join("support_ids", "|").alias("support_ids"))
+    return forecast.parse_free_forecasts(_responses(spark, d)).select("sample_id", "parsed_json", "abstain", F.coalesce(F.length("forecast_event"), F.lit(-1)).cast("long").alias("n_event"), F.coalesce("confidence", F.lit(-1.0)).alias("confidence"), F.array_join("support_ids", "|").alias("support_ids"))
 
 
 def _rewarded(spark, d) -> DataFrame:
@@ -426,7 +426,8 @@ def predicted_edges(spark, d):
     k = F.col("sample_id") % 6
     text = F.when(k == 2, "no answer {").when(k == 5, '{"edges": 5}').when(k % 2 == 1, F.concat(F.lit("Thinking.\n```json\n"), _said(GRAPH_ANSWER), F.lit("\n```"))).otherwise(_said(GRAPH_ANSWER))
     out = graph.parse_predicted_edges(_ids(spark, d).withColumn("response", text), A.event_nodes(spark, d))
-    return out.select("sample_id", F.col("ord").cast("long").alias("ord"), "source", "target", "relation_type", "score", "evidence", "warning")
+    blank = [F.coalesce(c, F.lit("")).alias(c) for c in ("source", "target", "relation_type", "evidence", "warning")]
+    return out.select("sample_id", F.coalesce("ord", F.lit(-1)).cast("long").alias("ord"), F.coalesce("score", F.lit(-1.0)).alias("score"), *blank)
 
 
 def extracted_events(spark, d):
