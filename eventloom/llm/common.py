@@ -52,6 +52,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
+def registered(spark: SparkSession) -> str:
+    """A new shared folder that goes with the scratch() that is open, if one is."""
+    path = shared_dir(spark)
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
 def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back, which cuts the lineage.
 
