@@ -5,7 +5,7 @@ shard hashes its phrases into the cells of a count-min sketch of one row, whose
 one place: it is dealt in blocks of cells, each block adds up what the shards sent, and answers each shard with those of its
 cells that reach the least count. Such a cell bounds the counts of its phrases from above, so no phrase that reaches the count is missed. The
 phrases of a shard that pass (with all phrases inside them) compile into Aho-Corasick automata, guarded by a delimiter on either side, and
-a scan of the shard counts overlapping matches. Counts are summed over shards, and only then held against the least count.
+a scan of the shard counts overlapping matches. Counts travel as packed lists, are summed in buckets of phrases, and only then held against the least count.
 
 Every step is linear in the text; shards, blocks and automata are bounded, a shard but by its longest piece. A hot language or a
 very long text is many shards. Nothing goes through the driver but the number of bytes.
@@ -33,7 +33,9 @@ BREAK = b"\xff"
 _SPLITS = b".,;:!?\n\x0b\x0c\r"
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _FOLD = bytes.maketrans(_UPPER + b"\t" + _SPLITS, _LOWER + b" " + BREAK * len(_SPLITS))
-SHARD_BYTES, BLOCK_BITS, AUTOMATON_PHRASES = 8 << 20, 18, 400_000
+SHARD_BYTES, BLOCK_BITS, AUTOMATON_PHRASES = 6 << 20, 18, 400_000
+#: counts of phrases are summed in so many buckets, and one more for so much text
+BUCKETS, BUCKET_BYTES, RANK_SALTS = 32, 8 << 20, 32
 #: bytes of text for each cell of the sketch: about four phrases fall on a cell
 BYTES_A_CELL = 8
 _MIX, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
@@ -177,30 +179,79 @@ def _count(phrases: list[bytes], body: str) -> np.ndarray:
     return np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(body)), np.int64), minlength=len(phrases))
 
 
-def _scan(bits: int, longest: int):
-    """Shards with their heavy cells → (lang, phrase, n), n the phrase's occurrences in the shard."""
+def _listed(phrases: list[bytes], counts: np.ndarray) -> bytes:
+    return zstandard.compress(counts.astype(np.int64).tobytes() + BREAK.join(phrases), 1)
+
+
+def _scan(bits: int, longest: int, buckets: int):
+    """Shards, each followed by its heavy cells → (bucket, lang, n, phrases): n phrases of the shard with their occurrences in it, dealt by hash."""
+
+    def scanned(lang: str, packed: bytes, heavy: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        cells = np.sort(np.concatenate([(block << BLOCK_BITS) + np.cumsum(_unpack(blob, np.int32)[0]) for block, blob in heavy])).astype(np.uint64)
+        body = zstandard.decompress(packed)
+        words = body.split(b" ")
+        bucket_of: dict[bytes, int] = {}
+        inner = None
+        for n, h, whole in _levels(words, lang, longest):
+            at = np.flatnonzero(whole if inner is None else whole & inner[:-1] & inner[1:])
+            cell = h[at] >> np.uint64(64 - bits)
+            at = at[cells[np.minimum(np.searchsorted(cells, cell), len(cells) - 1)] == cell]
+            inner = np.zeros(len(h), bool)
+            inner[at] = True
+            bucket_of.update(zip([b" ".join(words[i : i + n]) for i in at.tolist()], (h[at] % np.uint64(buckets)).tolist(), strict=True))
+        del words
+        text = f" {body.decode('latin-1')} "
+        phrases = list(bucket_of)
+        for k in range(0, len(phrases), AUTOMATON_PHRASES):
+            part = phrases[k : k + AUTOMATON_PHRASES]
+            counts = _count(part, text)
+            bucket = np.fromiter(map(bucket_of.__getitem__, part), np.int64, len(part))
+            order = np.argsort(bucket, kind="stable")
+            edges = [*np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist(), len(order)]
+            lots = [order[a:b] for a, b in itertools.pairwise(edges)]
+            yield pa.record_batch({
+                "bucket": pa.array(bucket[order[edges[:-1]]]), "lang": pa.array([lang] * len(lots), pa.string()), "n": pa.array(list(map(len, lots)), pa.int64()),
+                "phrases": pa.array([_listed([part[i] for i in lot.tolist()], counts[lot]) for lot in lots], pa.binary()),
+            })
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, lang, body, heavy = None, None, None, []
+        for batch in batches:
+            for shard, block, name, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if shard != at:
+                    if heavy:
+                        yield from scanned(lang, body, heavy)
+                    at, lang, body, heavy = shard, name, blob, []
+                else:
+                    heavy.append((block, blob))
+        if heavy:
+            yield from scanned(lang, body, heavy)
+
+    return run
+
+
+def _summed(least: int):
+    """Rows of _scan sorted by bucket and language → (lang, phrase, f) of the phrases whose occurrences sum to least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[bytes, int] = {}
+        at: tuple = (None, None)
+
+        def told() -> pa.RecordBatch:
+            kept = [x for x in total.items() if x[1] >= least]
+            return pa.record_batch({"lang": pa.array([at[1]] * len(kept), pa.string()), "phrase": pa.array([x[0] for x in kept], pa.binary()).cast(pa.string()), "f": pa.array([x[1] for x in kept], pa.int64())})
+
         for batch in batches:
-            for lang, body, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                body = zstandard.decompress(body.as_py())
-                heavy = np.sort(np.concatenate([(x["block"] << BLOCK_BITS) + np.cumsum(_unpack(x["heavy"], np.int32)[0]) for x in found.as_py()])).astype(np.uint64)
-                words = body.split(b" ")
-                phrases: list[bytes] = []
-                inner = None
-                for n, h, whole in _levels(words, lang, longest):
-                    at = np.flatnonzero(whole if inner is None else whole & inner[:-1] & inner[1:])
-                    cell = h[at] >> np.uint64(64 - bits)
-                    at = at[heavy[np.minimum(np.searchsorted(heavy, cell), len(heavy) - 1)] == cell]
-                    inner = np.zeros(len(h), bool)
-                    inner[at] = True
-                    phrases += {b" ".join(words[i : i + n]) for i in at.tolist()}
-                del words
-                text = f" {body.decode('latin-1')} "
-                for k in range(0, len(phrases), AUTOMATON_PHRASES):
-                    part = phrases[k : k + AUTOMATON_PHRASES]
-                    counts = _count(part, text)
-                    yield pa.record_batch({"lang": pa.array([lang] * len(part)), "phrase": pa.array(part, pa.binary()).cast(pa.string()), "n": pa.array(counts)})
+            for bucket, lang, n, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (bucket, lang) != at:
+                    if total:
+                        yield told()
+                    total, at = {}, (bucket, lang)
+                flat = zstandard.decompress(blob)
+                for phrase, count in zip(flat[8 * n :].split(BREAK), np.frombuffer(flat, np.int64, n).tolist(), strict=True):
+                    total[phrase] = total.get(phrase, 0) + count
+        if total:
+            yield told()
 
     return run
 
@@ -211,12 +262,12 @@ def counts(docs: DataFrame, longest: int = 4, least: int = 30, shard_bytes: int
     size = parts.agg(F.sum("size")).first()[0] or 0
     bits = min(BLOCK_BITS + 24, max(BLOCK_BITS, (size // BYTES_A_CELL).bit_length()))
     cells = parts.select("shard", "lang", "body").mapInArrow(tidy(_cells(bits, longest, least)), "block long, shard long, cells binary")
-    found = cells.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(_answers(least)), "shard long, block long, heavy binary")
-    found = materialise(found.groupBy("shard").agg(F.collect_list(F.struct("block", "heavy")).alias("found")))
-    seen = parts.join(found, "shard").select("lang", "body", "found").mapInArrow(tidy(_scan(bits, longest)), "lang string, phrase string, n long")
-    out = materialise(seen.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
+    answers = cells.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(_answers(least)), "shard long, block long, heavy binary")
+    # a shard's text comes before its cells
+    rows = parts.select("shard", F.lit(-1).cast("long").alias("block"), "lang", F.col("body").alias("blob")).unionByName(answers.select("shard", "block", F.lit(None).cast("string").alias("lang"), F.col("heavy").alias("blob")))
+    rows = rows.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(tidy(_scan(bits, longest, BUCKETS + size // BUCKET_BYTES)), "bucket long, lang string, n long, phrases binary")
+    out = materialise(rows.repartition("bucket").sortWithinPartitions("bucket", "lang").mapInArrow(tidy(_summed(least)), "lang string, phrase string, f long"))
     words = materialise(parts.groupBy("lang").agg(F.sum("words").alias("n")))
-    discard(found)
     discard(parts)
     return out, words
 
@@ -250,5 +301,10 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, scale: int
     around = wide.where("m > 2").select("lang", F.col("a").alias("longer"), start.alias("phrase")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     covered = F.expr(f"cast(longer as decimal(20, 0)) * {inside[1]} >= cast(a as decimal(20, 0)) * {inside[0]}")
     kept = best.join(around, ["lang", "phrase"], "left").where(~F.coalesce(covered, F.lit(False)))
-    rows = kept.select("lang", "phrase", "a", "best.l", "best.r", "best.score").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")))
+    rows = kept.select("lang", "phrase", "a", "best.l", "best.r", "best.score")
+    order = F.desc("score"), F.desc("a"), F.col("phrase")
+    # the top of salted parts first, so that a hot language is not ranked in one task
+    salt = F.pmod(F.xxhash64("phrase"), F.lit(RANK_SALTS))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", salt).orderBy(*order))).where(F.col("rank") <= top)
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     return rows.where(F.col("rank") <= top).join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
