@@ -70,12 +70,20 @@ def _local_top(top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: dict[tuple[str, str], list] = {}
         for batch in batches:
-            for lang, source, item, value in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                heap = heaps.setdefault((lang, source), [])
+            langs, sources = (batch.column(i).dictionary_encode() for i in (0, 1))
+            names = [(x, y) for x in langs.dictionary.to_pylist() for y in sources.dictionary.to_pylist()]
+            group = langs.indices.to_numpy() * len(sources.dictionary) + sources.indices.to_numpy()
+            values = batch.column(3).to_numpy()
+            # only rows that may enter a heap are looked at one by one
+            bar = np.array([heaps[x][0].value if len(heaps.get(x, ())) == top else -1 for x in names], np.int64)
+            at = np.flatnonzero(values >= bar[group])
+            for k, item in zip(at.tolist(), batch.column(2).take(pa.array(at)).to_pylist(), strict=True):
+                heap = heaps.setdefault(names[group[k]], [])
+                new = _Row(int(values[k]), item)
                 # a heap has its worst row on top: of equal values that with the larger item
                 if len(heap) < top:
-                    heapq.heappush(heap, _Row(value, item))
-                elif heap[0] < (new := _Row(value, item)):
+                    heapq.heappush(heap, new)
+                elif heap[0] < new:
                     heapq.heapreplace(heap, new)
             if sum(map(len, heaps.values())) > HELD_TERMS:
                 yield _told(heaps)
