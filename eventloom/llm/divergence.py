@@ -201,7 +201,7 @@ def audit(docs: DataFrame, least_docs: int = 3, top: int = 200, block_terms: int
     sums = used.groupBy("lang", "source").agg(F.sum("c").alias("n"))
     seat = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     groups = names.join(sums, ["lang", "source"], "left").na.fill(0, ["n"]).withColumn("seat", seat).join(langs, "lang")
-    groups = groups.withColumn("least", F.expr(_share("0L", "n")))
+    groups = groups.withColumn("least", F.when(F.col("v") > 0, F.expr(_share("0L", "n"))).otherwise(F.lit(1)))
     # an odd number of seats: each round leaves out one seat of an odd number, and one seat is empty where groups are even
     groups = materialise(groups.withColumn("seats", (F.col("groups") + (F.col("groups") + 1) % 2).cast("int")))
     shares = used.join(groups.select("lang", "source", "seat", "n", "v", "lang_n"), ["lang", "source"])

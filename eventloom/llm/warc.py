@@ -152,7 +152,7 @@ def _writer(folder: str, date: str, most: int, level: int):
             block = b"software: eventloom\r\nformat: WARC File Format 1.1\r\n"
             info = _header([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None, name.encode())), ("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(block)))])
             archive, dictionary = compressed(held, info + block + b"\r\n\r\n", level)
-            with files.open_output_stream(f"{root}/{name}") as out:
+            with files.open_output_stream(f"{root}/{name}", compression=None) as out:
                 out.write(archive)
             return pa.record_batch([pa.array([x]) for x in (f"{folder}/{name}", len(held), size, len(archive), dictionary)], ["path", "records", "raw_bytes", "bytes", "dictionary_bytes"])
 
@@ -239,7 +239,7 @@ def read(manifest: DataFrame, payload: bool = True) -> DataFrame:
                 files, where = pyarrow.fs.FileSystem.from_uri(path)
                 rows: list[tuple] = []
                 size = 0
-                with files.open_input_stream(where) as stream:
+                with files.open_input_stream(where, compression=None) as stream:
                     for frame in frames(stream):
                         fields, block = parsed(frame)
                         if fields["WARC-Type"] == "warcinfo":
