@@ -1,9 +1,9 @@
 """Event pairs within a sample: candidates, scores, top-k. Events: sample_id, event_id, ord, document_id, sentence_index,
 participants, tokens (distinct content tokens), text, query_overlap, confidence, publish_time.
 
-Token sets and query overlaps are columns of the events, computed once, not in every pair. Pairs are joined on sample_id,
-whose groups the callers bound with graph.truncate_events (checked(events, most) raises where they did not); same-document
-pairs join on the document too.
+Token sets and query overlaps are columns of the events, computed once, not in every pair. Pairs of samples of any size come from
+similarity joins: an inverted index on participants, a prefix index on words, equi-joins on the document. Where a caller has cut the samples with
+graph.truncate_events, indexed=False joins them on sample_id, which is cheaper for a few events; checked(events, most) raises where they are not cut.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.lexicons import BRIDGES, DEFAULT, Lexicon
+from . import similarity
 
 FIELDS = ["event_id", "ord", "document_id", "sentence_index", "participants", "tokens", "text", "query_overlap", "publish_time", "trigger", "normalized_text"]
 
@@ -31,6 +32,10 @@ def with_tokens(events: DataFrame, query: Column, lexicon: Lexicon = DEFAULT) ->
     return out.withColumn("query_overlap", X.jaccard(X.token_set(query, lexicon), F.col("tokens")))
 
 
+def _fields(events: DataFrame) -> list[str]:
+    return [c for c in FIELDS if c in events.columns]
+
+
 def _sides(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = [c for c in FIELDS if c in events.columns]
     return tuple(events.select("sample_id", *[F.col(c).alias(f"{side}_{c}") for c in names]) for side in ("s", "t"))
@@ -68,30 +73,70 @@ def top_per_sample(pairs: DataFrame, score: str, most: int) -> DataFrame:
 
 
 def band_pairs(events: DataFrame, max_gap: int) -> DataFrame:
-    """Ordered pairs of one document at most max_gap sentences apart."""
+    """Ordered pairs of one document at most max_gap sentences apart: sentences meet those of their bucket and of its neighbours."""
     s, t = _sides(events)
+    s = s.withColumn("_bucket", F.floor(F.col("s_sentence_index") / (max_gap + 1)))
+    t = t.withColumn("_bucket", F.explode(F.array(*[F.floor(F.col("t_sentence_index") / (max_gap + 1)) + k for k in (-1, 0, 1)])))
     near = (gap() <= max_gap) & (F.col("s_event_id") != F.col("t_event_id"))
-    return s.join(t.withColumnRenamed("sample_id", "_sample"), (F.col("sample_id") == F.col("_sample")) & same_document() & near).drop("_sample")
+    return s.join(t.withColumn("s_document_id", F.col("t_document_id")), ["sample_id", "s_document_id", "_bucket"]).where(near).drop("_bucket")
 
 
-def inference_pairs(events: DataFrame, max_gap: int = 3, max_pairs: int = 64, lexical: float = 0.12) -> DataFrame:
-    """Near pairs of one document, and pairs across documents that share a participant or enough words: two equi-joins."""
-    s, t = _sides(events)
-    related = (shared() > 0) | (X.jaccard(F.col("s_tokens"), F.col("t_tokens")) >= lexical)
-    far = s.join(t, "sample_id").where(~same_document() & related)
-    out = band_pairs(events, max_gap).unionByName(far).withColumn("candidate_score", candidate_score())
-    out = top_per_sample(out, "candidate_score", max_pairs)
+def _apart() -> Column:
+    return F.col("s_document_id") != F.col("t_document_id")
+
+
+def related_pairs(events: DataFrame, lexical: float = 0.12) -> DataFrame:
+    """Ordered pairs (sample_id, s_ and t_ of event_id and ord) across documents that share a participant or enough words: two index joins, no pair twice."""
+    people = similarity.overlapping(events, "participants", carry=["document_id"], also=_apart())
+    strangers = _apart() & ~F.coalesce(F.arrays_overlap("s_participants", "t_participants"), F.lit(False))
+    words = similarity.overlapping(events, "tokens", lexical, ["document_id", "participants"], strangers)
+    keys = ["sample_id", *[f"{side}_{c}" for side in "st" for c in similarity.ROW]]
+    return similarity.both_ways(people.select(*keys).unionByName(words.select(*keys)))
+
+
+def inference_pairs(events: DataFrame, max_gap: int = 3, max_pairs: int = 64, lexical: float = 0.12, indexed: bool = True) -> DataFrame:
+    """Near pairs of one document, and pairs across documents that share a participant or enough words (lexical over 0)."""
+    if indexed and lexical > 0:
+        near = similarity.same_group(events, "document_id", "sentence_index", max_gap).where("s_event_id <> t_event_id")
+        out = similarity.with_rows(near.unionByName(related_pairs(events, lexical)), events, _fields(events))
+    else:
+        s, t = _sides(events)
+        related = (shared() > 0) | (X.jaccard(F.col("s_tokens"), F.col("t_tokens")) >= lexical)
+        out = band_pairs(events, max_gap).unionByName(s.join(t, "sample_id").where(~same_document() & related))
+    out = top_per_sample(out.withColumn("candidate_score", candidate_score()), "candidate_score", max_pairs)
     return out.withColumn("score", F.least(F.round("candidate_score", 4), F.lit(0.49)))
 
 
-def coarse_edges(events: DataFrame, min_score: float = 0.55, max_edges: int = 40, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """Scored all-pairs graph: pairs that are not in order drop out before anything is scored; cut first, then one edge a pair."""
-    s, t = _sides(events)
+def _likely_edges(events: DataFrame, min_score: float) -> DataFrame | None:
+    """Pairs that may reach min_score by the weights of coarse_edges: ordered ones of a document, those that share a participant, and those across
+    documents with as many words in common as the score needs. None where it needs none."""
+    words = similarity.lexical_floor(min_score, 0.34 * 0.55 + 0.16 + 0.10, 0.18)
+    if words <= 0:
+        return None
+    rows = events.withColumn("people", F.transform("participants", F.lower))
+    inside = similarity.same_group(events, "document_id")
+    people = similarity.overlapping(rows, "people", carry=["document_id"], also=F.coalesce(_apart(), F.lit(True)))
+    strangers = F.coalesce(_apart(), F.lit(True)) & ~F.coalesce(F.arrays_overlap("s_people", "t_people"), F.lit(False))
+    alike = similarity.overlapping(rows, "tokens", min(words, 1.0), ["document_id", "people"], strangers)
+    return inside.unionByName(similarity.both_ways(people.select(*inside.columns).unionByName(alike.select(*inside.columns))))
+
+
+def coarse_edges(events: DataFrame, min_score: float = 0.55, max_edges: int = 40, lexicon: Lexicon = DEFAULT, indexed: bool = True, most: int = 512) -> DataFrame:
+    """Scored graph: pairs that are not in order drop out before anything is scored; cut first, then one edge a pair.
+
+    Where min_score is so low that pairs without anything in common reach it, all pairs of a sample are an answer; samples must then have at most `most` events.
+    """
+    likely = _likely_edges(events, min_score) if indexed else None
+    if likely is not None:
+        pairs = similarity.with_rows(likely, events, _fields(events))
+    else:
+        s, t = _sides(checked(events, most) if indexed else events)
+        pairs = s.join(t, "sample_id")
     temporal = F.when(same_document(), F.when(F.col("s_sentence_index") < F.col("t_sentence_index"), 0.9).otherwise(0.0)).otherwise(
         F.when(F.col("s_publish_time").isNotNull() & F.col("t_publish_time").isNotNull() & (F.col("s_publish_time") <= F.col("t_publish_time")), 0.55).otherwise(0.3)
     )
     both = F.concat_ws(" ", "s_text", "t_text")
-    out = s.join(t, "sample_id").where(F.col("s_event_id") != F.col("t_event_id")).withColumn("temporal_score", temporal).where("temporal_score > 0")
+    out = pairs.where(F.col("s_event_id") != F.col("t_event_id")).withColumn("temporal_score", temporal).where("temporal_score > 0")
     out = (
         out.withColumn("entity_overlap_score", X.jaccard(*[F.array_distinct(F.transform(c, F.lower)) for c in ("s_participants", "t_participants")]))
         .withColumn("lexical_support_score", X.jaccard(F.col("s_tokens"), F.col("t_tokens")))
@@ -129,18 +174,37 @@ def completion_score() -> Column:
     )
 
 
-def completion_pairs(events: DataFrame, forbidden: DataFrame, query: Column, most: int = 64, across: bool = False) -> DataFrame:
-    """Ordered pairs that the graph lacks, best first; pairs across documents need a shared participant, unless across is set."""
-    events = events.withColumn("_words", _terms(query))
+def with_cover(events: DataFrame, query: Column) -> DataFrame:
+    """events with query_cover: the share of the query's words that their normal form has."""
+    rows = events.withColumn("_words", _terms(query))
     cover = F.size(F.array_intersect("_words", _terms(F.col("normalized_text")))) / F.greatest(F.size("_words"), F.lit(1))
-    names = [c for c in FIELDS if c in events.columns]
-    rows = events.withColumn("query_cover", cover).drop("_words")
-    s, t = (rows.select("sample_id", *[F.col(c).alias(f"{side}_{c}") for c in [*names, "query_cover"]]) for side in ("s", "t"))
-    out = s.join(t, "sample_id").where((F.col("s_event_id") != F.col("t_event_id")) & (F.lit(across) | same_document() | (shared() > 0)))
+    return rows.withColumn("query_cover", cover).drop("_words")
+
+
+def completion_pairs(events: DataFrame, forbidden: DataFrame, query: Column, most: int = 64, indexed: bool = True) -> DataFrame:
+    """Ordered pairs of one document or with a shared participant that the graph lacks, best first."""
+    rows = with_cover(events, query)
+    if indexed:
+        inside = similarity.same_group(rows, "document_id").where("s_event_id <> t_event_id")
+        people = similarity.overlapping(rows, "participants", carry=["document_id"], also=F.coalesce(_apart(), F.lit(True)))
+        pairs = inside.unionByName(similarity.both_ways(people.where("s_event_id <> t_event_id").select(*inside.columns)))
+        out = similarity.with_rows(pairs, rows, [*_fields(rows), "query_cover"])
+    else:
+        s, t = (rows.select("sample_id", *[F.col(c).alias(f"{side}_{c}") for c in [*_fields(rows), "query_cover"]]) for side in ("s", "t"))
+        out = s.join(t, "sample_id").where((F.col("s_event_id") != F.col("t_event_id")) & (same_document() | (shared() > 0)))
     out = out.join(forbidden, ["sample_id", "s_event_id", "t_event_id"], "left_anti").withColumn("completion_score", completion_score())
     return top_per_sample(out, "completion_score", most)
 
 
+def told_completions(events: DataFrame, wanted: DataFrame, query: Column) -> DataFrame:
+    """The pairs wanted (sample_id, s_event_id, t_event_id) of events, scored as completions."""
+    rows = with_cover(events, query)
+    out = wanted.select("sample_id", "s_event_id", "t_event_id").where("s_event_id <> t_event_id").distinct()
+    for side in "st":
+        out = out.join(rows.select("sample_id", *[F.col(c).alias(f"{side}_{c}") for c in [*_fields(rows), "query_cover"]]), ["sample_id", f"{side}_event_id"])
+    return out.withColumn("completion_score", completion_score())
+
+
 def bridge_pairs(events: DataFrame, focus: Column, most: int = 2) -> DataFrame:
     """Pairs that share a participant in focus, few words, and fit a bridge pattern; the first ones in order of the events."""
     s, t = _sides(events.withColumn("participants", F.array_intersect("participants", focus)))

@@ -291,7 +291,18 @@ extra0 AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY completi
 cands AS (SELECT sample_id, source, target, 'coarse' AS kind, pair_rank AS ord, {KEEP.format(logit=LOGIT.format(s="score") + " + 35e-2")} AS p FROM coarse
     UNION ALL SELECT sample_id, source, target, 'completion', pr + 1000000, {KEEP.format(logit=LOGIT.format(s="round(least(completion_score, 49e-2), 4)") + " - 25e-2")} FROM extra0 WHERE pr <= 64)"""
 
+#: the events of samples that nothing has cut
+WHOLE = NODES.replace(f"ev AS (SELECT * FROM evall WHERE rn <= {MAX_EVENTS})", "ev AS (SELECT * FROM evall)")
+
 ORACLE_SQL = {
+    "candidate_pairs_whole": f"WITH {WHOLE}, {PAIRS} SELECT sample_id, pair_rank, source, target, candidate_score FROM pairs",
+    "coarse_edges_whole": f"WITH {WHOLE}, {COARSE} SELECT sample_id, pair_rank, source, target, relation_type, score FROM coarse",
+    "completion_pairs_whole": f"""WITH {WHOLE}, {TEMPORAL}, {COMPLETION} SELECT sample_id, pair_rank, source, target, completion_score
+        FROM (SELECT c.*, row_number() OVER (PARTITION BY c.sample_id ORDER BY completion_score DESC, so, too) AS pair_rank FROM completion c
+        WHERE NOT EXISTS (SELECT 1 FROM temporal x WHERE x.sample_id = c.sample_id AND x.source = c.source AND x.target = c.target)) WHERE pair_rank <= 64""",
+    "headline_pairs": rf"""WITH d AS (SELECT source, doc_id, {token_set(r"string_split_regex(string_split(text, chr(10))[1], '[.!?]')[1]")} AS w FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+        p AS (SELECT a.source, a.doc_id AS first_id, b.doc_id AS second_id, len(list_intersect(a.w, b.w)) AS common, len(a.w) + len(b.w) AS n FROM d a JOIN d b ON a.source = b.source AND a.doc_id < b.doc_id)
+        SELECT source, first_id, second_id, common, round(common / CAST(n - common AS DOUBLE), 9) AS jaccard FROM p WHERE common > 0 AND common / CAST(n - common AS DOUBLE) >= 12e-2""",
     "token_counts": f"SELECT doc_id, len({toks('text')}) AS n_tokens, len(list_distinct({toks('text')})) AS n_distinct FROM documents",
     "normalized_text": f"SELECT item_id, array_to_string({content('text')}, ' ') AS normalized FROM benchmark",
     "sentence_split": f"SELECT doc_id, pos - 1 AS pos, s[pos] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS pos FROM (SELECT doc_id, {sentences('text')} AS s FROM documents))",

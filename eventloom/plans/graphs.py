@@ -69,7 +69,7 @@ def news_samples(queries: DataFrame, news: DataFrame, prefix: str = "mirai_", **
 def coarse_graph(events: DataFrame, query, scorer: PairScorer | None = None, max_events: int = 16, max_gap: int = 3, max_pairs: int = 64, threshold: float = 0.5, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """Events → typed edges: sparse candidate pairs, a scorer, and a threshold."""
     rows = pairs.with_tokens(graph.truncate_events(events, max_events), query, lexicon)
-    scored = (scorer or heuristic_scorer(lexicon))(pairs.inference_pairs(rows, max_gap, max_pairs))
+    scored = (scorer or heuristic_scorer(lexicon))(pairs.inference_pairs(rows, max_gap, max_pairs, indexed=max_events <= 0))
     named = scored.select("sample_id", "pair_rank", F.col("s_event_id").alias("source"), F.col("t_event_id").alias("target"), "relation_type", "score")
     return graph.graph_from_predictions(named, threshold)
 
@@ -101,12 +101,11 @@ def completion_candidates(gold: DataFrame, coarse: DataFrame, events: DataFrame,
     lacking = wanted.join(have, keys, "left_anti")
     n_wanted = wanted.groupBy("sample_id").agg(F.count("*").alias("_n"))
     limit = F.greatest(F.lit(1), F.floor(F.greatest(F.coalesce("_n", F.lit(0)), F.lit(1)) * max(negative_ratio, 0.0)).cast("int"))
-    everything = pairs.completion_pairs(events, have.limit(0).select("sample_id", F.col("source").alias("s_event_id"), F.col("target").alias("t_event_id")), query, 0, across=True)
-    named = everything.withColumns({"source": F.col("s_event_id"), "target": F.col("t_event_id")})
-    missing = named.join(lacking, keys, "left_semi")
+    named_ends = [F.col("source").alias("s_event_id"), F.col("target").alias("t_event_id")]
+    missing = pairs.told_completions(events, lacking.select("sample_id", *named_ends), query).withColumns({"source": F.col("s_event_id"), "target": F.col("t_event_id")})
     missing = missing.withColumn("_k", F.row_number().over(Window.partitionBy("sample_id").orderBy(F.xxhash64(F.lit(seed), "source", "target"), "source", "target")))
-    fit = pairs.same_document() | (pairs.shared() > 0)
-    rest = named.where(fit).join(wanted.unionByName(have).distinct(), keys, "left_anti")
+    known = wanted.unionByName(have).select("sample_id", *named_ends)
+    rest = pairs.completion_pairs(events, known, query, 0).drop("pair_rank").withColumns({"source": F.col("s_event_id"), "target": F.col("t_event_id")})
     rest = rest.withColumn("_k", F.row_number().over(Window.partitionBy("sample_id").orderBy(F.desc("completion_score"), "s_ord", "t_ord")))
     rest = rest.join(n_wanted, "sample_id", "left").where(F.col("_k") <= limit).drop("_n")
     both = missing.withColumn("_b", F.lit(0)).unionByName(rest.withColumn("_b", F.lit(1)))

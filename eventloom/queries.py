@@ -9,7 +9,7 @@ from . import adapters as A
 from .functions import text as X
 from .functions import values as V
 from .functions.lexicons import PAIR_LABELS, Lexicon
-from .operators import features, forecast, graph, metrics, pairs, prompts, retrieval, sampling
+from .operators import features, forecast, graph, metrics, pairs, prompts, retrieval, sampling, similarity, steps
 from .plans import graphs, scorers
 from .sources import corpora, event_input
 
@@ -23,6 +23,11 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
     return pairs.with_tokens(A.event_nodes(spark, d), F.lit(A.QUERY), EVENT_LEXICON)
 
 
+def _whole(spark: SparkSession, d: str) -> DataFrame:
+    """All events, computed once: index joins read them many times."""
+    return steps.cut(_nodes(spark, d))
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
     """Events for pairs: the surest of each sample, as many as pairs are made of."""
     return pairs.with_tokens(graph.truncate_events(A.event_nodes(spark, d), MAX_EVENTS), F.lit(A.QUERY), EVENT_LEXICON)
@@ -32,6 +37,11 @@ def _timed(spark: SparkSession, d: str) -> DataFrame:
     return features.event_times(_nodes(spark, d), F.lit("2024-01-20"))
 
 
+def _pairs(spark: SparkSession, d: str, **more) -> DataFrame:
+    """Candidate pairs of the cut samples, which are joined whole."""
+    return pairs.inference_pairs(_events(spark, d), indexed=False, **more)
+
+
 def _named(p: DataFrame, *more: str) -> DataFrame:
     return p.select("sample_id", "pair_rank", F.col("s_event_id").alias("source"), F.col("t_event_id").alias("target"), *more)
 
@@ -41,13 +51,13 @@ def _temporal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _coarse(spark: SparkSession, d: str) -> DataFrame:
-    p = pairs.coarse_edges(_events(spark, d), min_score=0.5, lexicon=EVENT_LEXICON)
+    p = pairs.coarse_edges(_events(spark, d), min_score=0.5, lexicon=EVENT_LEXICON, indexed=False)
     return _named(p, "relation_type", "score").withColumn("ord", F.col("pair_rank"))
 
 
 def _predicted(spark: SparkSession, d: str) -> DataFrame:
     """Candidate pairs typed by rule, at least 0.6: the graph that reports hold against the temporal one."""
-    p = scorers.heuristic_scorer(EVENT_LEXICON)(pairs.inference_pairs(_events(spark, d)))
+    p = scorers.heuristic_scorer(EVENT_LEXICON)(_pairs(spark, d))
     return graph.graph_from_predictions(_named(p, "relation_type", F.col("candidate_score").alias("score")), 0.6)
 
 
@@ -140,10 +150,35 @@ def truncated_events(spark, d):
 
 
 def candidate_pairs(spark, d):
-    p = pairs.inference_pairs(_events(spark, d))
+    p = _pairs(spark, d)
+    return _named(p, "candidate_score").withColumn("pair_rank", F.col("pair_rank").cast("long"))
+
+
+def candidate_pairs_whole(spark, d):
+    """Candidate pairs of samples that nothing has cut, by index joins."""
+    p = pairs.inference_pairs(_whole(spark, d))
     return _named(p, "candidate_score").withColumn("pair_rank", F.col("pair_rank").cast("long"))
 
 
+def coarse_edges_whole(spark, d):
+    p = pairs.coarse_edges(_whole(spark, d), min_score=0.5, lexicon=EVENT_LEXICON)
+    return _named(p, "relation_type", "score").withColumn("pair_rank", F.col("pair_rank").cast("long"))
+
+
+def completion_pairs_whole(spark, d):
+    e = _whole(spark, d)
+    forbidden = graph.neighbour_edges(e).select("sample_id", F.col("source").alias("s_event_id"), F.col("target").alias("t_event_id"))
+    p = pairs.completion_pairs(e, forbidden, F.lit(A.QUERY))
+    return _named(p, "completion_score").withColumn("pair_rank", F.col("pair_rank").cast("long"))
+
+
+def headline_pairs(spark, d):
+    """Headlines of a source that share at least 12 % of their words: a source is one sample, and one of them holds a third of all documents."""
+    rows = A.news_documents(spark, d).where("source is not null").select(F.col("source").alias("sample_id"), F.col("document_id").alias("event_id"), "ord", X.token_set(F.col("title")).alias("words"))
+    found = similarity.overlapping(rows, "words", 0.12)
+    return found.select(F.col("sample_id").alias("source"), F.col("s_event_id").alias("first_id"), F.col("t_event_id").alias("second_id"), F.col("common").cast("long").alias("common"), F.round("jaccard", 9).alias("jaccard"))
+
+
 def typed_edges(spark, d):
     """Flagship: events to sparse candidate pairs, scored, typed and cut to a graph."""
     return _predicted(spark, d).select("sample_id", "edge_id", "source", "target", "relation_type", "score")
@@ -161,7 +196,7 @@ def negative_pairs(spark, d):
 
 def completion_pairs(spark, d):
     forbidden = _temporal(spark, d).select("sample_id", F.col("source").alias("s_event_id"), F.col("target").alias("t_event_id"))
-    p = pairs.completion_pairs(_events(spark, d), forbidden, F.lit(A.QUERY))
+    p = pairs.completion_pairs(_events(spark, d), forbidden, F.lit(A.QUERY), indexed=False)
     return _named(p, "completion_score").withColumn("pair_rank", F.col("pair_rank").cast("long"))
 
 
@@ -302,7 +337,7 @@ def review_tags(spark, d):
 
 
 def pair_stats(spark, d):
-    labelled = pairs.inference_pairs(_events(spark, d)).select("sample_id", X.relation(F.col("s_text"), F.col("t_text"), EVENT_LEXICON).alias("label"))
+    labelled = _pairs(spark, d).select("sample_id", X.relation(F.col("s_text"), F.col("t_text"), EVENT_LEXICON).alias("label"))
     return metrics.pair_stats(labelled, PAIR_LABELS)
 
 
@@ -591,7 +626,7 @@ def id_sets(spark, d):
 
 
 def evaluation(spark, d):
-    p = scorers.heuristic_scorer(EVENT_LEXICON)(pairs.inference_pairs(_events(spark, d)))
+    p = scorers.heuristic_scorer(EVENT_LEXICON)(_pairs(spark, d))
     told = p.select("sample_id", F.col("s_event_id").alias("source"), F.col("t_event_id").alias("target"), F.when(F.col("pair_rank") % 7 != 0, F.col("relation_type")).alias("relation_type"), F.round("candidate_score", 4).alias("score"))
     coarse = told.where("relation_type is not null and score >= 0.6").select("sample_id", "source", "target", "relation_type")
     refine = coarse.withColumn("keep_probability", F.when(F.col("relation_type") == "escalates", 0.2).otherwise(0.8))
@@ -619,7 +654,7 @@ def trajectories(spark, d):
 def pair_prompts(spark, d):
     e = _events(spark, d)
     docs = e.select("sample_id", "document_id").distinct().withColumn("title", F.concat(F.lit("Week "), "document_id")).withColumn("text", F.lit("t"))
-    p = scorers.heuristic_scorer(EVENT_LEXICON)(pairs.inference_pairs(e))
+    p = scorers.heuristic_scorer(EVENT_LEXICON)(pairs.inference_pairs(e, indexed=False))
     return prompts.pair_instructions(p, F.lit(A.QUERY), docs).select("sample_id", F.col("pair_rank").cast("long").alias("pair_rank"), F.substring_index("prompt", "Source Event:", -1).alias("prompt"), "target")
 
 
@@ -643,13 +678,13 @@ def train_split(spark, d):
 
 def training_pairs(spark, d):
     positives = _temporal(spark, d).select("sample_id", "source", "target", F.col("relation_type").alias("label"), "score")
-    negatives = pairs.inference_pairs(_events(spark, d), max_pairs=0).select("sample_id", F.col("s_event_id").alias("source"), F.col("t_event_id").alias("target"), "score").join(positives, ["sample_id", "source", "target"], "left_anti")
+    negatives = _pairs(spark, d, max_pairs=0).select("sample_id", F.col("s_event_id").alias("source"), F.col("t_event_id").alias("target"), "score").join(positives, ["sample_id", "source", "target"], "left_anti")
     out = sampling.training_pairs(positives, negatives, 1.5)
     return out.groupBy("sample_id", "label").agg(F.count("*").alias("n"), F.max("score").alias("most"))
 
 
 def perturbed_graph(spark, d):
-    everything = pairs.inference_pairs(_events(spark, d), max_pairs=0).select("sample_id", F.col("s_event_id").alias("source"), F.col("t_event_id").alias("target"))
+    everything = _pairs(spark, d, max_pairs=0).select("sample_id", F.col("s_event_id").alias("source"), F.col("t_event_id").alias("target"))
     return sampling.perturb(_temporal(spark, d).select("sample_id", "source", "target", "relation_type"), everything)
 
 
@@ -660,6 +695,7 @@ def synthetic_graphs(spark, d):
 QUERIES = {f.__name__: f for f in (
     token_counts, normalized_text, sentence_split, clause_split, titlecase_entities, compact_text, event_mentions, stems_and_triggers, generic_and_time, clean_documents, time_values,
     retrieve_documents, lexical_overlap, choice_vocabulary, news_for_requests, truncated_events, candidate_pairs, typed_edges, coarse_edges, negative_pairs, completion_pairs, bridge_pairs,
+    candidate_pairs_whole, coarse_edges_whole, completion_pairs_whole, headline_pairs,
     temporal_edges, event_degrees, edge_dedupe, truncated_graph, truncated_graph_edges, pair_label_priority, refined_graph, refined_with_completions, frontier_nodes, best_path, attention,
     temporal_context, node_features, edge_features, query_features, class_weights, labelled_samples, set_report, set_report_per_sample, micro_report, classification_report, classification_summary,
     binary_report, edge_evaluation, review_tags, pair_stats, answer_scores, missing_refs, with_refs, normalized_choices, parsed_forecasts, flat_forecasts, free_forecasts, forecast_rewards, code_rewards,
