@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.lexicons import LOCAL_MARKERS, PRIORITY
 from ..functions.values import field, is_object, json_answer, words
+from . import steps
 
 
 def truncate_events(events: DataFrame, most: int) -> DataFrame:
@@ -66,10 +67,15 @@ def truncate_graph(events: DataFrame, edges: DataFrame, most: int) -> tuple[Data
     return kept, dedupe_edges(inside.select(*edges.columns))
 
 
+def label_order() -> Column:
+    """What edges of a pair are ranked by: the priority of their relation, then the first."""
+    priority = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), F.col("relation_type")), F.lit(0))
+    return F.struct(priority.cast("int").alias("priority"), (-F.col("ord")).cast("long").alias("place"))
+
+
 def pair_labels(edges: DataFrame) -> DataFrame:
     """(sample_id, source, target, label): the relation with the highest priority, of equals the first."""
-    priority = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), F.col("relation_type")), F.lit(0))
-    return edges.groupBy("sample_id", "source", "target").agg(F.max_by("relation_type", F.struct(priority, -F.col("ord"))).alias("label"))
+    return edges.groupBy("sample_id", "source", "target").agg(F.max_by("relation_type", label_order()).alias("label"))
 
 
 def last_labels(edges: DataFrame) -> DataFrame:
@@ -166,13 +172,16 @@ def best_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, hops: in
     """(sample_id, target, score): largest product of weights over paths of at most hops edges from any start to any target.
 
     edges (sample_id, source, target, weight), starts and targets (sample_id, node). A hop is one join; after it each node
-    keeps its best product, so the frontier never exceeds the nodes. Paths end at a target.
+    keeps its best product, so the frontier never exceeds the nodes. Paths end at a target. The edges are cut and stay where the join needs
+    them, so a hop shuffles the frontier alone.
     """
     best = edges.groupBy("sample_id", "source", "target").agg(F.max("weight").cast("double").alias("weight"))
     ends = targets.select("sample_id", "node").distinct()
     # from the second hop on, a target leads only to itself: found paths ride along, and each hop reads the last one once
     onward = best.join(ends.withColumnRenamed("node", "source"), ["sample_id", "source"], "left_anti")
     onward = onward.unionByName(ends.select("sample_id", F.col("node").alias("source"), F.col("node").alias("target"), F.lit(1.0).alias("weight")))
+    places = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    onward = steps.cut(onward.repartition(places, "sample_id", "source")) if hops > 1 else onward
     front = starts.select("sample_id", F.col("node").alias("source"), F.lit(1.0).alias("score")).distinct()
     for hop in range(hops):
         step = front.join(onward if hop else best, ["sample_id", "source"])

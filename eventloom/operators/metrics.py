@@ -119,46 +119,128 @@ def stacked(report: DataFrame, prefix: str, by: str | None = None) -> DataFrame:
     return rows.select(name.alias("metric"), "value")
 
 
-def evaluation(gold: DataFrame, pairs: DataFrame, coarse: DataFrame, candidates: DataFrame, refined: DataFrame, coarse_threshold: float = 0.5, keep_threshold: float = 0.5) -> DataFrame:
-    """(metric, value) of a whole run over gold edges (sample_id, source, target, relation_type, ord).
+#: the reports of an evaluation and how each is read from its counts of (gold, predicted)
+REPORTS = {
+    "coarse.parse": "rate", "coarse.candidate_pairs": "cover", "coarse.pair_classification_raw": "labels", "coarse.pair_classification_thresholded": "labels",
+    "coarse.edge_binary_thresholded": "binary", "coarse.graph_unlabeled": "set", "coarse.graph_labeled": "set", "refinement.candidate_edges": "cover", "refinement.keep_binary": "binary",
+    "refinement.candidate_label_classification": "labels", "refinement.graph_unlabeled": "set", "refinement.graph_labeled": "set",
+}
 
-    pairs: coarse candidates with the model's relation_type (null where it could not be read) and score; coarse: the graph made of them;
-    candidates: those of the refiner with keep_probability and relation_type; refined: the refined graph.
-    """
-    from .graph import pair_labels
 
-    keys = ["sample_id", "source", "target"]
-    labels = pair_labels(gold)
+def _facts(gold: DataFrame, pairs: DataFrame, coarse: DataFrame, candidates: DataFrame, refined: DataFrame, coarse_threshold: float, keep_threshold: float) -> DataFrame:
+    """One row a pair of events: what gold, the candidates and the two graphs say of it. The five tables are read once, and grouped once."""
+    from .graph import label_order
+
+    none = F.lit(None).cast("string")
     parsed, score = F.col("relation_type").isNotNull(), F.coalesce("score", F.lit(0.0))
     raw = label(F.lower(F.trim(F.coalesce("relation_type", F.lit("none")))))
-    told = pairs.select(*keys, parsed.alias("parsed"), raw.alias("predicted"), F.when(score >= coarse_threshold, raw).otherwise("none").alias("thresholded"))
-    told = told.join(labels, keys, "left").withColumn("gold", F.coalesce("label", F.lit("none")))
     kept = F.col("keep_probability") >= keep_threshold
-    refine = candidates.select(*keys, kept.alias("kept"), F.when(kept, label(F.col("relation_type"))).otherwise("none").alias("predicted")).join(labels, keys, "left").withColumn("gold", F.coalesce("label", F.lit("none")))
 
-    def covered(rows: DataFrame, name: str) -> DataFrame:
-        met = compare(gold, rows, keys).agg(F.count_if("in_predicted").alias(name), F.count_if(F.col("in_gold") & F.col("in_predicted")).alias("candidate_gold_covered"), F.count_if("in_gold").alias("_gold"))
-        return met.select(name, "candidate_gold_covered", safe_div(F.col("candidate_gold_covered"), F.col("_gold")).alias("candidate_gold_coverage"))
-
-    def graph(predicted: DataFrame, where: str) -> list[DataFrame]:
-        return [stacked(set_report(gold, predicted, k), f"{where}.{name}") for name, k in (("graph_unlabeled", keys), ("graph_labeled", [*keys, "relation_type"]))]
-
-    def yes(rows: DataFrame, predicted: Column) -> DataFrame:
-        return binary_report(rows.select((F.col("gold") != "none").alias("gold"), predicted.alias("predicted")))
+    def part(rows: DataFrame, name: str, relation: Column = none, flag: Column | None = None, told: Column = none, cut: Column = none, order: Column | None = None) -> DataFrame:
+        no_order = F.lit(None).cast("struct<priority:int,place:bigint>")
+        flag, order = (x if x is not None else y for x, y in ((flag, F.lit(None).cast("boolean")), (order, no_order)))
+        cols = {"part": F.lit(name), "relation": relation, "flag": flag, "told": told, "cut": cut, "order": order}
+        return rows.select("sample_id", "source", "target", *[c.alias(k) for k, c in cols.items()])
 
+    kind = F.col("relation_type")
     parts = [
-        stacked(gold.select(F.count_distinct("sample_id").alias("samples"), F.count_distinct(*keys).alias("gold_edges"), F.count_distinct(*keys, "relation_type").alias("gold_labeled_edges")), "dataset"),
-        stacked(told.agg(safe_div(F.count_if("parsed"), F.count("*")).alias("parse_rate")), "coarse"), stacked(covered(told, "candidate_pairs"), "coarse"),
-        stacked(classification_summary(told.select("gold", "predicted")), "coarse.pair_classification_raw"),
-        stacked(classification_summary(told.select("gold", F.col("thresholded").alias("predicted"))), "coarse.pair_classification_thresholded"),
-        stacked(yes(told, F.col("thresholded") != "none"), "coarse.edge_binary_thresholded"), *graph(coarse, "coarse"),
-        stacked(covered(refine, "candidate_edges"), "refinement"), stacked(yes(refine, F.col("kept")), "refinement.keep_binary"),
-        stacked(classification_summary(refine.select("gold", "predicted")), "refinement.candidate_label_classification"), *graph(refined, "refinement"),
+        part(gold, "gold", kind, order=label_order()), part(coarse, "coarse", kind), part(refined, "refined", kind),
+        part(pairs, "pair", flag=parsed, told=raw, cut=F.when(score >= coarse_threshold, raw).otherwise("none")),
+        part(candidates, "candidate", flag=kept, told=F.when(kept, label(kind)).otherwise("none")),
     ]
-    out = parts[0]
+    rows = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        rows = rows.unionByName(p)
+
+    def of(name: str, value: Column) -> Column:
+        return F.when(F.col("part") == name, value)
+
+    said = F.struct("flag", "told", "cut")
+    return rows.groupBy("sample_id", "source", "target").agg(
+        F.coalesce(F.max_by("relation", "order"), F.lit("none")).alias("label"), *[F.bool_or(F.col("part") == x).alias(f"in_{x}") for x in ("gold", "pair", "coarse", "candidate", "refined")],
+        *[F.collect_set(of(x, F.col("relation"))).alias(f"{x}_types") for x in ("gold", "coarse", "refined")], *[F.collect_list(of(x, said)).alias(f"{x}s") for x in ("pair", "candidate")],
+    )
+
+
+def _counted(facts: DataFrame) -> DataFrame:
+    """(report, gold, predicted, n): how often each report meets each outcome, with a row of no count for every report."""
+
+    def fact(report: str, g: Column, p: Column, n: Column | int = 1) -> Column:
+        n = F.lit(n) if isinstance(n, int) else n
+        return F.struct(F.lit(report).alias("report"), g.cast("string").alias("gold"), p.cast("string").alias("predicted"), n.cast("long").alias("n"))
+
+    def each(listed: str, report: str, g, p) -> Column:
+        return F.transform(listed, lambda x: fact(report, g(x), p(x)))
+
+    yes = F.col("label") != "none"
+    out = [
+        each("pairs", "coarse.parse", lambda x: F.lit(True), lambda x: x["flag"]),
+        each("pairs", "coarse.pair_classification_raw", lambda x: F.col("label"), lambda x: x["told"]),
+        each("pairs", "coarse.pair_classification_thresholded", lambda x: F.col("label"), lambda x: x["cut"]),
+        each("pairs", "coarse.edge_binary_thresholded", lambda x: yes, lambda x: x["cut"] != "none"),
+        each("candidates", "refinement.keep_binary", lambda x: yes, lambda x: x["flag"]),
+        each("candidates", "refinement.candidate_label_classification", lambda x: F.col("label"), lambda x: x["told"]),
+        F.array(*[fact(r, F.col("in_gold"), F.col(f"in_{x}")) for r, x in (("coarse.candidate_pairs", "pair"), ("coarse.graph_unlabeled", "coarse"), ("refinement.candidate_edges", "candidate"), ("refinement.graph_unlabeled", "refined"))]),
+    ]
+    for report, x in (("coarse.graph_labeled", "coarse"), ("refinement.graph_labeled", "refined")):
+        both, g, p = F.size(F.array_intersect("gold_types", f"{x}_types")), F.size("gold_types"), F.size(f"{x}_types")
+        true, false = F.lit(True), F.lit(False)
+        out.append(F.array(fact(report, true, true, both), fact(report, true, false, g - both), fact(report, false, true, p - both)))
+    told = facts.select(F.explode(F.flatten(F.array(*out))).alias("f")).select("f.*").where("n > 0")
+    zeros = facts.sparkSession.range(1).select(F.explode(F.array(*[fact(r, F.lit(None), F.lit(None), 0) for r in REPORTS])).alias("f")).select("f.*")
+    return told.unionByName(zeros).groupBy("report", "gold", "predicted").agg(F.sum("n").alias("n"))
+
+
+def evaluation(gold: DataFrame, pairs: DataFrame, coarse: DataFrame, candidates: DataFrame, refined: DataFrame, coarse_threshold: float = 0.5, keep_threshold: float = 0.5) -> DataFrame:
+    """(metric, value) of a whole run over gold edges (sample_id, source, target, relation_type, ord).
+
+    pairs: coarse candidates with the model's relation_type (null where it could not be read) and score; coarse: the graph made of them;
+    candidates: those of the refiner with keep_probability and relation_type; refined: the refined graph.
+
+    One pass: all tables become facts of pairs, facts become counts of outcomes, and grouping sets over the few counts give reports and
+    the rows of labels that their means need. Tables without rows give zeros, and null means.
+    """
+    n, hit = F.col("n"), F.col("gold") == F.col("predicted")
+    counted = _counted(_facts(gold, pairs, coarse, candidates, refined, coarse_threshold, keep_threshold))
+    # an outcome counts once for its report (its first label) and once for each of its labels
+    sides = counted.select("report", "gold", "predicted", "n", F.posexplode(F.array_distinct(F.array("gold", "predicted"))).alias("at", "label"))
+
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(F.when(c, n)), F.lit(0))
+
+    once, mine = F.col("at") == 0, F.col("label")
+    grouped = sides.groupingSets([["report"], ["report", "label"]], "report", "label").agg(
+        F.grouping("label").alias("whole"), total(once).alias("total"), total(once & hit).alias("correct"),
+        *[total(once & (F.col("gold") == g) & (F.col("predicted") == p)).alias(name) for name, g, p in (("tp", "true", "true"), ("fp", "false", "true"), ("fn", "true", "false"), ("tn", "false", "false"))],
+        total(hit).alias("l_tp"), total(~hit & (mine == F.col("predicted"))).alias("l_fp"), total(~hit & (mine == F.col("gold"))).alias("l_fn"),
+    )
+    of_label = (F.col("whole") == 0) & F.col("label").isNotNull()
+    means = zip(("macro_precision", "macro_recall", "macro_f1"), prf(F.col("l_tp"), F.col("l_fp"), F.col("l_fn")), strict=True)
+    sums = ["total", "correct", "tp", "fp", "fn", "tn"]
+    reports = grouped.groupBy("report").agg(*[F.max(F.when(F.col("whole") == 1, F.col(c))).alias(c) for c in sums], *[F.avg(F.when(of_label, c)).alias(k) for k, c in means])
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    precision, recall, f1 = prf(tp, fp, fn)
+    scores = [("precision", precision), ("recall", recall), ("f1", f1)]
+    sets = [("tp", tp), ("fp", fp), ("fn", fn), *scores]
+    read = {
+        "rate": [("_rate", safe_div(tp, F.col("total")))], "cover": [("", tp + fp), ("candidate_gold_covered", tp), ("candidate_gold_coverage", safe_div(tp, tp + fn))],
+        "labels": [("total", F.col("total")), ("correct", F.col("correct")), ("accuracy", safe_div(F.col("correct"), F.col("total"))), *[(k, F.col(k)) for k in ("macro_precision", "macro_recall", "macro_f1")]],
+        "binary": [*sets[:3], ("tn", tn), *scores, ("accuracy", safe_div(tp + tn, F.col("total")))], "set": sets,
+    }
+
+    def named(report: str, key: str) -> str:
+        if REPORTS[report] == "rate":
+            return report + key
+        whole, _, short = report.partition(".")
+        return f"{whole}.{key or short}" if REPORTS[report] == "cover" else f"{report}.{key}"
+
+    rows = [F.when(F.col("report") == r, F.array(*[F.struct(F.lit(named(r, k)).alias("metric"), v.cast("double").alias("value")) for k, v in read[kind]])) for r, kind in REPORTS.items()]
+    # the size of gold stands in the counts: its pairs are met or lacking in every graph
+    more = [F.when(F.col("report") == r, F.array(F.struct(F.lit(m).alias("metric"), (tp + fn).cast("double").alias("value")))) for r, m in (("coarse.graph_unlabeled", "dataset.gold_edges"), ("coarse.graph_labeled", "dataset.gold_labeled_edges"))]
+    told = [F.coalesce(x, F.array().cast("array<struct<metric:string,value:double>>")) for x in [*rows, *more]]
+    metrics = reports.select(F.explode(F.concat(*told)).alias("m")).select("m.metric", "m.value")
+    samples = gold.select("sample_id").distinct().agg(F.count("*").cast("double").alias("value")).select(F.lit("dataset.samples").alias("metric"), "value")
+    return samples.unionByName(metrics)
 
 
 def run_rates(rows: DataFrame) -> DataFrame:

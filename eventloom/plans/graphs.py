@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.lexicons import DEFAULT, Lexicon
-from ..operators import features, graph, pairs, retrieval, sampling
+from ..operators import features, graph, pairs, retrieval, sampling, steps
 from .scorers import GraphRefiner, PairScorer, extractor, heuristic_scorer, prior_refiner
 
 
@@ -18,6 +18,7 @@ def local_graph(queries: DataFrame, docs: DataFrame, max_docs: int = 6, max_even
     found = hits.select("query_id", "document_id", "rank").join(docs.drop("ord"), "document_id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
     events = extractor(extractor_name)(found, max_events_per_doc, lexicon=lexicon).withColumnRenamed("query_id", "sample_id")
     events = events.withColumn("node_type", F.lit("observed")).withColumn("document_id", F.col("document_id").cast("string"))
+    events = steps.cut(events)  # of a few documents a query; edges, bridges and both results read them
     edges = graph.neighbour_edges(events).withColumn("is_hypothesis", F.lit(False))
     named = F.col("focus_entities") if "focus_entities" in queries.columns else F.array().cast("array<string>")
     focus = queries.select(F.col("query_id").alias("sample_id"), F.when(F.size(named) > 0, named).otherwise(X.titlecase_entities(F.col("text"))).alias("focus"))
@@ -124,16 +125,15 @@ def refinement_samples(gold_events: DataFrame, gold_edges: DataFrame, query, cut
     """Training samples of a refiner from gold graphs: a coarse graph is drawn from each, completed, and labelled by the gold edges.
 
     → tables nodes (10 features), edges (20), queries (6) and labels, all by sample_id. Samples under two events or without an edge are left out.
-    What the tables share (events, the drawn graph, the candidates) is kept, so that it is planned and run once; unpersist() of the session's
-    cache frees it.
+    What the tables share (events, the drawn graph, the candidates) is cut (steps.cut), so that it is planned and run once.
     """
     fit = gold_events.groupBy("sample_id").count().where("count >= 2").join(gold_edges.select("sample_id").distinct(), "sample_id", "left_semi").select("sample_id")
-    events = features.event_times(pairs.with_tokens(gold_events.join(fit, "sample_id", "left_semi"), query), cutoff).persist()
-    gold = gold_edges.join(fit, "sample_id", "left_semi").persist()
+    events = steps.cut(features.event_times(pairs.with_tokens(gold_events.join(fit, "sample_id", "left_semi"), query), cutoff))
+    gold = steps.cut(gold_edges.join(fit, "sample_id", "left_semi"))
     everything = pairs.inference_pairs(events, max_gap=1_000_000, max_pairs=0).select("sample_id", F.col("s_event_id").alias("source"), F.col("t_event_id").alias("target"))
     coarse = sampling.perturb(gold, everything, seed)
-    coarse = coarse.withColumn("ord", F.row_number().over(Window.partitionBy("sample_id").orderBy("source", "target", "relation_type"))).persist()
-    rows = completion_candidates(gold, coarse, events, query, negative_ratio, most, seed).persist()
+    coarse = steps.cut(coarse.withColumn("ord", F.row_number().over(Window.partitionBy("sample_id").orderBy("source", "target", "relation_type"))))
+    rows = steps.cut(completion_candidates(gold, coarse, events, query, negative_ratio, most, seed))
     return {
         "nodes": features.node_features(events, query), "edges": features.edge_features(rows, events), "queries": features.query_features(events, rows, F.lit(0)),
         "labels": features.labelled_samples(rows.select("sample_id", "ord", "source", "target", "source_kind"), gold),

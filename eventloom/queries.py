@@ -51,7 +51,11 @@ def _temporal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _coarse(spark: SparkSession, d: str) -> DataFrame:
-    p = pairs.coarse_edges(_events(spark, d), min_score=0.5, lexicon=EVENT_LEXICON, indexed=False)
+    return _coarse_of(_events(spark, d))
+
+
+def _coarse_of(events: DataFrame) -> DataFrame:
+    p = pairs.coarse_edges(events, min_score=0.5, lexicon=EVENT_LEXICON, indexed=False)
     return _named(p, "relation_type", "score").withColumn("ord", F.col("pair_rank"))
 
 
@@ -426,11 +430,11 @@ def free_forecasts(spark, d):
 
 def _rewarded(spark, d) -> DataFrame:
     p, ids = _forecasts(spark, d), _ids(spark, d)
-    c = _coarse(spark, d).persist()  # read by the ids of its edges and by every hop
+    c = steps.cut(_coarse(spark, d))  # read by the ids of its edges and by every hop
     maps = ids.select("sample_id", F.create_map(F.lit("H01"), F.get("ids", 0)).alias("event_map"), F.create_map(F.lit("R01"), F.lit("edge_1")).alias("edge_map"), F.col("ids").alias("event_ids"))
     linked = c.groupBy("sample_id").agg(F.collect_list(F.concat(F.lit("edge_"), F.col("ord"))).alias("edge_ids"))
-    rows = p.join(maps, "sample_id").join(linked, "sample_id", "left").persist()
-    bridge = forecast.bridge_scores(c, rows, A.event_nodes(spark, d))
+    rows = steps.cut(p.join(maps, "sample_id").join(linked, "sample_id", "left"))
+    bridge = forecast.bridge_scores(c, rows, A.event_nodes(spark, d).select("sample_id", "event_id"))
     rows = rows.join(bridge, "sample_id", "left").withColumns({"choice_ids": F.array(F.lit("C001"), F.lit("C002")), "choice_codes": F.array(F.lit("003"), F.lit("007")), "answers": F.array(F.lit("003"), F.lit("007"))})
     return forecast.policy("trace-reward")(rows)
 
@@ -626,12 +630,15 @@ def id_sets(spark, d):
 
 
 def evaluation(spark, d):
-    p = scorers.heuristic_scorer(EVENT_LEXICON)(_pairs(spark, d))
-    told = p.select("sample_id", F.col("s_event_id").alias("source"), F.col("t_event_id").alias("target"), F.when(F.col("pair_rank") % 7 != 0, F.col("relation_type")).alias("relation_type"), F.round("candidate_score", 4).alias("score"))
+    e = steps.cut(_events(spark, d))
+    p = scorers.heuristic_scorer(EVENT_LEXICON)(pairs.inference_pairs(e, indexed=False))
+    relation = F.when(F.col("pair_rank") % 7 != 0, F.col("relation_type")).alias("relation_type")
+    told = steps.cut(p.select("sample_id", F.col("s_event_id").alias("source"), F.col("t_event_id").alias("target"), relation, F.round("candidate_score", 4).alias("score")))
     coarse = told.where("relation_type is not null and score >= 0.6").select("sample_id", "source", "target", "relation_type")
     refine = coarse.withColumn("keep_probability", F.when(F.col("relation_type") == "escalates", 0.2).otherwise(0.8))
     refined = refine.where("keep_probability >= 0.5").select("sample_id", "source", "target", "relation_type")
-    return metrics.evaluation(_temporal(spark, d), told, coarse, refine, refined, 0.6).withColumn("value", F.round("value", 9))
+    out = metrics.evaluation(graph.neighbour_edges(e), told, coarse, refine, refined, 0.6)
+    return out.withColumn("value", F.round("value", 9))
 
 
 def edge_sample_stats(spark, d):
@@ -640,8 +647,9 @@ def edge_sample_stats(spark, d):
 
 
 def completion_candidates(spark, d):
-    e = features.event_times(_events(spark, d), F.lit("2024-01-20"))
-    out = graphs.completion_candidates(_temporal(spark, d), _coarse(spark, d), e, F.lit(A.QUERY))
+    e = steps.cut(features.event_times(_events(spark, d), F.lit("2024-01-20")))
+    gold, coarse = graph.neighbour_edges(e), steps.cut(_coarse_of(e))
+    out = graphs.completion_candidates(gold, coarse, e, F.lit(A.QUERY))
     return out.select("sample_id", "source", "target", "relation_type", "score", "source_kind", F.regexp_replace(F.coalesce("edge_id", F.lit("")), r"_\d+$", "").alias("kind"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.values import field, is_object, is_true, listed, words
+from ..operators import steps
 from .files import numbered_lines
 
 VERSION = "event-input-v1"
@@ -210,7 +211,7 @@ def with_context(records: DataFrame, queries: DataFrame, documents: DataFrame) -
 def materialise(records: DataFrame, max_events: int = 0, max_docs: int = 0) -> tuple[DataFrame, DataFrame]:
     """(documents, events) tables keyed by sample_id. Documents are cut before references are checked, those of all events; a missing query,
     missing documents and under two events (after the cut of events) are errors. The parsed records are kept for the checks and the tables."""
-    records = records.persist()
+    records = steps.cut(records)
     docs = records.select("sample_id", F.explode("documents").alias("d")).select("sample_id", "d.*")
     every = records.select("sample_id", "query_id", F.col("query.text").alias("query"), F.col("query.cutoff_time").alias("cutoff_time"), F.col("query.focus_entities").alias("focus_entities"), F.explode("events").alias("e")).select("sample_id", "query_id", "query", "cutoff_time", "focus_entities", "e.*")
     docs = docs.where(F.col("ord") < max_docs) if max_docs > 0 else docs
