@@ -27,7 +27,7 @@ def _query_tokens(queries: DataFrame, lexicon: Lexicon) -> tuple[DataFrame, list
     return F.broadcast(rows), vocabulary if len(vocabulary) <= SENT_WORDS else None
 
 
-def _jaccard(both: Column, a: Column, b: Column) -> Column:
+def jaccard_of(both: Column, a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(both, a + b - both), F.lit(0.0))
 
 
@@ -36,7 +36,7 @@ def overlaps(queries: DataFrame, docs: DataFrame, column: str, lexicon: Lexicon
     d = docs.select("document_id", X.token_set(F.col(column), lexicon).alias("dt"))
     met = d.select("document_id", F.size("dt").alias("dn"), F.explode("dt").alias("token")).join(_query_tokens(queries, lexicon)[0], "token")
     both = met.groupBy("query_id", "document_id", "qn", "dn").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("token")).alias("matched"))
-    return both.select("query_id", "document_id", _jaccard(F.col("n"), F.col("qn"), F.col("dn")).alias("overlap"), "matched")
+    return both.select("query_id", "document_id", jaccard_of(F.col("n"), F.col("qn"), F.col("dn")).alias("overlap"), "matched")
 
 
 def retrieve(queries: DataFrame, docs: DataFrame, max_docs: int = 6, title_weight: float = 1.4, lexicon: Lexicon = DEFAULT) -> DataFrame:
@@ -57,7 +57,7 @@ def retrieve(queries: DataFrame, docs: DataFrame, max_docs: int = 6, title_weigh
     rows = sized.select("document_id", "ord", "tn", "bn", F.explode(F.concat(side("tt", 1), side("bt", 0))).alias("p")).select("*", "p.token", "p.title").drop("p")
     met = rows.join(asked, "token")
     out = met.groupBy("query_id", "document_id", "ord", "qn", "tn", "bn").agg(F.sum("title").alias("nt"), F.count("*").alias("n"))
-    score = title_weight * _jaccard(F.col("nt"), F.col("qn"), F.col("tn")) + _jaccard(F.col("n") - F.col("nt"), F.col("qn"), F.col("bn"))
+    score = title_weight * jaccard_of(F.col("nt"), F.col("qn"), F.col("tn")) + jaccard_of(F.col("n") - F.col("nt"), F.col("qn"), F.col("bn"))
     out = out.select("query_id", "document_id", "ord", score.alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ord"))
     best = out.withColumn("rank", rank).where(F.col("rank") <= max_docs)

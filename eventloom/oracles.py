@@ -455,3 +455,5 @@ ORACLE_SQL = {
         SELECT eb.sample_id, 'q' || eb.sample_id || chr(10) || 'Query: {QUERY}' || chr(10) || 'Cutoff date: -' || chr(10) || 'Actors: -' || chr(10) || chr(10) || 'Choices:' || chr(10) || cb.t || chr(10) || chr(10) || 'Documents:' || chr(10) || db.t || chr(10) || chr(10)
         || 'Visible historical events:' || chr(10) || eb.t || chr(10) || chr(10) || 'Refined causal edges:' || chr(10) || coalesce(xb.t, '- none') AS prompt, h01, n_events, coalesce(n_edges, -1) AS n_edges FROM eb JOIN db USING (sample_id) LEFT JOIN xb USING (sample_id), cb""",
 }
+
+ORACLE_SQL["retrieve_indexed"] = ORACLE_SQL["retrieve_documents"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from . import adapters as A
 from .functions import text as X
 from .functions import values as V
 from .functions.lexicons import PAIR_LABELS, Lexicon
-from .operators import features, forecast, graph, metrics, pairs, prompts, retrieval, sampling, similarity, steps
+from .operators import block_index, features, forecast, graph, metrics, pairs, prompts, retrieval, sampling, similarity, steps
 from .plans import graphs, scorers
 from .sources import corpora, event_input
 
@@ -131,6 +133,15 @@ def retrieve_documents(spark, d):
     return r.select("query_id", "document_id", F.col("rank").cast("long").alias("rank"), "score", F.array_join("matched_terms", " ").alias("terms"))
 
 
+def retrieve_indexed(spark, d):
+    """retrieve_documents from an index with bounds; the index goes once the answers are there."""
+    name = f"eventloom_index_{uuid.uuid4().hex}"
+    index = block_index.build(A.news_documents(spark, d), name)
+    r = steps.cut(block_index.search(index, A.item_queries(spark, d), 6)[0])
+    spark.sql(f"DROP TABLE {name}")
+    return r.select("query_id", "document_id", F.col("rank").cast("long").alias("rank"), "score", F.array_join("matched_terms", " ").alias("terms"))
+
+
 def lexical_overlap(spark, d):
     b = A.item_queries(spark, d)
     return retrieval.overlaps(b, b.withColumnRenamed("query_id", "document_id"), "text").where("query_id < document_id").select("query_id", "document_id", "overlap")
@@ -702,7 +713,7 @@ def synthetic_graphs(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     token_counts, normalized_text, sentence_split, clause_split, titlecase_entities, compact_text, event_mentions, stems_and_triggers, generic_and_time, clean_documents, time_values,
-    retrieve_documents, lexical_overlap, choice_vocabulary, news_for_requests, truncated_events, candidate_pairs, typed_edges, coarse_edges, negative_pairs, completion_pairs, bridge_pairs,
+    retrieve_documents, retrieve_indexed, lexical_overlap, choice_vocabulary, news_for_requests, truncated_events, candidate_pairs, typed_edges, coarse_edges, negative_pairs, completion_pairs, bridge_pairs,
     candidate_pairs_whole, coarse_edges_whole, completion_pairs_whole, headline_pairs,
     temporal_edges, event_degrees, edge_dedupe, truncated_graph, truncated_graph_edges, pair_label_priority, refined_graph, refined_with_completions, frontier_nodes, best_path, attention,
     temporal_context, node_features, edge_features, query_features, class_weights, labelled_samples, set_report, set_report_per_sample, micro_report, classification_report, classification_summary,
