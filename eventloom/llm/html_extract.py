@@ -50,7 +50,11 @@ ITEMS = set(b"p li dt dd tr td th h1 h2 h3 h4 h5 h6 blockquote pre".split())
 CLOSES = {b"li": ({b"li"}, {b"ul", b"ol", b"menu"}), b"dt": ({b"dt", b"dd"}, {b"dl"}), b"dd": ({b"dt", b"dd"}, {b"dl"}), b"tr": ({b"tr", b"td", b"th"}, {b"table"}), b"td": ({b"td", b"th"}, {b"tr", b"table"}), b"th": ({b"td", b"th"}, {b"tr", b"table"})}
 SKIPPED = {b"head", b"nav", b"header", b"footer", b"aside", b"form", b"menu", b"dialog"}
 ROLES = {b"navigation", b"banner", b"contentinfo", b"complementary", b"search", b"form", b"menu", b"menubar", b"dialog", b"alert", b"alertdialog", b"toolbar"}
-NOISE = re.compile(rb"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|widget|comments?|comment-list|disqus|replies|respond|notice|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|pagination|pager|toolbar|skip|alert)(?:$|[-_\s\d])", re.I)
+NOISE = re.compile(rb"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|widget|comments?|comment-list|disqus|discussions?|reactions?|replies|respond|responses?|notice|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|pagination|pager|toolbar|skip|alert)(?:$|[-_\s\d])", re.I)
+#: names of an article element that is a comment or a teaser; whole names, as the article itself may be told to have a sidebar or open comments
+NO_ARTICLE = re.compile(rb"(?:^|\s)(?:(?:div|user|reader)[-_])?(?:comments?|repl(?:y|ies)|responses?|reactions?|teasers?|related|recommended|promo|sponsored|advert)(?:[-_](?:body|item|card|box|entry|post|article|story))?(?:[-_]?\d+)?(?:$|\s)", re.I)
+#: elements that an end tag of an inline element doesn't reach across
+BARRIERS = {b"article", b"main", b"body", b"table", b"td"}
 #: names that inside an article are about its own head
 HEADING = re.compile(rb"(?:^|[-_\s])(?:header|masthead|banner)(?:$|[-_\s\d])", re.I)
 SPACE = re.compile(r"\s+")
@@ -74,9 +78,9 @@ def _marks(tag: bytes, attributes: bytes, in_article: bool) -> str:
     role = given.get(b"role", b"").lower()
     if b"hidden" in given or role in ROLES or (tag in SKIPPED and not (tag == b"header" and in_article)):
         return HARD
-    if tag in (b"article", b"main") or role in (b"main", b"article"):
-        return ARTICLE
     names = b" ".join(given[k] for k in (b"class", b"id") if k in given)
+    if tag in (b"article", b"main") or role in (b"main", b"article"):
+        return HINT if NO_ARTICLE.search(names) else ARTICLE
     if not names or tag in (b"body", b"html") or in_article and (tag in (b"header", b"h1", b"h2", b"h3", b"h4", b"h5", b"h6") or HEADING.search(names)):
         return ""
     return HINT if NOISE.search(names) else ""
@@ -90,7 +94,10 @@ def parse(page: bytes) -> Page:
     told: dict[tuple, str] = {}
     #: open elements: tag, node, texts held for the node's block
     stack: list[tuple[bytes, int, list]] = [(b"", 0, [])]
-    opened: dict[bytes, int] = {}
+    #: places in the stack: of each tag, of blocks, and of barriers; the last is the innermost
+    places: dict[bytes, list[int]] = {}
+    blocks: list[int] = []
+    barriers: list[int] = []
     found: list[tuple[int, int, str, int]] = []
     links = articles = count = at = 0
     end_of_tags, tags = page.rfind(b">") + 1, TAG
@@ -110,13 +117,18 @@ def parse(page: bytes) -> Page:
                 settle(node, held)
                 if ARTICLE in labels[node]:
                     articles -= 1
-            opened[tag] -= 1
+            places[tag].pop()
+            if tag in BLOCK:
+                blocks.pop()
+            if tag in BARRIERS:
+                barriers.pop()
             links -= tag == b"a"
         del stack[k:]
+        del owner[k:]
 
-    def top() -> tuple[int, list]:
-        k = len(stack) - 1
-        return owner[k], stack[k][2]
+    def innermost(tags: set[bytes] | tuple[bytes, ...]) -> int:
+        """The place of the innermost open element of the tags; 0 if there is none."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     owner = [0]  # for each open element the node that its text belongs to
 
@@ -140,39 +152,23 @@ def parse(page: bytes) -> Page:
             continue
         tag = m[2].lower()
         if m[1]:
-            if opened.get(tag):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        if tag in BLOCK:
-                            settle(owner[-1], stack[-1][2])
-                        close(k)
-                        del owner[k:]
-                        break
-                    if stack[k][0] in (b"article", b"main", b"body", b"table", b"td") and tag not in BLOCK:
-                        break
+            k = innermost((tag,))
+            if k and (tag in BLOCK or not barriers or barriers[-1] < k):
+                if tag in BLOCK:
+                    settle(owner[-1], stack[-1][2])
+                close(k)
             continue
         if tag in RAW_END:
             at = RAW_END[tag].search(page, at).end()
             continue
-        if tag in ENDS_P and opened.get(b"p"):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == b"p":
-                    settle(owner[-1], stack[-1][2])
-                    close(k)
-                    del owner[k:]
-                    break
-                if stack[k][0] in BLOCK:
-                    break
-        if tag in CLOSES and any(opened.get(t) for t in CLOSES[tag][0]):
+        if tag in ENDS_P and (k := innermost((b"p",))) and k == blocks[-1]:
+            settle(owner[-1], stack[-1][2])
+            close(k)
+        if tag in CLOSES:
             ended, limit = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in limit:
-                    break
-                if stack[k][0] in ended:
-                    settle(owner[-1], stack[-1][2])
-                    close(k)
-                    del owner[k:]
-                    break
+            if (k := innermost(ended)) > innermost(limit):
+                settle(owner[-1], stack[-1][2])
+                close(k)
         if tag == b"br" or tag == b"wbr":
             stack[-1][2].append((" " if tag == b"br" else "", False, count))
             count += 1
@@ -197,9 +193,13 @@ def parse(page: bytes) -> Page:
             if marks == ARTICLE:
                 articles -= 1
             continue
+        places.setdefault(tag, []).append(len(stack))
+        if block:
+            blocks.append(len(stack))
+        if tag in BARRIERS:
+            barriers.append(len(stack))
         stack.append((tag, node, [] if node >= 0 else stack[-1][2]))
         owner.append(node if node >= 0 else owner[-1])
-        opened[tag] = opened.get(tag, 0) + 1
         links += tag == b"a"
     settle(owner[-1], stack[-1][2])
     close(1)
