@@ -33,7 +33,7 @@ from .common import arrow_map, discard, materialise, raw, shared_dir, tidy
 
 RUN_SCHEMA, SEEN_SCHEMA = "h long, doc_id long, tag long, pos int", "sha binary, first_id long"
 MANIFEST = "ord int, kind string, name string, value int"
-RUN_SALTS, SPLITS = 64, (0.1, 0.2)
+RUN_SALTS, SPLITS = 64, (1 / 3, 2 / 3)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -277,8 +277,8 @@ class FingerprintIndex:
 def dedup(docs: DataFrame, window: int = 20, gram: int = 8, splits: tuple[float, ...] = SPLITS, max_runs: int = 1) -> DataFrame:
     """All of docs (doc_id, text), fed to a new index in batches by doc_id; see FingerprintIndex.add for the result.
 
-    splits are the shares of the doc_ids that the batches but the last one reach. With the defaults two small batches make runs
-    that are compacted, and the third is merged with them.
+    splits are the shares of the doc_ids that the batches but the last one reach. With the defaults the first two thirds make runs
+    that are compacted, and the last third is merged with them.
     """
     spark = docs.sparkSession
     at = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), list(splits), 100)).first()[0] if splits else None
