@@ -40,6 +40,7 @@ def graph_rows(nodes: DataFrame, edges: DataFrame, queries: DataFrame, labels: D
     edge without a label is not to be kept.
     """
     n = nodes.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("event_id", _numbers(R.NODE).alias("f")))).alias("nodes"))
+    edges = edges.select("sample_id", "ord", "source", "target", *[f"f{k}" for k in range(R.EDGE)])
     if labels is not None:
         told = labels.select("sample_id", "ord", F.col("edge_label").cast("double").alias("keep"), F.col("type_id").cast("int").alias("kind"), F.col("strength").cast("double").alias("strength"))
         edges = edges.join(told, ["sample_id", "ord"], "left")

@@ -40,6 +40,30 @@ def sentences(x: str) -> str:
     return rf"list_filter(list_transform(string_split(regexp_replace(trim({x}, {blank}), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, {blank})), lambda s: s <> '')"
 
 
+def mark(seed: int, *keys: str) -> str:
+    return f"md5(concat_ws('|', '{seed}', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)}))"
+
+
+def drawn(seed: int, *keys: str) -> str:
+    """Uniform in [0, 1) from keys."""
+    return f"(CAST('0x' || substr({mark(seed, *keys)}, 1, 8) AS BIGINT) / 4294967296e0)"
+
+
+def between(k: int, low: str, high: str, *keys: str) -> str:
+    return f"({low} + ({high} - {low}) * {drawn(7 + k, 'sample_id', *keys)})"
+
+
+def coin(k: int, *keys: str) -> str:
+    return f"CASE WHEN {drawn(7 + k, 'sample_id', *keys)} < 5e-1 THEN 0e0 ELSE 1e0 END"
+
+
+SYNTHETIC = f"""
+z AS (SELECT c_custkey AS sample_id, 4 + CAST(floor({drawn(7, "c_custkey")} * 5) AS INTEGER) AS n FROM customer),
+sizes AS (SELECT sample_id, n, least(n - 1 + CAST(floor({drawn(8, "sample_id")} * (least(2 * n, 12) - n + 2)) AS INTEGER), n * (n - 1) // 2) AS m FROM z),
+places AS (SELECT sample_id, n, m, unnest(range(n)) AS ord FROM sizes),
+chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY -ln({drawn(27, "sample_id", "s", "t")} + 1e-12) * (n - 1 - s), s, t) - 1 AS ord
+    FROM (SELECT a.sample_id, a.n, a.m, a.ord AS s, b.ord AS t FROM places a JOIN places b ON a.sample_id = b.sample_id AND a.ord < b.ord)) WHERE ord < m)"""
+
 QT = token_set("'" + QUERY + "'")
 
 NODES = f"""
@@ -388,8 +412,24 @@ ORACLE_SQL = {
     "missing_refs": "SELECT doc_id, 'label' AS missing FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'document' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
     "with_refs": "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "trajectories": f"WITH {NODES}, {COARSE} SELECT sample_id, CAST(count(*) AS VARCHAR) AS observation, 'keep' AS action, count(*) * 2e0 AS reward FROM coarse GROUP BY 1",
-    "train_split": "WITH n AS (SELECT count(*) AS n, greatest(1, CAST(floor(count(*) * 2e-1) AS BIGINT)) AS v FROM customer) SELECT true AS is_validation, v AS n FROM n UNION ALL SELECT false, n - v FROM n",
-    "normalized_choices": "SELECT * FROM (VALUES (0, 'C001', '003', 'a'), (1, 'C002', '007', '')) v(ord, choice_id, event_code, description)",
+    "train_split": f"WITH n AS (SELECT c_custkey, row_number() OVER (ORDER BY {mark(7, 'c_custkey')}, c_custkey) AS k, count(*) OVER () AS n FROM customer) SELECT c_custkey, k <= greatest(1, CAST(floor(n * 2e-1) AS BIGINT)) AS is_validation FROM n",
+    "training_pairs": f"""WITH {NODES}, {PAIRS}, {TEMPORAL}, w AS (SELECT sample_id, greatest(1, CAST(floor(count(*) * 15e-1) AS BIGINT)) AS most FROM temporal GROUP BY 1),
+        neg AS (SELECT {K3}, least(round(candidate_score, 4), 49e-2) AS score, row_number() OVER (PARTITION BY sample_id ORDER BY {mark(7, *K3.split(", "))}, source, target) AS k FROM p0 ANTI JOIN temporal USING ({K3}))
+        SELECT {K3}, relation_type AS label, score, false AS is_negative FROM temporal UNION ALL SELECT {K3}, 'none', score, true FROM neg JOIN w USING (sample_id) WHERE k <= most""",
+    "perturbed_graph": f"""WITH {NODES}, {PAIRS}, {TEMPORAL}, w AS (SELECT sample_id, greatest(1, CAST(floor(count(*) * 25e-2) AS BIGINT)) AS most FROM temporal GROUP BY 1),
+        neg AS (SELECT {K3}, row_number() OVER (PARTITION BY sample_id ORDER BY {mark(10, *K3.split(", "))}, source, target) AS k FROM p0 ANTI JOIN temporal USING ({K3}))
+        SELECT {K3}, CASE WHEN {drawn(8, *K3.split(", "))} < 15e-2 THEN {list(RELATIONS)}[CAST(floor({drawn(9, *K3.split(", "))} * 4) AS BIGINT) + 1] ELSE relation_type END AS relation_type, 55e-2 + 4e-1 * {drawn(12, *K3.split(", "))} AS score
+            FROM temporal WHERE {drawn(7, *K3.split(", "), "relation_type")} >= 25e-2
+        UNION ALL SELECT {K3}, 'precedes', 5e-2 + 5e-1 * {drawn(11, *K3.split(", "))} FROM neg JOIN w USING (sample_id) WHERE k <= most""",
+    "synthetic_graphs": f"""WITH {SYNTHETIC}, e AS (SELECT *, {between(21, "5e-1", "1e0", "s", "t")} AS f2, {between(22, "0e0", "1e0", "s", "t")} AS f3, {between(23, "0e0", "1e0", "s", "t")} AS f4, {coin(24, "s", "t")} AS f5, {between(25, "0e0", "1e0", "s", "t")} AS f6,
+            CAST(floor({drawn(33, "sample_id", "s", "t")} * 4) AS INTEGER) AS type_id FROM chosen),
+        x AS (SELECT *, 34e-2 * f2 + 22e-2 * f3 + 18e-2 * f4 + 16e-2 * f5 + 1e-1 * f6 AS f0 FROM e)
+        SELECT sample_id, ord, 'n' || s AS source, 'n' || t AS target, f0, CAST(type_id AS DOUBLE) AS f1, f2, f3, f4, f5, f6, CAST(s AS DOUBLE) AS f7, CAST(t AS DOUBLE) AS f8, CAST(t - s AS DOUBLE) AS f9, CAST(t - s AS DOUBLE) AS f10, (t - s) / 4e0 AS f11,
+            0e0 AS f12, 1e0 AS f13, 0e0 AS f14, 0e0 AS f15, 1e0 AS f16, 0e0 AS f17, 1e0 AS f18, 0e0 AS f19, CAST(f0 >= 62e-2 AS INTEGER) AS edge_label, type_id, f0 AS strength FROM x""",
+    "synthetic_nodes": f"""WITH {SYNTHETIC} SELECT sample_id, 'n' || ord AS event_id, {between(10, "0e0", "6e0", "ord")} AS f0, {between(11, "3e0", "18e0", "ord")} AS f1, CAST(ord AS DOUBLE) AS f2, {between(12, "3e-1", "95e-2", "ord")} AS f3, {coin(13, "ord")} AS f4,
+        {between(14, "3e0", "10e0", "ord")} AS f5, {between(15, "0e0", "8e0", "ord")} AS f6, {coin(16, "ord")} AS f7, {coin(17, "ord")} AS f8, {coin(18, "ord")} AS f9 FROM places""",
+    "synthetic_queries": f"""WITH {SYNTHETIC} SELECT sample_id, {between(30, "1e0", "3e0")} AS f0, {between(31, "2e0", "6e0")} AS f1, CAST(n AS DOUBLE) AS f2, CAST(m AS DOUBLE) AS f3, {between(32, "0e0", "8e0")} AS f4, {coin(33)} AS f5 FROM sizes""",
+    "normalized_choices": """SELECT p_partkey AS ord, CASE WHEN p_size % 2 = 0 THEN 'P' || p_partkey ELSE printf('C%03d', p_partkey + 1) END AS choice_id, p_type AS event_code, CASE WHEN p_size % 3 > 0 THEN trim(p_name) ELSE '' END AS description FROM part WHERE p_size % 5 > 0""",
     "parsed_forecasts": f"WITH {NODES}, {IDS}, {TOLD} SELECT * FROM told",
     "flat_forecasts": f"""WITH {NODES}, {IDS} SELECT sample_id, k NOT IN (2, 3) AS parsed_json, CASE WHEN k IN (1, 2, 3) THEN code ELSE '' END AS event_code, CASE k WHEN 1 THEN '007|' || code ELSE '' END AS alternatives, k = 4 AS abstain,
         CAST({by_shape("0", "8", str(said_length(2)), str(said_length(3)), "0", "0")} AS BIGINT) AS n_event, CASE k WHEN 1 THEN 5e-1 ELSE 0e0 END AS confidence, CASE k WHEN 1 THEN a ELSE '' END AS support_ids FROM ids""",

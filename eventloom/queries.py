@@ -11,6 +11,7 @@ from . import adapters as A
 from .functions import text as X
 from .functions import values as V
 from .functions.lexicons import PAIR_LABELS, Lexicon
+from .models import refiner, training
 from .operators import block_index, features, forecast, graph, metrics, pairs, prompts, retrieval, sampling, similarity, steps
 from .plans import graphs, scorers
 from .sources import corpora, event_input
@@ -414,7 +415,11 @@ def _choices(spark) -> DataFrame:
 
 
 def normalized_choices(spark, d):
-    return _choices(spark)
+    """Parts as choices: some without an id, some without a code."""
+    own = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" P"), "p_partkey"))
+    code = F.when(F.col("p_size") % 5 > 0, F.concat("p_type", F.lit(" "))).otherwise(F.when(F.col("p_size") % 10 > 0, ""))
+    rows = A.table(spark, d, "part").select(F.col("p_partkey").alias("ord"), own.alias("choice_id"), code.alias("event_code"), F.when(F.col("p_size") % 3 > 0, F.col("p_name")).alias("description"))
+    return forecast.normalize_choices(rows)
 
 
 def _forecasts(spark, d) -> DataFrame:
@@ -691,24 +696,59 @@ def forecast_prompts(spark, d):
 
 
 def train_split(spark, d):
-    out = sampling.split(A.table(spark, d, "customer").select("c_custkey"), "c_custkey", 0.2)
-    return out.groupBy("is_validation").agg(F.count("*").alias("n"))
+    return sampling.split(A.table(spark, d, "customer").select("c_custkey"), "c_custkey", 0.2)
+
+
+def _every_pair(spark, d) -> DataFrame:
+    return _pairs(spark, d, max_pairs=0).select("sample_id", F.col("s_event_id").alias("source"), F.col("t_event_id").alias("target"), F.round("candidate_score", 4).alias("score"))
 
 
 def training_pairs(spark, d):
     positives = _temporal(spark, d).select("sample_id", "source", "target", F.col("relation_type").alias("label"), "score")
-    negatives = _pairs(spark, d, max_pairs=0).select("sample_id", F.col("s_event_id").alias("source"), F.col("t_event_id").alias("target"), "score").join(positives, ["sample_id", "source", "target"], "left_anti")
-    out = sampling.training_pairs(positives, negatives, 1.5)
-    return out.groupBy("sample_id", "label").agg(F.count("*").alias("n"), F.max("score").alias("most"))
+    negatives = _every_pair(spark, d).join(positives, ["sample_id", "source", "target"], "left_anti")
+    return sampling.training_pairs(positives, negatives, 1.5)
 
 
 def perturbed_graph(spark, d):
-    everything = _pairs(spark, d, max_pairs=0).select("sample_id", F.col("s_event_id").alias("source"), F.col("t_event_id").alias("target"))
-    return sampling.perturb(_temporal(spark, d).select("sample_id", "source", "target", "relation_type"), everything)
+    return sampling.perturb(_temporal(spark, d).select("sample_id", "source", "target", "relation_type"), _every_pair(spark, d).drop("score"))
+
+
+def _synthetic(spark, d) -> dict[str, DataFrame]:
+    """A drawn graph for each customer."""
+    return sampling.synthetic_samples(A.table(spark, d, "customer").select(F.col("c_custkey").alias("sample_id")))
 
 
 def synthetic_graphs(spark, d):
-    return sampling.synthetic_samples(spark, 64)[1]
+    return _synthetic(spark, d)["edges"]
+
+
+def synthetic_nodes(spark, d):
+    return _synthetic(spark, d)["nodes"]
+
+
+def synthetic_queries(spark, d):
+    return _synthetic(spark, d)["queries"]
+
+
+# the refiner
+
+
+def network_scores(spark, d):
+    """What the network, with weights drawn from a seed, says of the coarse edges."""
+    e = steps.cut(_timed(spark, d))
+    c = steps.cut(_coarse(spark, d).withColumn("source_kind", F.lit("coarse")))
+    weights = refiner.initial(refiner.Config(hidden=16))
+    told = training.network_refiner(weights, e, F.lit(A.QUERY), F.lit(2))(c)
+    return c.select("sample_id", "ord", "source", "target").join(told, ["sample_id", "ord"])
+
+
+def trained_scores(spark, d):
+    """What the network says of the drawn graphs' edges once it was trained on them for two epochs."""
+    drawn = _synthetic(spark, d)
+    labels = drawn["edges"].select("sample_id", "ord", "edge_label", "type_id", "strength")
+    rows = steps.cut(training.graph_rows(drawn["nodes"], drawn["edges"], drawn["queries"], labels))
+    state = training.train(rows, refiner.initial(refiner.Config(hidden=16)), steps.folder(spark), training.Settings(epochs=2, lots=2, rate=3e-3), training.objective_of(labels))
+    return training.predictions(rows, state.weights).where("ord is not null").drop("event_id", "frontier_score")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -720,5 +760,5 @@ QUERIES = {f.__name__: f for f in (
     binary_report, edge_evaluation, review_tags, pair_stats, answer_scores, missing_refs, with_refs, normalized_choices, parsed_forecasts, flat_forecasts, free_forecasts, forecast_rewards, code_rewards,
     run_rates, predicted_edges, extracted_events, local_events, local_edges, sentence_events, event_input_errors, event_input_events, event_input_summary, gold_events, gold_edges, gold_sample_sizes,
     relation_report, selected_samples, edge_actions, debug_edges, edge_preview, edge_payload, id_sets, evaluation, edge_sample_stats, completion_candidates, trajectories, pair_prompts, forecast_prompts,
-    train_split, training_pairs, perturbed_graph, synthetic_graphs,
+    train_split, training_pairs, perturbed_graph, synthetic_graphs, synthetic_nodes, synthetic_queries, network_scores, trained_scores,
 )}

@@ -82,9 +82,15 @@ def test_scorers_and_sampling(spark):
     rows = spark.range(100)
     for share, want in ((0.2, 20), (0.0, 1), (1.0, 99)):
         assert sampling.split(rows, "id", share).where("is_validation").count() == want
-    nodes, edges = sampling.synthetic_samples(spark, 8)
-    assert nodes.count() == 48 and edges.count() == 40
-    assert graphs.frontier(edges.withColumn("edge_id", F.lit("x"))).where("rank = 1").count() == 8
+    drawn = sampling.synthetic_samples(spark.range(500).withColumnRenamed("id", "sample_id"))
+    sizes = {r.sample_id: (int(r.f2), int(r.f3)) for r in drawn["queries"].collect()}
+    assert {n for n, _ in sizes.values()} == {4, 5, 6, 7, 8} and all(n - 1 <= m <= min(2 * n, 12, n * (n - 1) // 2) for n, m in sizes.values())
+    edges = drawn["edges"].toPandas()
+    assert not edges.duplicated(["sample_id", "source", "target"]).any() and (edges["f7"] < edges["f8"]).all()
+    assert edges.groupby("sample_id").size().to_dict() == {k: m for k, (_, m) in sizes.items()}
+    assert drawn["nodes"].groupBy("sample_id").count().toPandas().set_index("sample_id")["count"].to_dict() == {k: n for k, (n, _) in sizes.items()}
+    assert graphs.frontier(drawn["edges"].withColumns({"edge_id": F.lit("x"), "relation_type": F.lit("causes")})).where("rank = 1").count() == 500
+    assert sampling.synthetic_samples(spark.range(0).withColumnRenamed("id", "sample_id"))["edges"].count() == 0
 
 
 def test_streaming_counts(spark):
