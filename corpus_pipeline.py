@@ -24,7 +24,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One text of those at five-word Jaccard 0.8 and more stays."""
+    """One text of those at five-word Jaccard 0.8 and more stays: op8's SimHash classes, and MinHash bands beyond their reach, held to exact similarity."""
     return minhash.representatives(docs)
 
 
