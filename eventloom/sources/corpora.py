@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.values import literal_list, literal_map
+from ..operators import steps
 from ..operators.graph import dedupe_edges, truncate_graph
 from .files import numbered_lines
 
@@ -120,11 +121,15 @@ def gold_graphs(rows: DataFrame, context: int = 8, prefix: str = "") -> tuple[Da
     An edge's id counts before equal edges (ends and type) are reduced to the first; source_relation is its name in the rows.
     Samples are named prefix and id; those with under two events or without an edge go.
     """
+    return _fit(*_gold_parts(rows, context, prefix))
+
+
+def _gold_parts(rows: DataFrame, context: int = 8, prefix: str = "") -> tuple[DataFrame, DataFrame]:
+    """gold_graphs with all samples."""
     rows = rows.withColumn("sample_id", F.concat(F.lit(prefix), "id")).withColumn("sentences", _sentences(F.col("sentences")))
-    e = rows.select("sample_id", F.col("id").alias("document_id"), "sentences", "tokens", F.posexplode("events").alias("ord", "e"))
-    e = e.select("sample_id", "document_id", "ord", "sentences", "tokens", F.col("e.id").alias("gold_id"), F.col("e.type").alias("event_type"), F.get("e.mention", 0).alias("m")).withColumn("at", F.coalesce("m.sent_id", F.lit(0)))
-    e = e.where("m is not null and at < size(sentences)").withColumn("sentence", F.get("sentences", F.col("at")))
-    words, trigger = F.get("tokens", F.col("at")), F.trim(F.coalesce("m.trigger_word", F.lit("")))
+    told = X.let(F.struct("sentences", "tokens", "events"), _told_events)
+    e = rows.select("sample_id", F.col("id").alias("document_id"), F.posexplode(told).alias("ord", "e")).select("sample_id", "document_id", "ord", "e.*").where("m is not null and inside")
+    words, trigger = F.col("words"), F.trim(F.coalesce("m.trigger_word", F.lit("")))
     start = F.greatest(F.get("m.offset", 0), F.lit(0))
     low, high = F.greatest(start - context, F.lit(0)), F.least(F.greatest(start + 1, F.get("m.offset", 1)) + context, F.size(words))
     window = F.slice(words, low + 1, F.greatest(high - low, F.lit(0)))
@@ -147,7 +152,19 @@ def gold_graphs(rows: DataFrame, context: int = 8, prefix: str = "") -> tuple[Da
     edges = told_edges.join(ids.toDF("sample_id", "a", "source"), ["sample_id", "a"]).join(ids.toDF("sample_id", "b", "target"), ["sample_id", "b"])
     order = F.row_number().over(Window.partitionBy("sample_id").orderBy("at")) - 1
     edges = dedupe_edges(edges.select("sample_id", F.concat(F.lit("gold_edge_"), order).alias("edge_id"), "source", "target", "relation_type", "score", "source_relation", order.alias("ord")))
-    return _fit(events, edges)
+    return events, edges
+
+
+def _told_events(row: Column) -> Column:
+    """Events of a gold row, each with its sentence and that one's tokens: picked in the row, so that no event takes along all of them."""
+
+    def one(e: Column) -> Column:
+        m = F.get(e["mention"], 0)
+        at = F.coalesce(m["sent_id"], F.lit(0))
+        picked = {"sentence": F.get(row["sentences"], at), "words": F.get(row["tokens"], at)}
+        return F.struct(e["id"].alias("gold_id"), e["type"].alias("event_type"), m.alias("m"), at.alias("at"), (at < F.size(row["sentences"])).alias("inside"), *[c.alias(k) for k, c in picked.items()])
+
+    return F.transform(row["events"], one)
 
 
 def _fit(events: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -158,8 +175,11 @@ def _fit(events: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 def gold_samples(rows: DataFrame, limit: int = 0, max_events: int = 0) -> tuple[DataFrame, DataFrame]:
     """(events, edges) of gold samples: the first limit rows, each cut to max_events by its best edges; what is left too small goes."""
     rows = rows.orderBy("ord").limit(limit) if limit > 0 else rows
-    events, edges = gold_graphs(rows, prefix="maven_")
-    return _fit(*truncate_graph(events, edges, max_events)) if max_events > 0 else (events, edges)
+    if max_events <= 0:
+        return gold_graphs(rows, prefix="maven_")
+    events, edges = _gold_parts(rows, prefix="maven_")
+    edges = steps.cut(edges)  # narrow; what is left of events and edges asks for them many times
+    return _fit(*truncate_graph(*_fit(events, edges), max_events))
 
 
 def coarse_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
