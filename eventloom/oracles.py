@@ -318,6 +318,11 @@ cands AS (SELECT sample_id, source, target, 'coarse' AS kind, pair_rank AS ord,
 #: the events of samples that nothing has cut
 WHOLE = NODES.replace(f"ev AS (SELECT * FROM evall WHERE rn <= {MAX_EVENTS})", "ev AS (SELECT * FROM evall)")
 
+#: pairs, coarse edges and completions of which no best ones are taken
+EVERY_PAIR = PAIRS.replace("pairs0 WHERE pair_rank <= 64", "pairs0")
+EVERY_COARSE = COARSE.replace("c2 WHERE pair_rank <= 40", "c2")
+EVERY_REFINER = REFINER.replace("extra0 WHERE pr <= 64", "extra0")
+
 ORACLE_SQL = {
     "candidate_pairs_whole": f"WITH {WHOLE}, {PAIRS} SELECT sample_id, pair_rank, source, target, candidate_score FROM pairs",
     "coarse_edges_whole": f"WITH {WHOLE}, {COARSE} SELECT sample_id, pair_rank, source, target, relation_type, score FROM coarse",
@@ -358,7 +363,7 @@ ORACLE_SQL = {
         SELECT query_id, document_id, CAST(min(pos) AS BIGINT) AS pos, title FROM r JOIN news USING (document_id) GROUP BY query_id, document_id, title""",
     "truncated_events": f"WITH {NODES} SELECT sample_id, event_id, confidence FROM ev",
     "candidate_pairs": f"WITH {NODES}, {PAIRS} SELECT sample_id, pair_rank, source, target, candidate_score FROM pairs",
-    "typed_edges": f"WITH {NODES}, {PAIRS} SELECT sample_id, edge_id, source, target, relation_type, candidate_score AS score FROM predicted JOIN pairs USING (sample_id, source, target)",
+    "typed_edges": f"WITH {WHOLE}, {EVERY_PAIR} SELECT sample_id, edge_id, source, target, relation_type, candidate_score AS score FROM predicted JOIN pairs USING (sample_id, source, target)",
     "coarse_edges": f"WITH {NODES}, {COARSE} SELECT sample_id, pair_rank, source, target, relation_type, score FROM coarse",
     "negative_pairs": f"WITH {NODES}, {ALL_TEMPORAL} SELECT s.sample_id, s.event_id AS source, t.event_id AS target FROM evall s JOIN evall t ON s.sample_id = t.sample_id AND s.document_id = t.document_id AND s.event_id <> t.event_id AND abs(s.sentence_index - t.sentence_index) <= 3 WHERE NOT EXISTS (SELECT 1 FROM temporal x WHERE x.sample_id = s.sample_id AND x.source = s.event_id AND x.target = t.event_id)",
     "completion_pairs": f"""WITH {NODES}, {TEMPORAL}, {COMPLETION} SELECT sample_id, pair_rank, source, target, completion_score
