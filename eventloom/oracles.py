@@ -467,10 +467,10 @@ ORACLE_SQL = {
     "relation_report": f"""WITH {NODES}, {PAIRS}, {TEMPORAL}, r AS (SELECT unnest(['precedes', 'causes']) AS relation_type), g AS (SELECT {K4} FROM temporal WHERE ord % 2 = 0), m AS (SELECT {K4}, g.sample_id IS NOT NULL AS g, p.sample_id IS NOT NULL AS p FROM g FULL JOIN (SELECT DISTINCT {K4} FROM predicted) p USING ({K4})),
         c AS (SELECT r.relation_type, count(*) FILTER (g AND p) AS tp, count(*) FILTER (p AND NOT g) AS fp, count(*) FILTER (g AND NOT p) AS fn FROM r LEFT JOIN m USING (relation_type) GROUP BY 1) SELECT relation_type, tp, fp, fn, {prf('tp', 'fp', 'fn')} FROM c""",
     "selected_samples": f"WITH {NODES}, {PAIRS}, s AS (SELECT sample_id, min(ord) AS o FROM nodes GROUP BY 1) SELECT sample_id FROM s WHERE sample_id IN (SELECT sample_id FROM predicted) ORDER BY o LIMIT 20 OFFSET 5",
-    "refined_with_completions": f"""WITH {NODES}, {COARSE}, {COMPLETION}, {REFINER}, x AS (SELECT sample_id, 'edge_' || ord AS edge_id, source, target, relation_type, round(score, 4) AS score, p, 'KEEP' AS action, CAST(ord AS INTEGER) AS ord FROM cands JOIN coarse USING (sample_id, source, target) WHERE kind = 'coarse'
+    "refined_with_completions": f"""WITH {WHOLE}, {EVERY_COARSE}, {COMPLETION}, {EVERY_REFINER}, x AS (SELECT sample_id, 'edge_' || ord AS edge_id, source, target, relation_type, round(score, 4) AS score, p, 'KEEP' AS action, CAST(ord AS INTEGER) AS ord FROM cands JOIN coarse USING (sample_id, source, target) WHERE kind = 'coarse'
         UNION ALL SELECT c.sample_id, 'refined_added_edge_' || ord, c.source, c.target, 'precedes', round(least(completion_score, 49e-2), 4), p, 'ADD', CAST(ord AS INTEGER) FROM cands c JOIN completion e USING (sample_id, source, target) WHERE kind = 'completion')
         SELECT sample_id, edge_id, source, target, relation_type, score, round(p, 4) AS keep_probability, action, ord FROM x WHERE p >= 4e-1""",
-    "edge_actions": f"WITH {NODES}, {COARSE}, {COMPLETION}, {REFINER} SELECT sample_id, CASE WHEN kind = 'completion' THEN CASE WHEN p >= 42e-2 THEN 'ADD' ELSE 'REJECT' END WHEN p >= 42e-2 THEN 'KEEP' ELSE 'DROP' END AS action, count(*) AS n FROM cands GROUP BY 1, 2",
+    "edge_actions": f"WITH {WHOLE}, {EVERY_COARSE}, {COMPLETION}, {EVERY_REFINER} SELECT sample_id, CASE WHEN kind = 'completion' THEN CASE WHEN p >= 42e-2 THEN 'ADD' ELSE 'REJECT' END WHEN p >= 42e-2 THEN 'KEEP' ELSE 'DROP' END AS action, count(*) AS n FROM cands GROUP BY 1, 2",
     "debug_edges": f"""WITH {NODES}, {COARSE}, {TEMPORAL}, p AS (SELECT sample_id, source, target, pair_rank AS ord, {KEEP.format(logit=LOGIT.format(s="score") + " + 35e-2")} AS p FROM coarse),
         a AS (SELECT p.*, CASE WHEN p >= 6e-1 THEN 'KEEP' ELSE 'DROP' END AS action, CASE WHEN t.source IS NULL THEN 'DROP' ELSE 'KEEP' END AS gold_action FROM p LEFT JOIN temporal t USING (sample_id, source, target))
         SELECT sample_id, source, target, action, gold_action FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY CASE action WHEN 'DROP' THEN 1 ELSE 3 END, CASE action WHEN 'DROP' THEN 0 ELSE -p END, ord) AS place FROM a) WHERE place <= 10""",
