@@ -46,7 +46,7 @@ def _kind(value: Column, path: str) -> Column:
 def _not(value: Column, path: str, *kinds: str) -> Column:
     """Whether a field is there and of none of the types."""
     kind = _kind(value, path)
-    return kind.isNotNull() & ~kind.isin(*kinds)
+    return F.coalesce(~kind.isin(*kinds), F.lit(False))
 
 
 def _evidence(event: Column, document_id: Column, sentence_index: Column, mention: Column) -> Column:
@@ -122,12 +122,18 @@ def _repeats(ids: Column) -> Column:
     return F.size(ids) != F.size(F.array_distinct(ids))
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are computed once a row: they are generated, so neither a later column nor a filter that Spark moves below it computes them again."""
+    made = rows.withColumn("_made", F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+    return made.withColumns({name: F.col("_made")[name] for name in columns}).drop("_made")
+
+
 def validate(raw: DataFrame) -> DataFrame:
-    """raw (ord, json) → records with an array of errors; no rule stops at the first failure."""
-    out = raw.withColumn("v", F.try_parse_json("json"))
+    """raw (ord, json) → records with an array of errors; no rule stops at the first failure. A record is parsed once, each of its parts is read once."""
+    out = _once(raw, v=F.try_parse_json("json"))
     v = F.col("v")
-    out = out.withColumn("_d", listed(field(v, "documents"))).withColumn("_e", listed(field(v, "events"))).withColumn("_q", field(v, "query"))
-    out = out.withColumn("query", _query(F.col("_q"))).withColumn("documents", F.transform("_d", _document)).withColumn("events", F.transform("_e", _event))
+    out = _once(out, _d=listed(field(v, "documents")), _e=listed(field(v, "events")), _q=field(v, "query"))
+    out = _once(out, query=_query(F.col("_q")), documents=F.transform("_d", _document), events=F.transform("_e", _event))
     out = out.withColumn("query_id", F.coalesce(_text(field(v, "query_id")), F.col("query.query_id"))).withColumn("sample_id", F.coalesce(_text(field(v, "sample_id")), F.concat(F.lit("events_"), F.col("query_id"))))
     out = out.withColumn("schema_version", F.coalesce(_text(field(v, "schema_version")), F.lit(VERSION)))
     docs, ids = F.transform("documents", lambda d: d["document_id"]), F.transform("events", lambda e: e["event_id"])
@@ -158,7 +164,7 @@ def validate(raw: DataFrame) -> DataFrame:
         (some("events", lambda e: e["confidence"].isNull() | F.isnan(e["confidence"]) | (e["confidence"] < 0) | (e["confidence"] > 1)) | some("_e", lambda e: _kind(e, "$.confidence") == "VOID"), "confidence"),
         ((F.size("documents") > 0) & (F.size(F.array_except(loose, docs)) > 0), "unknown document"),
     ]
-    out = out.withColumn("errors", F.array_distinct(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), m) for c, m in rules]))))
+    out = _once(out, errors=F.array_distinct(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), m) for c, m in rules]))))
     return out.select("ord", "json", "schema_version", "sample_id", "query_id", "query", "documents", "events", "errors")
 
 
@@ -211,7 +217,7 @@ def with_context(records: DataFrame, queries: DataFrame, documents: DataFrame) -
 def materialise(records: DataFrame, max_events: int = 0, max_docs: int = 0) -> tuple[DataFrame, DataFrame]:
     """(documents, events) tables keyed by sample_id. Documents are cut before references are checked, those of all events; a missing query,
     missing documents and under two events (after the cut of events) are errors. The parsed records are kept for the checks and the tables."""
-    records = steps.cut(records)
+    records = steps.cut(records.select("sample_id", "query_id", "query", "documents", "events"))
     docs = records.select("sample_id", F.explode("documents").alias("d")).select("sample_id", "d.*")
     every = records.select("sample_id", "query_id", F.col("query.text").alias("query"), F.col("query.cutoff_time").alias("cutoff_time"), F.col("query.focus_entities").alias("focus_entities"), F.explode("events").alias("e")).select("sample_id", "query_id", "query", "cutoff_time", "focus_entities", "e.*")
     docs = docs.where(F.col("ord") < max_docs) if max_docs > 0 else docs
@@ -228,6 +234,8 @@ def materialise(records: DataFrame, max_events: int = 0, max_docs: int = 0) -> t
 
 def summary(records: DataFrame) -> DataFrame:
     """One row: records, events, the first 20 ids in the order of the file, and how many records have a query and documents of their own."""
+    has = {"n": F.size("events"), "query": F.col("query").isNotNull(), "documents": F.size("documents") > 0}
+    records = steps.cut(records.select("ord", "query_id", *[c.alias(name) for name, c in has.items()]))  # records are parsed once, for the counts and the first ids
     first = records.select("ord", "query_id").orderBy("ord").limit(20).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "query_id"))), lambda x: x["query_id"]).alias("query_ids"))
-    counted = records.agg(F.count("*").alias("records"), F.coalesce(F.sum(F.size("events")), F.lit(0)).alias("events"), F.count_if(F.col("query").isNotNull()).alias("with_query"), F.count_if(F.size("documents") > 0).alias("with_documents"))
+    counted = records.agg(F.count("*").alias("records"), F.coalesce(F.sum("n"), F.lit(0)).alias("events"), F.count_if("query").alias("with_query"), F.count_if("documents").alias("with_documents"))
     return counted.crossJoin(first)  # two single rows
